@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulare.functions.numeric import bigint_half_even, pct
@@ -28,23 +28,29 @@ def weighted_total(df: DataFrame, weight, alias: str = "total") -> DataFrame:
 def weighted_distribution(df: DataFrame, value, weight, include_nulls: bool = False,
                           value_alias: str = "valor", total_alias: str = "total",
                           pct_alias: str = "pct", digits: int = 1,
-                          ordered: bool = True) -> DataFrame:
+                          ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """A2/A3 + W1 + F1: per value, weighted total and percent of the grand total.
 
     ``include_nulls=False`` treats NULL as non-response (left out of the
     denominator); ``True`` keeps NULL as one group (not applicable = "no").
+    ``by`` computes a separate distribution (own denominator) per group.
     """
     src = df if include_nulls else df.where(_c(value).isNotNull())
-    grouped = src.groupBy(_c(value).alias(value_alias)).agg(F.sum(_c(weight)).alias("_w"))
-    grand = grouped.agg(F.sum("_w")).scalar()
+    keys = [F.col(b) for b in by]
+    grouped = src.groupBy(*keys, _c(value).alias(value_alias)).agg(F.sum(_c(weight)).alias("_w"))
+    if by:
+        # the grouped result has one row per (group, value): a window per group is small
+        grand = F.sum("_w").over(Window.partitionBy(*keys))
+    else:
+        grand = grouped.agg(F.sum("_w")).scalar()
     out = grouped.select(
-        value_alias,
+        *keys, value_alias,
         bigint_half_even("_w").alias(total_alias),
         pct("_w", grand, digits).alias(pct_alias),
         "_w",
     )
     if ordered:  # L1: largest first; the value breaks ties so the order is total
-        out = out.orderBy(F.col("_w").desc(), F.col(value_alias).asc_nulls_last())
+        out = out.orderBy(*keys, F.col("_w").desc(), F.col(value_alias).asc_nulls_last())
     return out.drop("_w")
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tabulare.operators import household, weighted
 from tabulare.operators.harmonize import LOADED_COLUMNS
 from tabulare.plans.q_harmonize import MORADOR_SQL, morador
-from tabulare.plans.registry import dist_sql, register
+from tabulare.plans.registry import register
 
-_ORDER = [c for c in LOADED_COLUMNS if c not in ("fonte", "id_domicilio")]
+# person-level columns first (they decide most comparisons), then the rest
+_PERSON = ("peso", "idade", "sexo", "cor_raca")
+_ORDER = list(_PERSON) + [c for c in LOADED_COLUMNS if c not in ("fonte", "id_domicilio") + _PERSON]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +23,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     homes = household.first_row(morador(spark, sf_dir), ["fonte", "id_domicilio"],
                                 [F.col(c).asc_nulls_last() for c in _ORDER])
-    return weighted.weighted_distribution(
-        homes.select(F.concat_ws(":", "fonte", "agua").alias("agua"), "peso"), "agua", "peso")
+    return weighted.weighted_distribution(homes, "agua", "peso", by=["fonte"])
 
 
 _HOMES_SQL = ("(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY fonte, id_domicilio ORDER BY "
               + ", ".join(f"{c} ASC NULLS LAST" for c in _ORDER)
               + f") AS rn FROM {MORADOR_SQL} m) x WHERE rn = 1) h")
 register("household_water_distribution",
-         dist_sql("fonte || ':' || agua", "peso", _HOMES_SQL))(flagship)
+         "SELECT fonte, agua AS valor, CAST(ROUND(SUM(peso), 2) AS BIGINT) AS total, "
+         "ROUND(100.0 * SUM(peso) / SUM(SUM(peso)) OVER (PARTITION BY fonte), 1) AS pct "
+         f"FROM {_HOMES_SQL} WHERE agua IS NOT NULL GROUP BY fonte, agua")(flagship)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
 from tabulare.plans.standins import table
-from tabulare.session import ensure_dir, local_fs_path, scratch_path
+from tabulare.session import ensure_dir, ensure_parallelism, local_fs_path, scratch_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_field, encode_fwf, parse_fwf, read_fwf
 from tabulare.sources.layout import packaged_layout
@@ -30,7 +30,7 @@ LINEITEM = packaged_layout("lineitem_census", "census")
 
 
 def _lineitem_lines(spark, d) -> str:
-    li = table(spark, d, "lineitem")
+    li = ensure_parallelism(table(spark, d, "lineitem"))
     c = F.col
     values = {"L0001": c("l_orderkey"), "L0002": c("l_partkey"), "L0003": c("l_suppkey"),
               "L0004": c("l_linenumber"), "L0005": c("l_quantity"), "L0006": c("l_extendedprice"),
@@ -84,7 +84,7 @@ def _encoded_value():
 
 def _fwf_sparse(spark, d):
     path = scratch_path(spark, "fwf-orders")
-    table(spark, d, "orders").select(_encoded_value()).write.text(path)
+    ensure_parallelism(table(spark, d, "orders")).select(_encoded_value()).write.text(path)
     return read_fwf(spark, path, ORDERS)
 
 
@@ -97,7 +97,7 @@ _PIECE = 40
 
 
 def _document_words(spark, d):
-    docs = table(spark, d, "documents")
+    docs = ensure_parallelism(table(spark, d, "documents"))
     words = (docs.select("doc_id", F.posexplode(F.split("text", _SPLIT)).alias("pos", "w"))
              .where(F.col("w") != ""))
     pieces = words.select("doc_id", "pos", "w", F.explode(F.sequence(
@@ -172,7 +172,7 @@ def _archives(spark, d) -> str:
     if local_fs_path(out_dir) is None:
         raise RuntimeError("the archive fixture writer needs a locally mounted scratch folder")
     ensure_dir(out_dir)
-    o = table(spark, d, "orders")
+    o = ensure_parallelism(table(spark, d, "orders"))
     (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
      .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
     return out_dir
@@ -203,7 +203,7 @@ _ITEM_SQL = {
 
 
 def _listing_pages(spark, d):
-    p = table(spark, d, "part")
+    p = ensure_parallelism(table(spark, d, "part"))
     e = {k: F.expr(v) for k, v in _ITEM_SQL.items()}
     attr = lambda i, v: F.struct(F.lit(i).alias("id"), v.alias("value_name"))
     attrs = F.filter(F.array(

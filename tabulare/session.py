@@ -24,6 +24,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -73,3 +74,17 @@ def ensure_dir(path: str) -> None:
     p = local_fs_path(path)
     if p is not None:
         os.makedirs(p, exist_ok=True)
+
+
+def ensure_parallelism(df, factor: int = 1):
+    """Spread a DataFrame whose input has fewer splits than the cluster has cores.
+
+    A round-robin repartition, applied only when the plan has fewer
+    partitions than ``defaultParallelism`` (e.g. one small single-row-group
+    file feeding a CPU-heavy step). On large inputs, which already have
+    many splits, this returns ``df`` unchanged and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -69,22 +69,33 @@ def read_fwf(spark: SparkSession, paths: str | Sequence[str], layout: Layout,
 # ---------------------------------------------------------------------------
 # Writing fixed-width lines (used to build stand-in inputs and round trips)
 # ---------------------------------------------------------------------------
+def _zero_pad(text: Column, negative: Column, width: int) -> Column:
+    """Right-aligned, zero-filled, sign first (what ``%0Nd`` prints)."""
+    return F.when(negative, F.concat(F.lit("-"), F.lpad(text, width - 1, "0"))).otherwise(
+        F.lpad(text, width, "0"))
+
+
 def encode_field(layout: Layout, f: Field, value: Column) -> Column:
     """Inverse of ``field_column``: right-aligned zero-padded numbers, left-
-    aligned text, implied or explicit decimals, NULL → blanks."""
+    aligned text, implied or explicit decimals, NULL → blanks.
+
+    Built from ``lpad``/casts rather than ``format_string``: same text, no
+    per-value ``java.util.Formatter``.
+    """
     t = layout.spark_type(f)
     w = f.width
     if isinstance(t, T.StringType):
         txt = F.rpad(value.cast("string"), w, " ")
     elif layout.scale(f) is not None:
         digits = F.rint(value * F.lit(10.0 ** layout.scale(f))).cast("bigint")
-        txt = F.format_string(f"%0{w}d", digits)
+        txt = _zero_pad(F.abs(digits).cast("string"), digits < 0, w)
     elif isinstance(t, T.DoubleType):
         d = f.decimals if f.decimals is not None else 0
-        txt = F.format_string(f"%0{w}.{d}f", value.cast("double"))
+        dec = value.cast("double").cast(T.DecimalType(38, d))          # HALF_UP, like %f
+        txt = _zero_pad(F.abs(dec).cast("string"), dec < 0, w)
     else:
-        txt = F.format_string(f"%0{w}d", value.cast("bigint"))
-    # format_string renders NULL as the text "null": test the value, not the text
+        n = value.cast("bigint")
+        txt = _zero_pad(F.abs(n).cast("string"), n < 0, w)
     return F.when(value.isNull(), F.lit(" " * w)).otherwise(txt)
 
 
