@@ -70,5 +70,9 @@ def archive_lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def archive_validity(spark: SparkSession, paths) -> DataFrame:
-    """Per archive, whether it opens and passes its CRC check."""
+    """Per archive, whether it opens and passes its CRC check.
+
+    Zero-byte files are not listed by Spark's file scan, so they do not
+    appear at all (absent and invalid lead to the same re-fetch).
+    """
     return _binary(spark, paths).mapInPandas(_validity, VALIDITY_SCHEMA)

@@ -1,0 +1,152 @@
+"""K1–K10, S8–S12 and the listing parser."""
+
+import io
+import json
+import os
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabulare.sinks import store
+from tabulare.sources import archive, listings
+from tabulare.sources.catalog import missing_partitions, partition_catalog, split_stem
+
+
+# ---------------------------------------------------------------- storage
+def test_write_if_absent_and_roundtrip(spark, tmpdir_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
+    path = tmpdir_path + "/t"
+    store.write_if_absent(a, path)
+    store.write_if_absent(a.union(a), path)                  # skipped
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_save_if_changed_repairs_partial_table(spark, tmpdir_path):
+    src = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
+    name = "t_sync_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert store.save_if_changed(spark, src, name, tmpdir_path + "/t") == "criada"
+    assert store.save_if_changed(spark, src, name, tmpdir_path + "/t") == "inalterada"
+    store.save_table(src.limit(1), name, tmpdir_path + "/t2")   # an interrupted earlier load
+    assert store.save_if_changed(spark, src, name, tmpdir_path + "/t3") == "recarregada"
+    assert spark.table(name).count() == 2
+    assert store.table_exists(spark, name)
+
+
+def test_partitioned_write_catalog_and_missing(spark, tmpdir_path):
+    root = tmpdir_path + "/store"
+    df = spark.createDataFrame([("AC", "domicilios", 1), ("AC", "pessoas", 2), ("RO", "domicilios", 3)],
+                               "uf string, file_type string, v int")
+    store.write_partitioned(df, root, by=("uf", "file_type"))
+    # a half-written output never becomes visible
+    os.makedirs(root + "/_temporary/0", exist_ok=True)
+    with open(root + "/_temporary/0/part-0.parquet", "wb") as fh:
+        fh.write(b"garbage")
+    cat = {(r.uf, r.file_type): r.n_linhas for r in partition_catalog(spark, root).collect()}
+    assert cat == {("AC", "domicilios"): 1, ("AC", "pessoas"): 1, ("RO", "domicilios"): 1}
+    only_ac = partition_catalog(spark, root, ufs=["AC"], file_types=["pessoas"]).collect()
+    assert [(r.uf, r.file_type) for r in only_ac] == [("AC", "pessoas")]
+    expected = spark.createDataFrame([(u, t) for u in ("AC", "RO", "SP") for t in ("domicilios", "pessoas")],
+                                     "uf string, file_type string")
+    miss = {(r.uf, r.file_type) for r in missing_partitions(expected, partition_catalog(spark, root)).collect()}
+    assert miss == {("RO", "pessoas"), ("SP", "domicilios"), ("SP", "pessoas")}
+
+
+def test_split_stem(spark):
+    df = spark.createDataFrame([("SP_moradores",), ("semtipo",), ("RJ_a_b",)], "s string")
+    uf, kind = split_stem("s")
+    assert [tuple(r) for r in df.select(uf, kind).collect()] == [("SP", "moradores"), (None, None), ("RJ", "a_b")]
+
+
+# ---------------------------------------------------------------- archives
+def _zip(lines):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
+        zf.writestr("Amostra_Domicilios_12.txt", ("\r\n".join(lines) + "\r\n").encode("latin-1"))
+        zf.writestr("leia-me.pdf", b"%PDF")
+    return buf.getvalue()
+
+
+def test_archives(spark, tmpdir_path):
+    good1, good2 = _zip(["linha 1", "linha 2"]), _zip(["parte 2 ç"])
+    for name, data in (("SP1.zip", good1), ("SP2_RM.zip", good2), ("truncado.zip", good1[: len(good1) // 2]),
+                       ("vazio.zip", b"")):
+        with open(os.path.join(tmpdir_path, name), "wb") as fh:
+            fh.write(data)
+    valid = {os.path.basename(r.arquivo): r.valido
+             for r in archive.archive_validity(spark, tmpdir_path + "/*.zip").collect()}
+    # zero-byte files are not listed by Spark's file scan: absent, hence fetched again,
+    # which is what an invalid archive leads to as well
+    assert valid == {"SP1.zip": True, "SP2_RM.zip": True, "truncado.zip": False}
+    lines = sorted(r.value for r in archive.archive_lines(spark, tmpdir_path + "/*.zip").collect())
+    assert lines == ["linha 1", "linha 2", "parte 2 ç"]      # both parts appended, .txt only
+
+
+# ---------------------------------------------------------------- listings
+def _item(**kw):
+    base = {"id": "MLB1", "permalink": "u", "title": "t", "price": 1000.0,
+            "address": {"state_id": "BR-SP", "city_name": "São Paulo", "neighborhood_name": "Sé",
+                        "zip_code": "01000000"},
+            "attributes": []}
+    base.update(kw)
+    return base
+
+
+@pytest.fixture()
+def parsed_df(spark, tmpdir_path):
+    items = [
+        _item(id="dup", attributes=[{"id": "BEDROOMS", "value_name": "2"}, {"id": "BEDROOMS", "value_name": "3"},
+                                    {"id": "COLOR", "value_name": "azul"},
+                                    {"id": "OPERATION_TYPE", "value_name": "Aluguel"}]),
+        _item(id="area", attributes=[{"id": "TOTAL_AREA", "value_name": "120 m²"},
+                                     {"id": "COVERED_AREA", "value_name": "85,5"},
+                                     {"id": "FLOOR", "value_name": "3.0"},
+                                     {"id": "OPERATION_TYPE", "value_name": "Venda"}]),
+        _item(id="flags", price=0.0, attributes=[{"id": "POOL", "value_name": "Sim"},
+                                                 {"id": "GYM", "value_name": "Não"},
+                                                 {"id": "SAUNA", "value_name": ""},
+                                                 {"id": "OPERATION_TYPE", "value_name": "Venda"}]),
+        _item(id="season", attributes=[{"id": "OPERATION_TYPE", "value_name": "Temporada"}]),
+        _item(id="loc", address={}, location={"state_id": "BR-RJ", "city": {"name": "Rio"},
+                                              "neighborhood": {"name": "Centro"}}),
+        _item(id="nostate", address={"city_name": "X"}),
+    ]
+    path = os.path.join(tmpdir_path, "pages.json")
+    with open(path, "w") as fh:
+        fh.write(json.dumps({"results": items[:3], "paging": {"total": 6}}) + "\n")
+        fh.write(json.dumps({"results": items[3:], "paging": {"total": 6}}) + "\n")
+    return listings.parse_listings(listings.read_listing_pages(spark, path))
+
+
+@pytest.fixture()
+def parsed(parsed_df):
+    return {r.id_externo: r for r in parsed_df.collect()}
+
+
+def test_listing_attributes(parsed):
+    assert parsed["dup"].n_quartos == 3                      # last duplicate wins
+    assert parsed["dup"].negocio == "aluguel" and parsed["dup"].valor_aluguel == 1000.0
+    assert parsed["dup"].valor_venda is None
+    a = parsed["area"]
+    assert a.area_total_m2 is None and a.area_construida_m2 == 85.5 and a.andar is None
+    assert a.valor_venda == 1000.0
+    f = parsed["flags"]
+    assert (f.tem_piscina, f.tem_academia, f.tem_sauna, f.tem_elevador) == (True, False, None, None)
+    assert f.valor_venda is None                             # zero price ignored
+    s = parsed["season"]
+    assert s.negocio == "temporada" and s.valor_aluguel is None and s.valor_venda is None
+
+
+def test_listing_address(parsed):
+    assert (parsed["dup"].uf, parsed["dup"].cidade, parsed["dup"].bairro, parsed["dup"].cep) == (
+        "SP", "São Paulo", "Sé", "01000000")
+    assert (parsed["loc"].uf, parsed["loc"].cidade, parsed["loc"].bairro) == ("RJ", "Rio", "Centro")
+    assert parsed["nostate"].uf is None and parsed["nostate"].cidade == "X"
+
+
+def test_listing_to_imovel_schema(parsed_df):
+    from tabulare.schemas import IMOVEL
+    out = listings.listings_to_imovel(parsed_df)
+    assert out.columns == IMOVEL.fieldNames() and len(out.columns) == 78
+    assert out.where(F.col("data_coleta").isNull()).count() == 0
