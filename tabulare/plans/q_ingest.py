@@ -297,7 +297,7 @@ register("slugify_heading",
          "SELECT trim(regexp_replace(strip_accents(lower(regexp_split_to_array(h, "
          "':\\s*|\\s+\\d+\\s*[-–]\\s*')[1])), '[^a-z0-9]+', '_', 'g'), '_') AS slug, COUNT(*) AS n "
          f"FROM (SELECT {_HEADING} AS h FROM part) t GROUP BY 1")(
-    lambda spark, d: table(spark, d, "part").select(slug_heading(F.expr(_HEADING)).alias("slug"))
+    lambda spark, d: ensure_parallelism(table(spark, d, "part")).select(slug_heading(F.expr(_HEADING)).alias("slug"))
     .groupBy("slug").agg(F.count(F.lit(1)).alias("n")))
 
 _LABEL = "concat(c_mktsegment, ' – Região ', r_name, ' / ', n_name)"
@@ -305,7 +305,7 @@ register("slugify",
          "SELECT trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', '_', 'g'), '_') AS slug, "
          f"COUNT(*) AS n FROM (SELECT {_LABEL} AS t FROM customer JOIN nation ON c_nationkey = n_nationkey "
          "JOIN region ON n_regionkey = r_regionkey) x GROUP BY 1")(
-    lambda spark, d: table(spark, d, "customer")
+    lambda spark, d: ensure_parallelism(table(spark, d, "customer"))
     .join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     .join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     .select(slug(F.expr(_LABEL)).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")))

@@ -52,20 +52,17 @@ def save_if_changed(spark: SparkSession, source: DataFrame, name: str,
                     path: str | None = None) -> str:
     """K6: (re)load ``name`` from ``source`` unless it already holds as many rows.
 
-    Returns ``"criada"``, ``"inalterada"`` or ``"recarregada"``. The row counts
-    read only Parquet footers. A partially written table (fewer rows) is
-    replaced as a whole, never appended to.
+    Returns ``"criada"``, ``"inalterada"`` or ``"recarregada"``. Both counts
+    read only Parquet footers. A table with a different count (e.g. an
+    interrupted earlier load) is overwritten as a whole; if that overwrite is
+    itself interrupted, the next call sees the mismatch and repairs it again.
     """
     if not table_exists(spark, name):
         save_table(source, name, path)
         return "criada"
     if spark.table(name).count() == source.count():
         return "inalterada"
-    tmp = f"{name}__novo"
-    save_table(source, tmp, None if path is None else path.rstrip("/") + "__novo")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    save_table(spark.table(tmp), name, None if path is None else path.rstrip("/") + "__v2")
-    spark.sql(f"DROP TABLE IF EXISTS {tmp}")
+    save_table(source, name, path)
     return "recarregada"
 
 
