@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulare.functions import codes
 from tabulare.operators import harmonize as H
-from tabulare.operators import weighted
+from tabulare.operators import filters, weighted
 from tabulare.functions.numeric import bigint_half_even
 from tabulare.operators.household import household_key  # noqa: F401  (re-exported for users)
 from tabulare.plans.registry import register
@@ -95,7 +95,7 @@ register("count_by_source", f"SELECT fonte, COUNT(*) AS n FROM {MORADOR_SQL} m G
 
 register("filter_source",
          f"SELECT uf, COUNT(*) AS n FROM {MORADOR_SQL} m WHERE fonte = 'pnadc_2025' GROUP BY uf")(
-    lambda spark, d: weighted.count_by(morador(spark, d).where(F.col("fonte") == "pnadc_2025"), "uf"))
+    lambda spark, d: weighted.count_by(filters.filter_source(morador(spark, d), "pnadc_2025"), "uf"))
 
 _STATES = ("NATION_1", "NATION_3", "NATION_5", "NATION_7", "NATION_11")
 _SOURCES = ("census_2010", "pnadc_2025")
@@ -104,7 +104,7 @@ register("filter_states",
          f"({', '.join(repr(s) for s in _STATES)}) AND fonte IN ({', '.join(repr(s) for s in _SOURCES)}) "
          "GROUP BY fonte, uf")(
     lambda spark, d: weighted.count_by(
-        morador(spark, d).where(F.col("uf").isin(list(_STATES)) & F.col("fonte").isin(list(_SOURCES))),
+        filters.filter_in(filters.filter_states(morador(spark, d), _STATES), "fonte", _SOURCES),
         "fonte", "uf"))
 
 # ---------------------------------------------------------------- J1 on its own
