@@ -124,7 +124,7 @@ register("fwf_latin1",
          f"p AS (SELECT doc_id, w, unnest(range(0, (length(w) - 1) // {_PIECE} + 1)) AS piece FROM w WHERE w <> ''), "
          f"q AS (SELECT doc_id, piece, substr(w, piece * {_PIECE} + 1, {_PIECE}) AS s FROM p) "
          "SELECT doc_id AS identificador_do_documento, COUNT(*) FILTER (WHERE piece = 0) AS n_palavras, "
-         "COUNT(*) AS n_pedacos, SUM(length(s)) AS n_caracteres, "
+         "COUNT(*) AS n_pedacos, CAST(SUM(length(s)) AS BIGINT) AS n_caracteres, "
          "COUNT(*) FILTER (WHERE regexp_matches(s, '[^\\x00-\\x7F]')) AS n_pedacos_nao_ascii "
          "FROM q GROUP BY doc_id")(_document_words)
 
