@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulare.operators import household, weighted
-from tabulare.operators.harmonize import LOADED_COLUMNS
 from tabulare.plans.q_harmonize import MORADOR_SQL, morador
 from tabulare.plans.registry import register
 
-# person-level columns first (they decide most comparisons), then the rest
-_PERSON = ("peso", "idade", "sexo", "cor_raca")
-_ORDER = list(_PERSON) + [c for c in LOADED_COLUMNS if c not in ("fonte", "id_domicilio") + _PERSON]
+# The household's representative is its first person by these columns. The
+# order is total for the columns kept (two persons equal on all of them give
+# the same output), and ordering by nothing else lets the other columns be
+# pruned before the shuffle.
+_ORDER = ("peso", "idade", "sexo", "cor_raca", "agua")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted share of households by water supply, per source.
-
-    One row per (source, household): its first person under a total order
-    (all columns), whose weight stands for the household's.
-    """
-    homes = household.first_row(morador(spark, sf_dir), ["fonte", "id_domicilio"],
+    """Weighted share of households by water supply, per source."""
+    people = morador(spark, sf_dir).select("fonte", "id_domicilio", *_ORDER)
+    homes = household.first_row(people, ["fonte", "id_domicilio"],
                                 [F.col(c).asc_nulls_last() for c in _ORDER])
     return weighted.weighted_distribution(homes, "agua", "peso", by=["fonte"])
 
