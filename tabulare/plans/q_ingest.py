@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
-from tabulare.plans.standins import table
-from tabulare.session import ensure_dir, ensure_parallelism, local_fs_path, scratch_path
+from tabulare.plans.standins import table, table_path
+from tabulare.session import derived_input, ensure_dir, ensure_parallelism, local_fs_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_field, encode_fwf, parse_fwf, read_fwf
 from tabulare.sources.layout import packaged_layout
@@ -30,14 +30,15 @@ LINEITEM = packaged_layout("lineitem_census", "census")
 
 
 def _lineitem_lines(spark, d) -> str:
-    li = ensure_parallelism(table(spark, d, "lineitem"))
-    c = F.col
-    values = {"L0001": c("l_orderkey"), "L0002": c("l_partkey"), "L0003": c("l_suppkey"),
-              "L0004": c("l_linenumber"), "L0005": c("l_quantity"), "L0006": c("l_extendedprice"),
-              "L0007": c("l_discount"), "L0008": c("l_tax"), "L0009": F.year("l_shipdate")}
-    path = scratch_path(spark, "fwf-lineitem")
-    encode_fwf(li, LINEITEM, values).write.text(path)
-    return path
+    """``lineitem`` as census-style fixed-width text (built once per table version)."""
+    def build(path):
+        li = ensure_parallelism(table(spark, d, "lineitem"))
+        c = F.col
+        values = {"L0001": c("l_orderkey"), "L0002": c("l_partkey"), "L0003": c("l_suppkey"),
+                  "L0004": c("l_linenumber"), "L0005": c("l_quantity"), "L0006": c("l_extendedprice"),
+                  "L0007": c("l_discount"), "L0008": c("l_tax"), "L0009": F.year("l_shipdate")}
+        encode_fwf(li, LINEITEM, values).write.mode("overwrite").text(path)
+    return derived_input(spark, "fwf-lineitem", [table_path(d, "lineitem")], build)
 
 
 register("fwf_scan",
@@ -83,9 +84,9 @@ def _encoded_value():
 
 
 def _fwf_sparse(spark, d):
-    path = scratch_path(spark, "fwf-orders")
-    ensure_parallelism(table(spark, d, "orders")).select(_encoded_value()).write.text(path)
-    return read_fwf(spark, path, ORDERS)
+    def build(path):
+        ensure_parallelism(table(spark, d, "orders")).select(_encoded_value()).write.mode("overwrite").text(path)
+    return read_fwf(spark, derived_input(spark, "fwf-orders", [table_path(d, "orders")], build), ORDERS)
 
 
 register("fwf_scan_sparse", _ORDERS_ORACLE)(_fwf_sparse)
@@ -97,6 +98,18 @@ _PIECE = 40
 
 
 def _document_words(spark, d):
+    path = derived_input(spark, "fwf-latin1", [table_path(d, "documents")],
+                         lambda p: _write_document_words(spark, d, p))
+    parsed = read_fwf(spark, path, WORDS, encoding=LATIN1)
+    return parsed.groupBy(F.col("identificador_do_documento")).agg(
+        F.count(F.when(F.col("pedaco_da_palavra") == 0, 1)).alias("n_palavras"),
+        F.count(F.lit(1)).alias("n_pedacos"),
+        F.sum(F.length("palavra_texto_latin_1")).alias("n_caracteres"),
+        F.count(F.when(F.col("palavra_texto_latin_1").rlike(r"[^\x00-\x7F]"), 1)).alias("n_pedacos_nao_ascii"))
+
+
+def _write_document_words(spark, d, path):
+    """Every word of every document as a Latin-1 fixed-width record (long words in pieces)."""
     docs = ensure_parallelism(table(spark, d, "documents"))
     words = (docs.select("doc_id", F.posexplode(F.split("text", _SPLIT)).alias("pos", "w"))
              .where(F.col("w") != ""))
@@ -106,17 +119,10 @@ def _document_words(spark, d):
                            F.expr(f"substring(w, piece * {_PIECE} + 1, {_PIECE})").alias("s"))
     lines = encode_fwf(pieces, WORDS, {"D001": F.col("doc_id"), "D002": F.col("pos"),
                                        "D003": F.col("piece"), "D004": F.col("s")})
-    path = scratch_path(spark, "fwf-latin1")
     # text sink is UTF-8 only; the CSV sink writes any charset (unquoted, one column)
-    (lines.write.option("encoding", LATIN1).option("quote", "").option("sep", "\u0001")
+    (lines.write.mode("overwrite").option("encoding", LATIN1).option("quote", "").option("sep", "\u0001")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .option("header", "false").csv(path))
-    parsed = read_fwf(spark, path, WORDS, encoding=LATIN1)
-    return parsed.groupBy(F.col("identificador_do_documento")).agg(
-        F.count(F.when(F.col("pedaco_da_palavra") == 0, 1)).alias("n_palavras"),
-        F.count(F.lit(1)).alias("n_pedacos"),
-        F.sum(F.length("palavra_texto_latin_1")).alias("n_caracteres"),
-        F.count(F.when(F.col("palavra_texto_latin_1").rlike(r"[^\x00-\x7F]"), 1)).alias("n_pedacos_nao_ascii"))
 
 
 register("fwf_latin1",
@@ -168,14 +174,15 @@ def _write_archives(out_dir: str):
 
 
 def _archives(spark, d) -> str:
-    out_dir = scratch_path(spark, "zips")
-    if local_fs_path(out_dir) is None:
-        raise RuntimeError("the archive fixture writer needs a locally mounted scratch folder")
-    ensure_dir(out_dir)
-    o = ensure_parallelism(table(spark, d, "orders"))
-    (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
-     .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
-    return out_dir
+    def build(out_dir):
+        if local_fs_path(out_dir) is None:
+            raise RuntimeError("the archive fixture writer needs a locally mounted scratch folder")
+        ensure_dir(out_dir)
+        o = ensure_parallelism(table(spark, d, "orders"))
+        (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
+         .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
+        open(f"{local_fs_path(out_dir)}/_SUCCESS", "w").close()
+    return derived_input(spark, "zips", [table_path(d, "orders")], build)
 
 
 register("zip_ingest", _ORDERS_ORACLE + " WHERE o_orderstatus IN ('F', 'O')")(
@@ -203,6 +210,7 @@ _ITEM_SQL = {
 
 
 def _listing_pages(spark, d):
+    """Listing pages (≤ 50 items each) built from ``part``, as JSON text rows."""
     p = ensure_parallelism(table(spark, d, "part"))
     e = {k: F.expr(v) for k, v in _ITEM_SQL.items()}
     attr = lambda i, v: F.struct(F.lit(i).alias("id"), v.alias("value_name"))
@@ -230,8 +238,12 @@ def _listing_pages(spark, d):
     # pages of at most 50 items, as the listing API serves them
     pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("pagina")).agg(
         F.collect_list(item).alias("results"), F.count(F.lit(1)).alias("total"))
-    path = scratch_path(spark, "listings")
-    pages.select(F.to_json(F.struct("results", F.struct("total").alias("paging")))).write.text(path)
+    return pages.select(F.to_json(F.struct("results", F.struct("total").alias("paging"))))
+
+
+def _listings(spark, d):
+    path = derived_input(spark, "listings", [table_path(d, "part")],
+                         lambda p: _listing_pages(spark, d).write.mode("overwrite").text(p))
     return listings.parse_listings(listings.read_listing_pages(spark, path))
 
 
@@ -279,7 +291,7 @@ for _name, _cols in (("listing_parse", _PARSE_COLS), ("attribute_pivot", _PIVOT_
                      ("conditional_route", _ROUTE_COLS), ("token_flags", _FLAG_COLS),
                      ("decimal_comma", _AREA_COLS)):
     register(_name, _listing_sql(_cols))(
-        lambda spark, d, _c=_cols: _listing_pages(spark, d).select(*_c))
+        lambda spark, d, _c=_cols: _listings(spark, d).select(*_c))
 
 # ---------------------------------------------------------------- P5, X7
 _MIXED = ("CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN concat(CAST(p_size AS STRING), '.0') "

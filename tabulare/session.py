@@ -88,3 +88,36 @@ def ensure_parallelism(df, factor: int = 1):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def derived_input(spark: SparkSession, label: str, sources: list[str], build, version: str = "1") -> str:
+    """Folder holding an input derived from ``sources``, built at most once.
+
+    The folder name is keyed by the sources' sizes and modification times, so
+    a changed table gets a new folder. ``build(path)`` must write ``path``
+    through Spark's commit protocol (or write ``_SUCCESS`` last itself); a
+    folder without ``_SUCCESS`` (an interrupted build) is rebuilt.
+    """
+    import hashlib
+
+    stamp = []
+    for s in sources:
+        p, fs = _fs(spark, s)
+        st = fs.getFileStatus(p)
+        stamp.append((s, st.getLen(), st.getModificationTime()))
+    key = hashlib.sha1(repr((label, version, stamp)).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/tabulare/derived/{label}-{key}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        build(path)
+    return path
