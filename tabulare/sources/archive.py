@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LINES_SCHEMA = "arquivo string, membro string, linha long, value string"
 VALIDITY_SCHEMA = "arquivo string, valido boolean, n_membros int, bytes long"
@@ -55,18 +56,22 @@ def _validity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["arquivo", "valido", "n_membros", "bytes"])
 
 
-def _binary(spark: SparkSession, paths) -> DataFrame:
-    reader = spark.read.format("binaryFile")
-    return reader.load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
+def _binary(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
+    df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    if max_bytes is not None:
+        # evaluated on file metadata before the content is read
+        df = df.where(F.col("length") <= F.lit(max_bytes))
+    return df.select("path", "content")
 
 
-def archive_lines(spark: SparkSession, paths) -> DataFrame:
+def archive_lines(spark: SparkSession, paths, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
     """Every line of every ``.txt`` member of every readable archive.
 
-    Broken archives yield nothing (see ``archive_validity``). Lines come back
-    Latin-1-decoded, so parse them with ``parse_fwf(..., encoding=None)``.
+    Broken archives yield nothing (see ``archive_validity``); archives over
+    ``max_bytes`` are refused, which bounds what one task holds in memory.
+    Lines come back Latin-1-decoded: parse them with ``parse_fwf(..., encoding=None)``.
     """
-    return _binary(spark, paths).mapInPandas(_lines, LINES_SCHEMA)
+    return _binary(spark, paths, max_bytes).mapInPandas(_lines, LINES_SCHEMA)
 
 
 def archive_validity(spark: SparkSession, paths) -> DataFrame:
