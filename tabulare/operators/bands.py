@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_up, pct, safe_ratio
+from tabulare.functions.numeric import bigint_half_up, safe_ratio
 from tabulare.operators.weighted import weighted_distribution
 
 # Band bounds in multiples of the unit value (minimum wage) and

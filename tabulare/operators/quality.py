@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulare.functions.numeric import bigint_half_even
 from tabulare.functions.text import has_non_ascii
 
 
+def _all():
+    # The unpivoted profile has exactly one row per input column (bounded by
+    # the schema), so a whole-frame window is safe here.
+    return Window.partitionBy(F.lit(0))
+
+
 def null_profile(df: DataFrame, digits: int = 4) -> DataFrame:
     """Percent NULL per column, with the mean and max over columns,
     the column's type, and the row and column counts — from one scan."""
@@ -32,13 +38,6 @@ def null_profile(df: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def _all():
-    # The unpivoted profile has exactly one row per input column (bounded by
-    # the schema), so a whole-frame window is safe here.
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0))
-
-
 def dtype_histogram(df: DataFrame) -> dict[str, int]:
     """Column count per type (schema metadata only)."""
     out: dict[str, int] = {}

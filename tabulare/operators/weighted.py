@@ -88,8 +88,7 @@ def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
     )
 
 
-def filtered_ratio(df: DataFrame, weight, numerator: Column, denominator: Column,
-                   digits: int = 1) -> Column:
+def filtered_ratio(weight, numerator: Column, denominator: Column, digits: int = 1) -> Column:
     """A5 + F5 as an aggregate ``Column``: ``100·Σw[num] / Σw[den]``.
 
     A NULL condition counts as false (``FILTER (WHERE …)`` semantics).
@@ -98,10 +97,10 @@ def filtered_ratio(df: DataFrame, weight, numerator: Column, denominator: Column
     return pct(F.sum(F.when(numerator, w)), F.sum(F.when(denominator, w)), digits)
 
 
-def share_true(df: DataFrame, weight, flag) -> Column:
+def share_true(weight, flag) -> Column:
     """``pct_sim``: weighted percent TRUE among rows where the flag is known."""
     f = _c(flag)
-    return filtered_ratio(df, weight, f == F.lit(True), f.isNotNull())
+    return filtered_ratio(weight, f == F.lit(True), f.isNotNull())
 
 
 def flag_shares(df: DataFrame, weight, flags: Mapping[str, Column] | Sequence[str],
@@ -113,7 +112,7 @@ def flag_shares(df: DataFrame, weight, flags: Mapping[str, Column] | Sequence[st
     """
     if not isinstance(flags, Mapping):
         flags = {f: F.col(f) for f in flags}
-    wide = df.agg(*[share_true(df, weight, c).alias(n) for n, c in flags.items()])
+    wide = df.agg(*[share_true(weight, c).alias(n) for n, c in flags.items()])
     long = wide.unpivot([], list(flags), name_alias, yes_alias)
     return long.select(name_alias, yes_alias,
                        F.round(F.lit(100.0) - F.col(yes_alias), 1).alias(no_alias))

@@ -60,9 +60,9 @@ register("filtered_ratio",
          "/ NULLIF(SUM(l_quantity) FILTER (WHERE NULLIF(l_discount, 0) IS NOT NULL), 0), 1) "
          "AS pct_desconto_alto FROM lineitem")(
     lambda spark, d: (lambda li: li.agg(
-        weighted.filtered_ratio(li, "l_quantity", F.col("l_returnflag") == "R",
+        weighted.filtered_ratio("l_quantity", F.col("l_returnflag") == "R",
                                 F.col("l_returnflag") != "N").alias("pct_devolvido"),
-        weighted.filtered_ratio(li, "l_quantity", F.nullif("l_discount", F.lit(0.0)) >= 0.05,
+        weighted.filtered_ratio("l_quantity", F.nullif("l_discount", F.lit(0.0)) >= 0.05,
                                 F.nullif("l_discount", F.lit(0.0)).isNotNull()).alias("pct_desconto_alto"),
     ))(table(spark, d, "lineitem")))
 

@@ -8,7 +8,6 @@ from tabulare.functions import codes
 from tabulare.operators import harmonize as H
 from tabulare.operators import filters, weighted
 from tabulare.functions.numeric import bigint_half_even
-from tabulare.operators.household import household_key  # noqa: F401  (re-exported for users)
 from tabulare.plans.registry import register
 from tabulare.plans.standins import (
     HOUSEHOLD_FIELDS, HOUSEHOLD_KEYS, HOUSEHOLD_STATE_FIELDS, LOOKUP_REGIONS_EXCLUDED,

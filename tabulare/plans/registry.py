@@ -37,4 +37,4 @@ def dist_sql(value: str, weight: str, source: str, include_nulls: bool = False,
 
 
 # import the query modules so they register themselves
-from tabulare.plans import q_analysis, q_harmonize, q_ingest, q_store  # noqa: E402,F401
+from tabulare.plans import q_analysis, q_harmonize, q_ingest, q_store, flagship  # noqa: E402,F401

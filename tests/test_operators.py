@@ -51,10 +51,10 @@ def test_modes(spark):
 
 def test_ratio_and_shares(spark):
     df = spark.createDataFrame([(True, 1.0), (False, 3.0), (None, 5.0)], "f boolean, w double")
-    r = df.agg(weighted.share_true(df, "w", "f").alias("p")).first()
+    r = df.agg(weighted.share_true("w", "f").alias("p")).first()
     assert r.p == 25.0
     none = df.where("f IS NULL")
-    assert none.agg(weighted.share_true(none, "w", "f")).first()[0] is None   # 0/0 → NULL
+    assert none.agg(weighted.share_true("w", "f")).first()[0] is None   # 0/0 → NULL
     s = {x.atributo: (x.pct_sim, x.pct_nao) for x in weighted.flag_shares(df, "w", ["f"]).collect()}
     assert s == {"f": (25.0, 75.0)}
 
