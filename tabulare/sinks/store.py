@@ -42,6 +42,22 @@ def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
     w.saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, by: Sequence[str], buckets: int,
+                  path: str | None = None) -> None:
+    """Save ``df`` as a table hash-bucketed (and sorted) by ``by``.
+
+    Two tables bucketed by the same join keys into the same number of buckets
+    join without shuffling either side: e.g. the census person and household
+    files by ``uf, area_de_ponderacao, controle``, which every harmonized load
+    joins on. Pick ``buckets`` so one bucket of the larger table is a
+    comfortable task (a few hundred MB).
+    """
+    w = (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by))
+    if path is not None:
+        w = w.option("path", path)
+    w.saveAsTable(name)
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     """K8: is this table saved?"""
     return spark.catalog.tableExists(name)

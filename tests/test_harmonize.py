@@ -83,3 +83,22 @@ def test_reload_twice_is_idempotent(spark, sources, tmpdir_path):
     assert spark.read.parquet(root).count() == 3
     store.replace_source(m.where("false"), root, "pnadc_2025")   # an empty new load clears the source
     assert {r.fonte for r in spark.read.parquet(root).select("fonte").distinct().collect()} == {"census_2010"}
+
+
+def test_bucketed_census_files_join_without_shuffle(spark, tmpdir_path):
+    from tabulare.plans.standins import households, persons
+
+    sf = "/root/testdata/sf0.001"
+    keys = ["area_de_ponderacao", "controle"]
+    store.save_bucketed(persons(spark, sf), "pes_b", keys, 4, tmpdir_path + "/pes")
+    store.save_bucketed(households(spark, sf, with_state=True), "dom_b", keys, 4, tmpdir_path + "/dom")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = H.census_to_morador(spark.table("pes_b"), spark.table("dom_b"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        direct = H.census_to_morador(persons(spark, sf), households(spark, sf, with_state=True))
+        assert joined.count() == direct.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
