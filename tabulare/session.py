@@ -76,16 +76,18 @@ def ensure_dir(path: str) -> None:
         os.makedirs(p, exist_ok=True)
 
 
-def ensure_parallelism(df, factor: int = 1):
-    """Spread a DataFrame whose input has fewer splits than the cluster has cores.
-
-    A round-robin repartition, applied only when the plan has fewer
-    partitions than ``defaultParallelism`` (e.g. one small single-row-group
-    file feeding a CPU-heavy step). On large inputs, which already have
-    many splits, this returns ``df`` unchanged and adds no shuffle.
+def ensure_parallelism(df, max_splits: int = 16):
+    """Spread an input that arrives in only a handful of splits.
+
+    A round-robin repartition to ``defaultParallelism``, applied only when the
+    plan has at most ``max_splits`` partitions and fewer than the cluster has
+    cores (e.g. one small single-row-group file feeding a CPU-heavy step).
+    An input with more splits is returned unchanged: on a large cluster,
+    reshuffling hundreds of splits would cost more than it saves.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n <= max_splits and n < target:
         return df.repartition(target)
     return df
 

@@ -37,3 +37,5 @@ def test_ensure_parallelism(spark):
     assert ensure_parallelism(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
     assert ensure_parallelism(many) is many
+    split_enough = spark.range(100).repartition(20)            # > max_splits: left alone
+    assert ensure_parallelism(split_enough) is split_enough
