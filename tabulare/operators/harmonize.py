@@ -42,7 +42,10 @@ def census_to_morador(pessoas: DataFrame, domicilios: DataFrame, uf: str | None
     keys = list(keys)
     if uf is None and "uf" in pessoas.columns and "uf" in domicilios.columns:
         keys = ["uf"] + keys
-    p, d = pessoas.alias("p"), domicilios.alias("d")
+    # Both sides are full survey files with no size bound, so no broadcast on an
+    # estimate: a sort-merge join, which needs no shuffle at all when both
+    # files are stored bucketed by the keys (sinks.store.save_bucketed).
+    p, d = pessoas.hint("merge").alias("p"), domicilios.alias("d")
     j = p.join(d, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in keys], "inner")
     uf_col = F.lit(uf) if uf is not None else F.col("d.uf")
     dc = lambda n: F.col(f"d.{n}")

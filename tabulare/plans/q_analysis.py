@@ -106,8 +106,12 @@ _FLAT_SQL = ("(SELECT l_orderkey AS id_domicilio, o_totalprice AS renda, "
 
 
 def _flat_persons(spark, d):
-    """Person rows with household fields flattened in (lineitem ⋈ orders)."""
-    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    """Person rows with household fields flattened in (lineitem ⋈ orders).
+
+    Two full files, no size bound on either: sort-merge join, not a broadcast
+    chosen on an estimate.
+    """
+    li, o = table(spark, d, "lineitem").hint("merge"), table(spark, d, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("l_orderkey").alias("id_domicilio"), F.col("o_totalprice").alias("renda"),
         F.expr("CAST(o_custkey % 5 + 1 AS DOUBLE)").alias("peso"),

@@ -114,7 +114,7 @@ register("person_household_join",
          f"JOIN (SELECT {select_sql({**HOUSEHOLD_KEYS, **HOUSEHOLD_FIELDS})} FROM orders) d "
          "ON p.area_de_ponderacao = d.area_de_ponderacao AND p.controle = d.controle "
          "GROUP BY d.situacao_do_domicilio")(
-    lambda spark, d: (lambda p, h: p.join(h, ["area_de_ponderacao", "controle"], "inner")
+    lambda spark, d: (lambda p, h: p.hint("merge").join(h, ["area_de_ponderacao", "controle"], "inner")
                       .groupBy("situacao_do_domicilio").agg(
                           F.count(F.lit(1)).alias("n_pessoas"),
                           bigint_half_even(F.sum("peso_amostral")).alias("peso_total")))(

@@ -138,7 +138,7 @@ def _store_by_state(spark, d, person_regions=None) -> str:
     if person_regions is not None:
         r = table(spark, d, "region").where(F.col("r_name").isin(list(person_regions)))
         pp = pp.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    pp = li.join(pp, li.l_orderkey == pp.o_orderkey).select(
+    pp = li.hint("merge").join(pp, li.l_orderkey == pp.o_orderkey).select(
         F.col("n_name").alias("uf"), F.lit("pessoas").alias("file_type"), "o_orderkey",
         F.col("l_quantity").alias("o_totalprice"))
     store.write_partitioned(hh.unionByName(pp), root, by=("uf", "file_type"))
