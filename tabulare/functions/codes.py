@@ -52,12 +52,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def label_sql(code: str, mapping: Mapping, default: str | None = None) -> str:
+    """The SQL text of ``label`` for a column given by name."""
+    by_label: dict[str, list] = {}
+    for k, v in mapping.items():
+        by_label.setdefault(v, []).append(k)
+    whens = " ".join(
+        f"WHEN {code} IN ({', '.join(_sql_literal(k) for k in keys)}) THEN {_sql_literal(lab)}"
+        for lab, keys in by_label.items())
+    tail = f" ELSE {_sql_literal(default)}" if default is not None else ""
+    return f"CASE {whens}{tail} END"
+
+
 def label(code, mapping: Mapping, default: str | None = None) -> Column:
     """``CASE code WHEN k THEN v ... [ELSE default] END``.
 
-    Codes sharing a label become one ``isin`` branch. With a default, a NULL code
+    Codes sharing a label become one ``IN`` branch. With a default, a NULL code
     also gets the default (SQL ``ELSE`` semantics), as the water/sewage tables do.
+    A code given by name is rendered as one SQL expression (one call into the
+    JVM instead of one per branch); a Column gets the equivalent ``when`` chain.
     """
+    if isinstance(code, str):
+        return F.expr(label_sql(code, mapping, default))
     code = _c(code)
     by_label: dict[str, list] = {}
     for k, v in mapping.items():

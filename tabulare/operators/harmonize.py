@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulare.functions import codes
 from tabulare.functions.codes import flag_any, flag_eq, flag_in, label
@@ -50,13 +51,15 @@ def census_to_morador(pessoas: DataFrame, domicilios: DataFrame, uf: str | None
     uf_col = F.lit(uf) if uf is not None else F.col("d.uf")
     dc = lambda n: F.col(f"d.{n}")
     pc = lambda n: F.col(f"p.{n}")
+    dn = lambda n: f"d.{n}"  # noqa: E731  (names, for the label expressions)
+    pn = lambda n: f"p.{n}"
     return j.select(
         F.lit("IBGE").alias("provedor"),
         F.lit("census_2010").alias("fonte"),
         F.lit(2010).alias("ano"),
         uf_col.alias("uf"),
         pc("peso_amostral").alias("peso"),
-        label(dc("situacao_do_domicilio"), codes.SITUACAO).alias("situacao"),
+        label(dn("situacao_do_domicilio"), codes.SITUACAO).alias("situacao"),
         household_key(uf_col, dc("area_de_ponderacao"), dc("controle")).alias("id_domicilio"),
         dc("comodos_numero").alias("n_comodos"),
         dc("comodos_como_dormitorio_numero").alias("n_dormitorios"),
@@ -65,18 +68,18 @@ def census_to_morador(pessoas: DataFrame, domicilios: DataFrame, uf: str | None
         dc("valor_do_aluguel_em_reais").alias("valor_aluguel"),
         dc("rendimento_mensal_domiciliar_em_julho_de_2010").alias("rendimento_domiciliar"),
         dc("rendimento_domiciliar_per_capita_em_julho_de_2010").alias("rendimento_per_capita"),
-        label(dc("abastecimento_de_agua_forma"), codes.AGUA_CENSO, codes.OUTRO).alias("agua"),
-        label(dc("esgotamento_sanitario_tipo"), codes.ESGOTO_CENSO, codes.OUTRO).alias("esgoto"),
-        label(dc("energia_eletrica_existencia"), codes.ENERGIA_CENSO).alias("energia"),
+        label(dn("abastecimento_de_agua_forma"), codes.AGUA_CENSO, codes.OUTRO).alias("agua"),
+        label(dn("esgotamento_sanitario_tipo"), codes.ESGOTO_CENSO, codes.OUTRO).alias("esgoto"),
+        label(dn("energia_eletrica_existencia"), codes.ENERGIA_CENSO).alias("energia"),
         flag_eq(dc("geladeira_existencia")).alias("geladeira"),
         flag_eq(dc("maquina_de_lavar_roupa_existencia")).alias("maquina_lavar"),
         flag_eq(dc("microcomputador_com_acesso_a_internet_existencia")).alias("internet"),
         flag_any(flag_eq(dc("automovel_para_uso_particular_existencia")),
                  flag_eq(dc("motocicleta_para_uso_particular_existencia"))).alias("auto_moto"),
         dc("codigo_do_municipio").alias("municipio"),
-        label(pc("sexo"), codes.SEXO).alias("sexo"),
+        label(pn("sexo"), codes.SEXO).alias("sexo"),
         pc("variavel_auxiliar_da_idade_calculada_em_anos").alias("idade"),
-        label(pc("cor_ou_raca"), codes.COR_RACA).alias("cor_raca"),
+        label(pn("cor_ou_raca"), codes.COR_RACA).alias("cor_raca"),
         F.lit(None).cast("string").alias("combustivel_cozinha"),
     )
 
@@ -90,7 +93,7 @@ def pnadc_to_morador(moradores: DataFrame, year: int = 2025) -> DataFrame:
         F.lit(year).alias("ano"),
         c("uf"),
         c("peso_com_calibracao").alias("peso"),
-        label(c("tipo_de_situacao_da_regiao"), codes.SITUACAO).alias("situacao"),
+        label("tipo_de_situacao_da_regiao", codes.SITUACAO).alias("situacao"),
         household_key(c("upa"), c("numero_de_selecao_do_domicilio"), c("painel")).alias("id_domicilio"),
         c("numero_de_comodos").alias("n_comodos"),
         c("numero_de_dormitorios").alias("n_dormitorios"),
@@ -99,18 +102,18 @@ def pnadc_to_morador(moradores: DataFrame, year: int = 2025) -> DataFrame:
         c("valor_do_aluguel_mensal").alias("valor_aluguel"),
         c("rendimento_habitual_domiciliar_mensal").alias("rendimento_domiciliar"),
         c("rendimento_habitual_domiciliar_per_capita_mensal").alias("rendimento_per_capita"),
-        label(c("principal_forma_de_abastecimento_de_agua"), codes.AGUA_PNADC, codes.OUTRO).alias("agua"),
-        label(c("destino_do_esgoto_do_banheiro"), codes.ESGOTO_PNADC, codes.OUTRO).alias("esgoto"),
-        label(c("origem_da_energia_eletrica"), codes.ENERGIA_PNADC).alias("energia"),
+        label("principal_forma_de_abastecimento_de_agua", codes.AGUA_PNADC, codes.OUTRO).alias("agua"),
+        label("destino_do_esgoto_do_banheiro", codes.ESGOTO_PNADC, codes.OUTRO).alias("esgoto"),
+        label("origem_da_energia_eletrica", codes.ENERGIA_PNADC).alias("energia"),
         flag_in(c("domicilio_possui_geladeira"), (1, 2)).alias("geladeira"),
         flag_eq(c("domicilio_possui_maquina_de_lavar_roupa")).alias("maquina_lavar"),
         flag_eq(c("acessa_a_internet")).alias("internet"),
         flag_eq(c("possui_automovel_ou_motocicleta_de_uso_pessoal")).alias("auto_moto"),
         F.lit(None).cast("int").alias("municipio"),
-        label(c("sexo"), codes.SEXO).alias("sexo"),
+        label("sexo", codes.SEXO).alias("sexo"),
         c("idade_na_data_de_referencia").alias("idade"),
-        label(c("cor_ou_raca"), codes.COR_RACA).alias("cor_raca"),
-        label(c("combustivel_mais_utilizado_na_preparacao_dos_alimentos"),
+        label("cor_ou_raca", codes.COR_RACA).alias("cor_raca"),
+        label("combustivel_mais_utilizado_na_preparacao_dos_alimentos",
               codes.COMBUSTIVEL).alias("combustivel_cozinha"),
     )
 
@@ -124,8 +127,9 @@ def harmonize(*sources: DataFrame, full_schema: bool = False, not_null: str = "f
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
-    conformed = conform(out, MORADOR, not_null=not_null)
-    return conformed if full_schema else conformed.select(*LOADED_COLUMNS)
+    schema = MORADOR if full_schema else T.StructType(
+        [f for f in MORADOR.fields if f.name in LOADED_COLUMNS])
+    return conform(out, schema, not_null=not_null)
 
 
 def uf_dimension(spark: SparkSession) -> DataFrame:
