@@ -15,11 +15,13 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "tabulare") -> SparkSession:
+                  app_name: str = "tabulare", driver_memory: str | None = None) -> SparkSession:
     """A session with the settings this library assumes (AQE on, UTC, no UI).
 
-    ``master``/``shuffle_partitions`` are only for local runs; on a cluster the
-    launcher's settings win because ``getOrCreate`` reuses the active session.
+    ``master``/``shuffle_partitions``/``driver_memory`` are only for local
+    runs (in local mode the driver heap is the executors' heap, and only takes
+    effect if the JVM is not running yet); on a cluster the launcher's settings
+    win because ``getOrCreate`` reuses the active session.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -36,6 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
