@@ -125,3 +125,20 @@ def test_only_needed_fields_are_computed(spark):
     L = packaged_layout("lineitem_census")
     df = parse_fwf(spark.createDataFrame([("x" * 57,)], "value string"), L, fields=["L0001"])
     assert df.columns == ["chave_do_pedido"]
+
+
+def test_layout_csv_from_storage(spark, tmpdir_path):
+    from tabulare.sources.layout import layout_from_df, read_layout_csv
+
+    path = os.path.join(tmpdir_path, "domicilios.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("variable,description,start,end,length,decimals,type\n"
+                 "V0001,\"UNIDADE DA FEDERAÇÃO: 11- Rondônia, 12- Acre\",1,2,2,,A\n"
+                 "V0010,PESO AMOSTRAL,29,44,3,13,N\n"
+                 "V1006,,53,53,1,,N\n")
+    df = read_layout_csv(spark, path)
+    assert df.count() == 3 and all(t == "string" for _, t in df.dtypes)
+    L = layout_from_df(df)
+    assert L.names() == {"V0001": "unidade_da_federacao", "V0010": "peso_amostral", "V1006": "v1006"}
+    assert [L.spark_type(f).simpleString() for f in L.fields] == ["tinyint", "double", "tinyint"]
+    assert L.fields[1].width == 16 and L.scale(L.fields[1]) == 13
