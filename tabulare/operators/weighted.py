@@ -88,6 +88,36 @@ def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
     )
 
 
+def weighted_distributions(df: DataFrame, attributes: Sequence[str], weight,
+                           top: int | None = None, include_nulls: bool = False,
+                           attr_alias: str = "atributo", value_alias: str = "valor",
+                           total_alias: str = "total", pct_alias: str = "pct",
+                           digits: int = 1) -> DataFrame:
+    """A2 + L4 for several attributes in one pass (long format).
+
+    Unpivot to (attribute, value), aggregate once, divide by each attribute's
+    total (a table with one row per attribute, so its broadcast is bounded by
+    the attribute list), and keep the ``top`` largest values per attribute
+    with ``row_number() <= top`` (limited on the map side before the shuffle).
+    """
+    w = _c(weight).alias("_weight")
+    long = df.select(w, *[_c(a).cast("string").alias(a) for a in attributes]).unpivot(
+        "_weight", list(attributes), attr_alias, value_alias)
+    if not include_nulls:
+        long = long.where(F.col(value_alias).isNotNull())
+    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
+    totals = per_value.groupBy(attr_alias).agg(F.sum("_w").alias("_t"))
+    out = per_value.join(F.broadcast(totals), attr_alias).select(
+        attr_alias, value_alias, "_w",
+        bigint_half_even("_w").alias(total_alias),
+        pct("_w", "_t", digits).alias(pct_alias))
+    if top is not None:
+        spec = Window.partitionBy(attr_alias).orderBy(F.col("_w").desc(),
+                                                      F.col(value_alias).asc_nulls_last())
+        out = out.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") <= top).drop("_rn")
+    return out.drop("_w")
+
+
 def filtered_ratio(weight, numerator: Column, denominator: Column, digits: int = 1) -> Column:
     """A5 + F5 as an aggregate ``Column``: ``100·Σw[num] / Σw[den]``.
 

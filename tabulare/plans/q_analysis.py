@@ -52,6 +52,20 @@ register("weighted_modes",
          "FROM r WHERE rn = 1")(
     lambda spark, d: weighted.weighted_modes(table(spark, d, "lineitem"), _MODE_ATTRS, "l_quantity"))
 
+# ---------------------------------------------------------------- A2 + L4, several attributes at once
+_DIST_ATTRS = ("o_orderpriority", "o_orderstatus", "o_custkey")
+register("distributions_by_attribute",
+         "WITH longo AS (" + " UNION ALL ".join(
+             f"SELECT '{a}' AS atributo, CAST({a} AS VARCHAR) AS valor, o_totalprice AS w FROM orders"
+             for a in _DIST_ATTRS) + "), "
+         "g AS (SELECT atributo, valor, SUM(w) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2), "
+         "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY atributo ORDER BY s DESC, valor) AS rn, "
+         "SUM(s) OVER (PARTITION BY atributo) AS t FROM g) "
+         "SELECT atributo, valor, CAST(ROUND(s, 2) AS BIGINT) AS total, ROUND(100.0 * s / t, 1) AS pct "
+         "FROM r WHERE rn <= 6")(
+    lambda spark, d: weighted.weighted_distributions(table(spark, d, "orders"), _DIST_ATTRS,
+                                                     "o_totalprice", top=6))
+
 # ---------------------------------------------------------------- A5, F5, A6
 register("filtered_ratio",
          "SELECT ROUND(100.0 * SUM(l_quantity) FILTER (WHERE l_returnflag = 'R') "

@@ -109,3 +109,14 @@ def test_quality(spark):
     assert enc == {"b": True}
     b = quality.benchmark_deviation(spark.createDataFrame([(100.0,), (95.0,)], "w double"), "w", 199.0).first()
     assert b.total_estimado == 195 and b.dentro_tolerancia is True and b.desvio_pct == 2.0
+
+
+def test_distributions_for_several_attributes(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 3.0), (None, "y", 4.0)],
+                               "p string, q string, w double")
+    got = {(r.atributo, r.valor): (r.total, r.pct)
+           for r in weighted.weighted_distributions(df, ["p", "q"], "w").collect()}
+    assert got == {("p", "a"): (3, 50.0), ("p", "b"): (3, 50.0),
+                   ("q", "x"): (1, 10.0), ("q", "y"): (9, 90.0)}
+    top1 = {(r.atributo, r.valor) for r in weighted.weighted_distributions(df, ["p", "q"], "w", top=1).collect()}
+    assert top1 == {("p", "a"), ("q", "y")}                  # tie on p broken by the smaller value
