@@ -107,6 +107,7 @@ def weighted_distributions(df: DataFrame, attributes: Sequence[str], weight,
         long = long.where(F.col(value_alias).isNotNull())
     per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
     totals = per_value.groupBy(attr_alias).agg(F.sum("_w").alias("_t"))
+    # one row per listed attribute: bounded by construction, no count needed
     out = per_value.join(F.broadcast(totals), attr_alias).select(
         attr_alias, value_alias, "_w",
         bigint_half_even("_w").alias(total_alias),

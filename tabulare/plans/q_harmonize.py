@@ -15,6 +15,7 @@ from tabulare.plans.standins import (
     pnadc_persons, select_sql, table,
 )
 from tabulare.schemas import MORADOR_COLUMNS
+from tabulare.session import broadcast_if_small
 
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -129,6 +130,6 @@ register("code_lookup_join",
     lambda spark, d: (lambda dim: weighted.count_by(
         H.lookup_state(table(spark, d, "customer"), "c_nationkey", dim, "n_nationkey")
         .select(F.col("n_name").alias("uf")), "uf", alias="n_linhas"))(
-        table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")),
+        table(spark, d, "nation").join(broadcast_if_small(table(spark, d, "region")),
                                        F.col("n_regionkey") == F.col("r_regionkey"))
         .where(~F.col("r_name").isin(list(LOOKUP_REGIONS_EXCLUDED))).select("n_nationkey", "n_name")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
 from tabulare.plans.standins import table, table_path
-from tabulare.session import derived_input, ensure_dir, ensure_parallelism, local_fs_path
+from tabulare.session import broadcast_if_small, derived_input, ensure_dir, ensure_parallelism, local_fs_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_field, encode_fwf, parse_fwf, read_fwf
 from tabulare.sources.layout import packaged_layout
@@ -318,8 +318,8 @@ register("slugify",
          f"COUNT(*) AS n FROM (SELECT {_LABEL} AS t FROM customer JOIN nation ON c_nationkey = n_nationkey "
          "JOIN region ON n_regionkey = r_regionkey) x GROUP BY 1")(
     lambda spark, d: ensure_parallelism(table(spark, d, "customer"))
-    .join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    .join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    .join(broadcast_if_small(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    .join(broadcast_if_small(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     .select(slug(F.expr(_LABEL)).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")))
 
 # ---------------------------------------------------------------- S5, J4
@@ -334,6 +334,6 @@ register("label_dictionary",
          "LEFT JOIN (VALUES " + ", ".join(f"('{m}', '{t}')" for m, t in _brand_dictionary_rows())
          + ") AS dic(marca, descricao) ON p_brand = marca")(
     lambda spark, d: table(spark, d, "part").join(
-        F.broadcast(spark.createDataFrame(_brand_dictionary_rows(), "marca string, descricao string")),
+        broadcast_if_small(spark.createDataFrame(_brand_dictionary_rows(), "marca string, descricao string")),
         F.col("p_brand") == F.col("marca"), "left").select(
         "p_partkey", "p_brand", F.coalesce("descricao", F.lit(_DEFAULT_DESC)).alias("descricao")))

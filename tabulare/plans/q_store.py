@@ -13,7 +13,7 @@ from tabulare.functions.numeric import bigint_half_even
 from tabulare.plans.q_harmonize import MORADOR_SQL, morador
 from tabulare.plans.registry import register
 from tabulare.plans.standins import ORDERS_WITH_STATE_SQL, orders_with_state, table
-from tabulare.session import scratch_path
+from tabulare.session import broadcast_if_small, scratch_path
 from tabulare.sinks import store
 from tabulare.sources.catalog import missing_partitions, partition_catalog
 
@@ -137,7 +137,7 @@ def _store_by_state(spark, d, person_regions=None) -> str:
     pp = orders_with_state(spark, d)
     if person_regions is not None:
         r = table(spark, d, "region").where(F.col("r_name").isin(list(person_regions)))
-        pp = pp.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+        pp = pp.join(broadcast_if_small(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     pp = li.hint("merge").join(pp, li.l_orderkey == pp.o_orderkey).select(
         F.col("n_name").alias("uf"), F.lit("pessoas").alias("file_type"), "o_orderkey",
         F.col("l_quantity").alias("o_totalprice"))

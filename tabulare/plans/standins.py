@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulare.functions import codes
+from tabulare.session import broadcast_if_small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -147,8 +148,8 @@ def households(spark: SparkSession, sf_dir: str, with_state: bool = False) -> Da
     if with_state:
         c = table(spark, sf_dir, "customer")
         n = table(spark, sf_dir, "nation")
-        # nation is a 25-row dimension: broadcast; customer vs orders is left to AQE
-        o = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+        # nation is a dimension: broadcast after a size check; customer vs orders is left to AQE
+        o = o.join(c, o.o_custkey == c.c_custkey).join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey)
         exprs.update(HOUSEHOLD_STATE_FIELDS)
     return derive(o, exprs)
 
@@ -166,7 +167,7 @@ def orders_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     return (o.join(c, o.o_custkey == c.c_custkey)
-             .join(F.broadcast(n), c.c_nationkey == n.n_nationkey))
+             .join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey))
 
 
 # -- SQL renderings of the survey code tables for the oracle --

@@ -80,6 +80,23 @@ def ensure_dir(path: str) -> None:
         os.makedirs(p, exist_ok=True)
 
 
+# Most rows a table may have to be broadcast to every task.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint for ``df`` only after checking that it is small.
+
+    The check reads at most ``max_rows + 1`` rows (a bounded job on a
+    dimension-sized table). Beyond the bound the DataFrame is returned as is
+    and the planner picks the join strategy (sort-merge, or a runtime
+    broadcast if AQE measures it small).
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def ensure_parallelism(df, max_splits: int = 16):
     """Spread an input that arrives in only a handful of splits.
 

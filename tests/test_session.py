@@ -39,3 +39,20 @@ def test_ensure_parallelism(spark):
     assert ensure_parallelism(many) is many
     split_enough = spark.range(100).repartition(20)            # > max_splits: left alone
     assert ensure_parallelism(split_enough) is split_enough
+
+
+def test_broadcast_only_after_size_check(spark):
+    from tabulare.session import broadcast_if_small
+
+    small, big = spark.range(10), spark.range(100)
+    fact = spark.range(1000).withColumnRenamed("id", "k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j1 = fact.join(broadcast_if_small(small, max_rows=50), fact.k == small.id)
+        j2 = fact.join(broadcast_if_small(big, max_rows=50), fact.k == big.id)
+        assert "BroadcastHashJoin" in j1._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in j2._jdf.queryExecution().executedPlan().toString()
+        assert j1.count() == 10 and j2.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
