@@ -22,9 +22,12 @@ from tabulare.plans.registry import register
 from tabulare.plans.standins import table, table_path
 from tabulare.session import broadcast_if_small, derived_input, ensure_dir, ensure_parallelism, local_fs_path
 from tabulare.sources import archive, listings
-from tabulare.sources.fwf import LATIN1, encode_field, encode_fwf, parse_fwf, read_fwf
+from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, read_fwf
 from tabulare.sources.layout import packaged_layout
 
+# Bump when the way a derived input is built changes, so cached copies are not reused.
+DERIVED_VERSION = "2"
+
 # ---------------------------------------------------------------- S1, P2, P4, P3
 LINEITEM = packaged_layout("lineitem_census", "census")
 
@@ -38,7 +41,8 @@ def _lineitem_lines(spark, d) -> str:
                   "L0004": c("l_linenumber"), "L0005": c("l_quantity"), "L0006": c("l_extendedprice"),
                   "L0007": c("l_discount"), "L0008": c("l_tax"), "L0009": F.year("l_shipdate")}
         encode_fwf(li, LINEITEM, values).write.mode("overwrite").text(path)
-    return derived_input(spark, "fwf-lineitem", [table_path(d, "lineitem")], build)
+    return derived_input(spark, "fwf-lineitem", [table_path(d, "lineitem")], build,
+                         version=DERIVED_VERSION)
 
 
 register("fwf_scan",
@@ -73,20 +77,15 @@ _ORDERS_ORACLE = (
 
 
 def _encoded_value():
-    """The encoded orders line as one Column (the expression ``encode_fwf`` builds)."""
-    pieces, pos = [], 1
-    for f in sorted(ORDERS.fields, key=lambda x: x.start):
-        if f.start > pos:
-            pieces.append(F.lit(" " * (f.start - pos)))
-        pieces.append(encode_field(ORDERS, f, F.expr(_ORDERS_VALUES[f.variable])))
-        pos = f.end + 1
-    return F.concat(*pieces).alias("value")
+    """An ``orders`` row as a PNADC-style fixed-width line."""
+    return encode_line(ORDERS, {k: F.expr(v) for k, v in _ORDERS_VALUES.items()}).alias("value")
 
 
 def _fwf_sparse(spark, d):
     def build(path):
         ensure_parallelism(table(spark, d, "orders")).select(_encoded_value()).write.mode("overwrite").text(path)
-    return read_fwf(spark, derived_input(spark, "fwf-orders", [table_path(d, "orders")], build), ORDERS)
+    path = derived_input(spark, "fwf-orders", [table_path(d, "orders")], build, version=DERIVED_VERSION)
+    return read_fwf(spark, path, ORDERS)
 
 
 register("fwf_scan_sparse", _ORDERS_ORACLE)(_fwf_sparse)
@@ -99,7 +98,7 @@ _PIECE = 40
 
 def _document_words(spark, d):
     path = derived_input(spark, "fwf-latin1", [table_path(d, "documents")],
-                         lambda p: _write_document_words(spark, d, p))
+                         lambda p: _write_document_words(spark, d, p), version=DERIVED_VERSION)
     parsed = read_fwf(spark, path, WORDS, encoding=LATIN1)
     return parsed.groupBy(F.col("identificador_do_documento")).agg(
         F.count(F.when(F.col("pedaco_da_palavra") == 0, 1)).alias("n_palavras"),
@@ -182,7 +181,7 @@ def _archives(spark, d) -> str:
         (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
          .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
         open(f"{local_fs_path(out_dir)}/_SUCCESS", "w").close()
-    return derived_input(spark, "zips", [table_path(d, "orders")], build)
+    return derived_input(spark, "zips", [table_path(d, "orders")], build, version=DERIVED_VERSION)
 
 
 register("zip_ingest", _ORDERS_ORACLE + " WHERE o_orderstatus IN ('F', 'O')")(
@@ -243,7 +242,8 @@ def _listing_pages(spark, d):
 
 def _listings(spark, d):
     path = derived_input(spark, "listings", [table_path(d, "part")],
-                         lambda p: _listing_pages(spark, d).write.mode("overwrite").text(p))
+                         lambda p: _listing_pages(spark, d).write.mode("overwrite").text(p),
+                         version=DERIVED_VERSION)
     return listings.parse_listings(listings.read_listing_pages(spark, path))
 
 

@@ -99,8 +99,8 @@ def encode_field(layout: Layout, f: Field, value: Column) -> Column:
     return F.when(value.isNull(), F.lit(" " * w)).otherwise(txt)
 
 
-def encode_fwf(df: DataFrame, layout: Layout, values: dict[str, Column]) -> DataFrame:
-    """One ``value`` line per row; gaps between sparse fields are spaces.
+def encode_line(layout: Layout, values: dict[str, Column]) -> Column:
+    """The fixed-width line as one Column; gaps between sparse fields are spaces.
 
     ``values`` maps layout variables to the Column holding their value.
     """
@@ -111,4 +111,9 @@ def encode_fwf(df: DataFrame, layout: Layout, values: dict[str, Column]) -> Data
             pieces.append(F.lit(" " * (f.start - pos)))
         pieces.append(encode_field(layout, f, values[f.variable]))
         pos = f.end + 1
-    return df.select(F.concat(*pieces).alias("value"))
+    return F.concat(*pieces)
+
+
+def encode_fwf(df: DataFrame, layout: Layout, values: dict[str, Column]) -> DataFrame:
+    """One ``value`` line per row of ``df``."""
+    return df.select(encode_line(layout, values).alias("value"))
