@@ -24,6 +24,20 @@ from tabulare.sources.listings import listings_to_imovel, parse_listings, read_l
 
 # census files sit in one folder per state: .../<UF>/Amostra_Pessoas_12.txt
 STATE_DIR = r"/([A-Z]{2})/[^/]+$"
+# Census sample file types and their file-name prefixes.
+CENSUS_FILE_TYPES = {
+    "domicilios": "Amostra_Domicilios",
+    "pessoas": "Amostra_Pessoas",
+    "emigracao": "Amostra_Emigracao",
+    "mortalidade": "Amostra_Mortalidade",
+}
+# a state's archive is named by its abbreviation, big states in parts (SP1, SP2_RM)
+ARCHIVE_STATE = r"/([A-Z]{2})[^/]*\.zip$"
+
+
+def census_files(root: str) -> dict[str, str]:
+    """Globs of every state's text files per file type, for ``ingest_census``."""
+    return {t: f"{root.rstrip('/')}/*/{prefix}*.txt" for t, prefix in CENSUS_FILE_TYPES.items()}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,6 +71,41 @@ def ingest_census(spark: SparkSession, files: Mapping[str, str | Sequence[str]],
     return out
 
 
+def ingest_census_archives(spark: SparkSession, archives: str | Sequence[str],
+                           layouts: Mapping[str, Layout], out_root: str, staging: str,
+                           params: HousingParams | None = None) -> dict[str, str]:
+    """Census sample straight from the state archives (S8 + S1, one pass over the ZIPs).
+
+    Every ``.txt`` member is unpacked once into ``staging`` (a Parquet table
+    partitioned by file type and state, on shared storage: it also cuts the
+    lineage, so a lost executor never re-reads archives); then each file type
+    is parsed from its own partition with its layout. Members whose name has
+    no known prefix are ignored; archive parts of one state are appended.
+    """
+    from tabulare.sources.archive import archive_lines
+
+    lines = archive_lines(spark, archives)
+    prefix = F.regexp_extract("membro", r"([^/]+)$", 1)
+    file_type = None
+    for t, p in CENSUS_FILE_TYPES.items():
+        cond = prefix.startswith(p)
+        file_type = F.when(cond, F.lit(t)) if file_type is None else file_type.when(cond, F.lit(t))
+    staged = (lines.select(F.regexp_extract("arquivo", ARCHIVE_STATE, 1).alias("uf"),
+                           file_type.alias("file_type"), "value")
+              .where(F.col("file_type").isNotNull()))
+    staged = filter_states(staged, params.ufs if params else None)
+    write_partitioned(staged, staging, by=("file_type", "uf"))
+    out: dict[str, str] = {}
+    stored = spark.read.parquet(staging)
+    for t, layout in layouts.items():
+        part = stored.where(F.col("file_type") == t)              # partition pruning
+        parsed = parse_fwf(part, layout, encoding=None, keep=["uf"])
+        path = f"{out_root.rstrip('/')}/{t}"
+        write_partitioned(parsed, path, by=("uf",))
+        out[t] = path
+    return out
+
+
 def ingest_pnadc(spark: SparkSession, paths: str | Sequence[str], layout: Layout, out_root: str,
                  params: HousingParams | None = None, overwrite: bool = False) -> str:
     """PNADC visit 1: one national file; the state number is looked up to its
@@ -89,4 +138,5 @@ def ingest_listings(spark: SparkSession, pages_path: str, out_root: str,
     return spark.read.parquet(path).groupBy("uf").agg(F.count(F.lit(1)).alias("n_linhas"))
 
 
-__all__ = ["ingest_census", "ingest_pnadc", "ingest_listings", "UF_CODES"]
+__all__ = ["ingest_census", "ingest_census_archives", "ingest_pnadc", "ingest_listings", "census_files",
+           "CENSUS_FILE_TYPES", "UF_CODES"]

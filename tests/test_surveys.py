@@ -71,3 +71,26 @@ def test_listings_by_state(spark, tmpdir_path):
     sale_sp = ingest_listings(spark, tmpdir_path + "/p.json", tmpdir_path + "/o2",
                               ListingParams(ufs=["SP"], negocio="venda")).collect()
     assert [(r.uf, r.n_linhas) for r in sale_sp] == [("SP", 1)]
+
+
+def test_census_from_archives(spark, tmpdir_path):
+    import zipfile
+
+    from tabulare.sources.surveys import census_files, ingest_census_archives
+
+    def archive(name, members):
+        with zipfile.ZipFile(os.path.join(tmpdir_path, name), "w") as zf:
+            for member, lines in members.items():
+                zf.writestr(member, ("\r\n".join(lines) + "\r\n").encode("latin-1"))
+
+    line = lambda c: "1200013000001" + f"{c:08d}" + "0000005000000000"
+    archive("AC.zip", {"Amostra_Domicilios_12.txt": [line(1), line(2)], "Amostra_Pessoas_12.txt": [line(1)],
+                       "Leia_me.txt": ["not data"]})
+    archive("SP1.zip", {"Amostra_Domicilios_35.txt": [line(3)]})
+    archive("SP2_RM.zip", {"SP2_RM/Amostra_Domicilios_35_RM.txt": [line(4), line(5)]})
+    out = ingest_census_archives(spark, tmpdir_path + "/*.zip", {"domicilios": DOM, "pessoas": DOM},
+                                 tmpdir_path + "/out", tmpdir_path + "/staging")
+    dom = spark.read.parquet(out["domicilios"])
+    assert {r.uf: r["count"] for r in dom.groupBy("uf").count().collect()} == {"AC": 2, "SP": 3}
+    assert spark.read.parquet(out["pessoas"]).count() == 1
+    assert set(census_files("/data")) == {"domicilios", "pessoas", "emigracao", "mortalidade"}
