@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 import zipfile
 from importlib import resources
 
@@ -20,13 +19,13 @@ from pyspark.sql import functions as F
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
 from tabulare.plans.standins import table, table_path
-from tabulare.session import broadcast_if_small, derived_input, ensure_dir, ensure_parallelism, local_fs_path
+from tabulare.session import broadcast_if_small, derived_input, ensure_parallelism, local_fs_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, read_fwf
 from tabulare.sources.layout import packaged_layout
 
 # Bump when the way a derived input is built changes, so cached copies are not reused.
-DERIVED_VERSION = "2"
+DERIVED_VERSION = "3"
 
 # ---------------------------------------------------------------- S1, P2, P4, P3
 LINEITEM = packaged_layout("lineitem_census", "census")
@@ -144,43 +143,57 @@ register("layout_rename",
         *[F.col(src).alias(code) for code, src in _PART_BY_CODE.items()]).withColumnsRenamed(PART_CODES.names()))
 
 # ---------------------------------------------------------------- S8, S9, U3
+def _filesystem(path: str):
+    """A pyarrow filesystem for a local, HDFS, S3 or GCS path, usable inside tasks."""
+    from pyarrow import fs
+
+    local = local_fs_path(path)
+    if local is not None:
+        return fs.LocalFileSystem(), local
+    return fs.FileSystem.from_uri(path)
+
+
 def _write_archives(out_dir: str):
-    """Task-side fixture writer: one ZIP per (status, task); 'P' archives are cut short."""
-    local = local_fs_path(out_dir)
+    """Task-side writer of the archive test inputs: one ZIP per (status, task);
+    the 'P' archives stop halfway, like an interrupted download. Each archive is
+    assembled in memory (bounded by the task's input split) and written in one
+    stream, so a retried task rewrites the same file."""
 
     def fn(batches):
+        filesystem, root = _filesystem(out_dir)
         pid = TaskContext.get().partitionId()
-        files: dict[str, zipfile.ZipFile] = {}
-        n = 0
-        for pdf in batches:
+        buffers: dict[str, io.BytesIO] = {}
+        zips: dict[str, zipfile.ZipFile] = {}
+        for n, pdf in enumerate(batches):
             for status, g in pdf.groupby("status"):
-                path = f"{local}/{status}_{pid:05d}.zip"
-                zf = files.get(status) or files.setdefault(status, zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED))
+                if status not in zips:
+                    buffers[status] = io.BytesIO()
+                    zips[status] = zipfile.ZipFile(buffers[status], "w", zipfile.ZIP_DEFLATED)
                 body = ("\r\n".join(g["value"]) + "\r\n").encode("latin-1")
-                zf.writestr(f"{status}_{pid:05d}_{n:04d}.txt", body)
-            n += 1
+                zips[status].writestr(f"{status}_{pid:05d}_{n:04d}.txt", body)
         out = []
-        for status, zf in files.items():
+        for status, zf in zips.items():
             zf.close()
-            path = f"{local}/{status}_{pid:05d}.zip"
-            if status == "P":                      # a download that stopped halfway
-                size = os.path.getsize(path)
-                with open(path, "r+b") as fh:
-                    fh.truncate(size // 2)
-            out.append((status, path))
+            data = buffers[status].getvalue()
+            if status == "P":
+                data = data[: len(data) // 2]
+            name = f"{root}/{status}_{pid:05d}.zip"
+            with filesystem.open_output_stream(name) as fh:
+                fh.write(data)
+            out.append((status, name))
         yield pd.DataFrame(out, columns=["status", "arquivo"])
     return fn
 
 
 def _archives(spark, d) -> str:
     def build(out_dir):
-        if local_fs_path(out_dir) is None:
-            raise RuntimeError("the archive fixture writer needs a locally mounted scratch folder")
-        ensure_dir(out_dir)
+        filesystem, root = _filesystem(out_dir)
+        filesystem.create_dir(root, recursive=True)
         o = ensure_parallelism(table(spark, d, "orders"))
         (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
          .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
-        open(f"{local_fs_path(out_dir)}/_SUCCESS", "w").close()
+        with filesystem.open_output_stream(f"{root}/_SUCCESS"):
+            pass
     return derived_input(spark, "zips", [table_path(d, "orders")], build, version=DERIVED_VERSION)
 
 
