@@ -15,7 +15,7 @@ from tabulare.plans.registry import register
 from tabulare.plans.standins import ORDERS_WITH_STATE_SQL, orders_with_state, table
 from tabulare.session import broadcast_if_small, scratch_path
 from tabulare.sinks import store
-from tabulare.sources.catalog import missing_partitions, partition_catalog
+from tabulare.sources.catalog import missing_partitions, partition_catalog, rows_per_state
 
 _ORDERS_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 _ORDERS_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, "
@@ -129,10 +129,14 @@ register("replace_by_source",
 _PERSON_REGIONS = ("AMERICA", "EUROPE")
 
 
-def _store_by_state(spark, d, person_regions=None) -> str:
+def _store_by_state(spark, d, person_regions=None, household_regions=None) -> str:
     root = scratch_path(spark, "store-by-uf")
-    hh = orders_with_state(spark, d).select(F.col("n_name").alias("uf"), F.lit("domicilios").alias("file_type"),
-                                            "o_orderkey", "o_totalprice")
+    hh = orders_with_state(spark, d)
+    if household_regions is not None:
+        r = table(spark, d, "region").where(F.col("r_name").isin(list(household_regions)))
+        hh = hh.join(broadcast_if_small(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    hh = hh.select(F.col("n_name").alias("uf"), F.lit("domicilios").alias("file_type"),
+                   "o_orderkey", "o_totalprice")
     li = table(spark, d, "lineitem")
     pp = orders_with_state(spark, d)
     if person_regions is not None:
@@ -157,6 +161,24 @@ register("partition_catalog",
          f"{ORDERS_WITH_STATE_SQL} ON l_orderkey = o_orderkey GROUP BY n_name")(_catalog)
 
 
+_HOUSEHOLD_REGIONS = ("AFRICA", "AMERICA", "ASIA")
+
+
+def _rows_per_state(spark, d):
+    # household files only for some regions: the others fall back to their person file
+    root = _store_by_state(spark, d, household_regions=_HOUSEHOLD_REGIONS)
+    return rows_per_state(partition_catalog(spark, root), ("domicilios", "pessoas"))
+
+
+register("rows_per_state",
+         f"SELECT n_name AS uf, 'domicilios' AS file_type, COUNT(*) AS n_linhas FROM {ORDERS_WITH_STATE_SQL} "
+         "JOIN region ON n_regionkey = r_regionkey WHERE r_name IN "
+         f"({', '.join(repr(r) for r in _HOUSEHOLD_REGIONS)}) GROUP BY n_name UNION ALL "
+         "SELECT n_name AS uf, 'pessoas' AS file_type, COUNT(*) AS n_linhas FROM lineitem JOIN "
+         f"{ORDERS_WITH_STATE_SQL} ON l_orderkey = o_orderkey JOIN region ON n_regionkey = r_regionkey "
+         f"WHERE r_name NOT IN ({', '.join(repr(r) for r in _HOUSEHOLD_REGIONS)}) GROUP BY n_name")(_rows_per_state)
+
+
 def _missing(spark, d):
     root = _store_by_state(spark, d, _PERSON_REGIONS)
     present = partition_catalog(spark, root)

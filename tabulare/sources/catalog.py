@@ -25,6 +25,22 @@ def partition_catalog(spark: SparkSession, root: str, partition_cols: Sequence[s
     return df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("n_linhas"))
 
 
+def rows_per_state(catalog: DataFrame, preference: Sequence[str] = ("domicilios", "moradores"),
+                   state_col: str = "uf") -> DataFrame:
+    """Rows per state from the first stored file type in ``preference``
+    (the household file, else the PNADC person file); states with none of
+    them are left out. ``catalog`` is ``partition_catalog``'s output.
+    """
+    rank = None
+    for i, t in enumerate(preference):
+        cond = F.col("file_type") == F.lit(t)
+        rank = F.when(cond, F.lit(i)) if rank is None else rank.when(cond, F.lit(i))
+    ranked = catalog.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    best = ranked.groupBy(state_col).agg(
+        F.min_by(F.struct("file_type", "n_linhas"), "_rank").alias("_b"))
+    return best.select(state_col, "_b.file_type", "_b.n_linhas").orderBy(state_col)   # L6
+
+
 def missing_partitions(expected: DataFrame, present: DataFrame,
                        keys: Sequence[str] = ("uf", "file_type")) -> DataFrame:
     """Expected partitions that are not stored (anti join)."""

@@ -150,3 +150,12 @@ def test_listing_to_imovel_schema(parsed_df):
     out = listings.listings_to_imovel(parsed_df)
     assert out.columns == IMOVEL.fieldNames() and len(out.columns) == 78
     assert out.where(F.col("data_coleta").isNull()).count() == 0
+
+
+def test_rows_per_state_prefers_household_file(spark):
+    from tabulare.sources.catalog import rows_per_state
+
+    cat = spark.createDataFrame([("AC", "domicilios", 10), ("AC", "moradores", 30), ("RO", "moradores", 7),
+                                 ("SP", "pessoas", 99)], "uf string, file_type string, n_linhas long")
+    got = [tuple(r) for r in rows_per_state(cat).collect()]
+    assert got == [("AC", "domicilios", 10), ("RO", "moradores", 7)]   # SP has neither type
