@@ -19,6 +19,7 @@ from __future__ import annotations
 import csv
 import io
 from dataclasses import dataclass
+from functools import cached_property
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,14 +105,31 @@ class Layout:
         return f.decimals if self.rule == "census" else None
 
     # -- P1: readable names -------------------------------------------------
-    def name(self, f: Field) -> str:
+    def _base_name(self, f: Field) -> str:
         if self.rule == "pnadc" and f.variable == "UF":
             return "uf"
         s = slug_py(f.description, heading=(self.rule == "census"))
         return s or f.variable.lower()
 
     def names(self) -> dict[str, str]:
-        return {f.variable: self.name(f) for f in self.fields}
+        """Variable → column name. A name already taken by an earlier field gets
+        the variable code appended, so a parsed frame never has two equal columns."""
+        return dict(self._names)
+
+    @cached_property
+    def _names(self) -> dict[str, str]:
+        out: dict[str, str] = {}
+        seen: set[str] = set()
+        for f in self.fields:
+            n = self._base_name(f)
+            if n in seen:
+                n = f"{n}_{f.variable.lower()}"
+            seen.add(n)
+            out[f.variable] = n
+        return out
+
+    def name(self, f: Field) -> str:
+        return self._names[f.variable]
 
     def schema(self, mapped: bool = True) -> T.StructType:
         return T.StructType([

@@ -142,3 +142,8 @@ def test_layout_csv_from_storage(spark, tmpdir_path):
     assert L.names() == {"V0001": "unidade_da_federacao", "V0010": "peso_amostral", "V1006": "v1006"}
     assert [L.spark_type(f).simpleString() for f in L.fields] == ["tinyint", "double", "tinyint"]
     assert L.fields[1].width == 16 and L.scale(L.fields[1]) == 13
+
+
+def test_colliding_names_are_made_unique():
+    L = _layout([("V1", "RENDA: total", "1", "2", "2", "", "N"), ("V2", "RENDA 1- faixa", "3", "4", "2", "", "N")])
+    assert L.names() == {"V1": "renda", "V2": "renda_v2"}
