@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.functions import codes
 from tabulare.session import broadcast_if_small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -178,5 +177,5 @@ def case_sql(col: str, mapping: dict, default: str | None = None) -> str:
     return f"CASE {whens}{tail} END"
 
 
-__all__ = ["codes", "table", "derive", "select_sql", "case_sql", "households", "persons",
+__all__ = ["table", "table_path", "derive", "select_sql", "case_sql", "households", "persons",
            "pnadc_persons", "orders_with_state"]
