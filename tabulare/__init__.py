@@ -19,6 +19,7 @@ from tabulare.operators.harmonize import census_to_morador, harmonize, pnadc_to_
 from tabulare.operators.household import (
     collapse, count_distinct_households, first_row, grain_totals, household_key, weight_consistency,
 )
+from tabulare.operators.portrait import household_portrait
 from tabulare.operators.quality import benchmark_deviation, encoding_check, null_profile
 from tabulare.operators.weighted import (
     filtered_ratio, flag_shares, share_true, top_categories, weighted_distribution,
@@ -35,7 +36,8 @@ from tabulare.sources.surveys import ingest_census, ingest_census_archives, inge
 __all__ = [
     "affordability", "band", "band_distribution", "cumulative_pct", "filter_source", "filter_states",
     "census_to_morador", "harmonize", "pnadc_to_morador", "collapse", "count_distinct_households",
-    "first_row", "grain_totals", "household_key", "weight_consistency", "benchmark_deviation",
+    "first_row", "grain_totals", "household_key", "weight_consistency", "household_portrait",
+    "benchmark_deviation",
     "encoding_check", "null_profile", "filtered_ratio", "flag_shares", "share_true", "top_categories",
     "weighted_distribution", "weighted_distributions", "weighted_modes", "weighted_total",
     "HousingParams", "ListingParams", "IMOVEL", "MORADOR", "conform", "build_session", "parse_fwf",

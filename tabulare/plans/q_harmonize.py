@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulare.functions import codes
 from tabulare.operators import harmonize as H
 from tabulare.operators import filters, weighted
+from tabulare.operators.portrait import PORTRAIT_ATTRIBUTES, household_portrait
 from tabulare.functions.numeric import bigint_half_even
 from tabulare.plans.registry import register
 from tabulare.plans.standins import (
@@ -107,6 +108,20 @@ register("filter_states",
         filters.filter_in(filters.filter_states(morador(spark, d), _STATES), "fonte", _SOURCES),
         "fonte", "uf"))
 
+# ---------------------------------------------------------------- household portrait (one source)
+_PORTRAIT_COLS = ("peso",) + PORTRAIT_ATTRIBUTES
+_PORTRAIT_HOMES = ("(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id_domicilio ORDER BY "
+                   + ", ".join(f"{c} ASC NULLS LAST" for c in _PORTRAIT_COLS)
+                   + f") AS rn FROM {MORADOR_SQL} m WHERE fonte = 'pnadc_2025') x WHERE rn = 1)")
+register("household_portrait",
+         f"WITH h AS {_PORTRAIT_HOMES}, longo AS ("
+         + " UNION ALL ".join(f"SELECT '{a}' AS atributo, CAST({a} AS VARCHAR) AS valor, peso AS w FROM h"
+                              for a in PORTRAIT_ATTRIBUTES)
+         + "), g AS (SELECT atributo, valor, SUM(w) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2) "
+         "SELECT atributo, valor, CAST(ROUND(s, 2) AS BIGINT) AS total, "
+         "ROUND(100.0 * s / SUM(s) OVER (PARTITION BY atributo), 1) AS pct FROM g")(
+    lambda spark, d: household_portrait(morador(spark, d), "pnadc_2025"))
+
 # ---------------------------------------------------------------- J1 on its own
 register("person_household_join",
          f"SELECT d.situacao_do_domicilio AS situacao_do_domicilio, COUNT(*) AS n_pessoas, "
