@@ -67,18 +67,22 @@ register("distributions_by_attribute",
                                                      "o_totalprice", top=6))
 
 # ---------------------------------------------------------------- A5, F5, A6
-register("filtered_ratio",
-         "SELECT ROUND(100.0 * SUM(l_quantity) FILTER (WHERE l_returnflag = 'R') "
-         "/ NULLIF(SUM(l_quantity) FILTER (WHERE l_returnflag <> 'N'), 0), 1) AS pct_devolvido, "
-         "ROUND(100.0 * SUM(l_quantity) FILTER (WHERE NULLIF(l_discount, 0) >= 0.05) "
-         "/ NULLIF(SUM(l_quantity) FILTER (WHERE NULLIF(l_discount, 0) IS NOT NULL), 0), 1) "
-         "AS pct_desconto_alto FROM lineitem")(
-    lambda spark, d: (lambda li: li.agg(
+_FILTERED_RATIO_SQL = (
+    "SELECT ROUND(100.0 * SUM(l_quantity) FILTER (WHERE l_returnflag = 'R') "
+    "/ NULLIF(SUM(l_quantity) FILTER (WHERE l_returnflag <> 'N'), 0), 1) AS pct_devolvido, "
+    "ROUND(100.0 * SUM(l_quantity) FILTER (WHERE NULLIF(l_discount, 0) >= 0.05) "
+    "/ NULLIF(SUM(l_quantity) FILTER (WHERE NULLIF(l_discount, 0) IS NOT NULL), 0), 1) "
+    "AS pct_desconto_alto FROM lineitem")
+
+
+@register("filtered_ratio", _FILTERED_RATIO_SQL)
+def _filtered_ratio(spark, d):
+    discount = F.nullif("l_discount", F.lit(0.0))          # 0 = not applicable
+    return table(spark, d, "lineitem").agg(
         weighted.filtered_ratio("l_quantity", F.col("l_returnflag") == "R",
                                 F.col("l_returnflag") != "N").alias("pct_devolvido"),
-        weighted.filtered_ratio("l_quantity", F.nullif("l_discount", F.lit(0.0)) >= 0.05,
-                                F.nullif("l_discount", F.lit(0.0)).isNotNull()).alias("pct_desconto_alto"),
-    ))(table(spark, d, "lineitem")))
+        weighted.filtered_ratio("l_quantity", discount >= 0.05, discount.isNotNull()).alias("pct_desconto_alto"))
+
 
 register("flag_shares",
          " UNION ALL ".join(
@@ -138,12 +142,13 @@ register("household_collapse",
     lambda spark, d: household.collapse(_flat_persons(spark, d), "id_domicilio",
                                         ["renda", "peso", "prioridade"]))
 
-register("grain_totals",
-         "SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) AS domicilios_estimados, "
-         f"(SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) FROM {_FLAT_SQL} p) AS pessoas_estimadas "
-         f"FROM (SELECT id_domicilio, any_value(peso) AS peso FROM {_FLAT_SQL} f GROUP BY 1) h")(
-    lambda spark, d: (lambda flat: household.grain_totals(
-        household.collapse(flat, "id_domicilio", ["peso"]), "peso", flat, "peso"))(_flat_persons(spark, d)))
+@register("grain_totals",
+          "SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) AS domicilios_estimados, "
+          f"(SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) FROM {_FLAT_SQL} p) AS pessoas_estimadas "
+          f"FROM (SELECT id_domicilio, any_value(peso) AS peso FROM {_FLAT_SQL} f GROUP BY 1) h")
+def _grain_totals(spark, d):
+    flat = _flat_persons(spark, d)
+    return household.grain_totals(household.collapse(flat, "id_domicilio", ["peso"]), "peso", flat, "peso")
 
 _LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus")

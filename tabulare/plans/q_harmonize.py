@@ -123,28 +123,28 @@ register("household_portrait",
     lambda spark, d: household_portrait(morador(spark, d), "pnadc_2025"))
 
 # ---------------------------------------------------------------- J1 on its own
-register("person_household_join",
+@register("person_household_join",
          f"SELECT d.situacao_do_domicilio AS situacao_do_domicilio, COUNT(*) AS n_pessoas, "
          "CAST(ROUND(SUM(p.peso_amostral), 2) AS BIGINT) AS peso_total "
          f"FROM (SELECT {select_sql(PERSON_FIELDS)} FROM lineitem) p "
          f"JOIN (SELECT {select_sql({**HOUSEHOLD_KEYS, **HOUSEHOLD_FIELDS})} FROM orders) d "
          "ON p.area_de_ponderacao = d.area_de_ponderacao AND p.controle = d.controle "
-         "GROUP BY d.situacao_do_domicilio")(
-    lambda spark, d: (lambda p, h: p.hint("merge").join(h, ["area_de_ponderacao", "controle"], "inner")
-                      .groupBy("situacao_do_domicilio").agg(
-                          F.count(F.lit(1)).alias("n_pessoas"),
-                          bigint_half_even(F.sum("peso_amostral")).alias("peso_total")))(
-        persons(spark, d), households(spark, d)))
+         "GROUP BY d.situacao_do_domicilio")
+def _person_household_join(spark, d):
+    joined = persons(spark, d).hint("merge").join(households(spark, d), ["area_de_ponderacao", "controle"])
+    return joined.groupBy("situacao_do_domicilio").agg(
+        F.count(F.lit(1)).alias("n_pessoas"), bigint_half_even(F.sum("peso_amostral")).alias("peso_total"))
 
 # ---------------------------------------------------------------- J2, P19, F4
-register("code_lookup_join",
+@register("code_lookup_join",
          "SELECT n_name AS uf, COUNT(*) AS n_linhas FROM customer JOIN "
          "(SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey "
          f"WHERE r_name NOT IN ({', '.join(repr(r) for r in LOOKUP_REGIONS_EXCLUDED)})) dim "
-         "ON c_nationkey = n_nationkey GROUP BY n_name")(
-    lambda spark, d: (lambda dim: weighted.count_by(
-        H.lookup_state(table(spark, d, "customer"), "c_nationkey", dim, "n_nationkey")
-        .select(F.col("n_name").alias("uf")), "uf", alias="n_linhas"))(
-        table(spark, d, "nation").join(broadcast_if_small(table(spark, d, "region")),
-                                       F.col("n_regionkey") == F.col("r_regionkey"))
-        .where(~F.col("r_name").isin(list(LOOKUP_REGIONS_EXCLUDED))).select("n_nationkey", "n_name")))
+         "ON c_nationkey = n_nationkey GROUP BY n_name")
+def _code_lookup_join(spark, d):
+    # the lookup table covers the states of four regions: the rest drop out
+    dim = (table(spark, d, "nation")
+           .join(broadcast_if_small(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+           .where(~F.col("r_name").isin(list(LOOKUP_REGIONS_EXCLUDED))).select("n_nationkey", "n_name"))
+    kept = H.lookup_state(table(spark, d, "customer"), "c_nationkey", dim, "n_nationkey")
+    return weighted.count_by(kept.select(F.col("n_name").alias("uf")), "uf", alias="n_linhas")
