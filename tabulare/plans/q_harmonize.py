@@ -136,6 +136,20 @@ def _person_household_join(spark, d):
         F.count(F.lit(1)).alias("n_pessoas"), bigint_half_even(F.sum("peso_amostral")).alias("peso_total"))
 
 # ---------------------------------------------------------------- J2, P19, F4
+# the state numbers customers carry: nation key + 11 spans 11..35, of which 20 are states
+_UF_NUMBER = "c_nationkey + 11"
+
+
+@register("uf_code_lookup",
+          f"SELECT uf, COUNT(*) AS n_linhas FROM customer JOIN (VALUES "
+          + ", ".join(f"({k}, '{v}')" for k, v in sorted(codes.UF_CODES.items()))
+          + f") AS ufs(uf_codigo, uf) ON {_UF_NUMBER} = uf_codigo GROUP BY uf")
+def _uf_code_lookup(spark, d):
+    customers = table(spark, d, "customer").select(F.expr(_UF_NUMBER).alias("uf_num"))
+    kept = H.lookup_state(customers, "uf_num", H.uf_dimension(spark))     # unknown numbers drop out
+    return weighted.count_by(kept, "uf", alias="n_linhas")
+
+
 @register("code_lookup_join",
          "SELECT n_name AS uf, COUNT(*) AS n_linhas FROM customer JOIN "
          "(SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey "
