@@ -53,6 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            # executors on other machines could not see a folder on this one
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="tabulare-ckpt-")
         sc.setCheckpointDir(configured)
     elif not sc.getCheckpointDir():
