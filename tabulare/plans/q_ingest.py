@@ -107,7 +107,11 @@ def _document_words(spark, d):
 
 
 def _write_document_words(spark, d, path):
-    """Every word of every document as a Latin-1 fixed-width record (long words in pieces)."""
+    """Every word of every document as a Latin-1 fixed-width record (long words in pieces).
+
+    A code point Latin-1 lacks is written as one "?" (the charset encoder's
+    replacement), so widths in characters are kept.
+    """
     docs = ensure_parallelism(table(spark, d, "documents"))
     words = (docs.select("doc_id", F.posexplode(F.split("text", _SPLIT)).alias("pos", "w"))
              .where(F.col("w") != ""))
@@ -126,7 +130,9 @@ def _write_document_words(spark, d, path):
 register("fwf_latin1",
          "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS w FROM documents), "
          f"p AS (SELECT doc_id, w, unnest(range(0, (length(w) - 1) // {_PIECE} + 1)) AS piece FROM w WHERE w <> ''), "
-         f"q AS (SELECT doc_id, piece, substr(w, piece * {_PIECE} + 1, {_PIECE}) AS s FROM p) "
+         # the Latin-1 file holds "?" for every code point Latin-1 lacks
+         f"q AS (SELECT doc_id, piece, regexp_replace(substr(w, piece * {_PIECE} + 1, {_PIECE}), "
+         "'[^\\x{00}-\\x{FF}]', '?', 'g') AS s FROM p) "
          "SELECT doc_id AS identificador_do_documento, COUNT(*) FILTER (WHERE piece = 0) AS n_palavras, "
          "COUNT(*) AS n_pedacos, CAST(SUM(length(s)) AS BIGINT) AS n_caracteres, "
          "COUNT(*) FILTER (WHERE regexp_matches(s, '[^\\x00-\\x7F]')) AS n_pedacos_nao_ascii "
