@@ -287,7 +287,7 @@ register("benchmark_deviation",
     lambda spark, d: quality.benchmark_deviation(
         table(spark, d, "customer").select(F.expr(CUSTOMER_WEIGHT).alias("w")), "w", BENCHMARK_HOUSEHOLDS))
 
-_PAGE_PATTERN = r"<!--\s*ad\s+\d+\s*-->"
+_PAGE_PATTERN = r"<!--[ \t\n\r\f]*ad[ \t\n\r\f]+[0-9]+[ \t\n\r\f]*-->"   # explicit classes: same in Java and RE2
 register("regex_find_first",
          f"SELECT page_id, NULLIF(regexp_extract(html, '(?i){_PAGE_PATTERN}', 0), '') AS primeiro FROM pages")(
     lambda spark, d: table(spark, d, "pages").select("page_id", first_match("html", _PAGE_PATTERN)
