@@ -5,13 +5,13 @@ normalization function)."""
 from tabulare.functions.numeric import bigint_half_even, bigint_half_up, pct, safe_ratio
 from tabulare.functions.codes import label, label_or_code, flag_eq, flag_in, flag_any
 from tabulare.functions.text import (
-    ascii_fold, slug, slug_heading, parse_decimal_comma, parse_int_strict,
+    ascii_fold, fold, slug, slug_heading, parse_decimal_comma, parse_int_strict,
     token_flag, first_match, has_non_ascii,
 )
 
 __all__ = [
     "bigint_half_even", "bigint_half_up", "pct", "safe_ratio",
     "label", "label_or_code", "flag_eq", "flag_in", "flag_any",
-    "ascii_fold", "slug", "slug_heading", "parse_decimal_comma", "parse_int_strict",
+    "ascii_fold", "fold", "slug", "slug_heading", "parse_decimal_comma", "parse_int_strict",
     "token_flag", "first_match", "has_non_ascii",
 ]

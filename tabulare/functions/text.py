@@ -66,6 +66,17 @@ def ascii_fold(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
+def fold(text) -> Column:
+    """``ascii_fold`` applied only where it can change something.
+
+    Pure-ASCII text is its own NFKD/ASCII form, so only text with a
+    non-ASCII character is sent to Python (the rest crosses as NULL, which
+    costs nothing to move) and the original is kept for the others.
+    """
+    t = _c(text)
+    return F.coalesce(ascii_fold(F.when(t.rlike(NON_ASCII), t)), t)
+
+
 def _finish_slug(folded_lower: Column) -> Column:
     out = F.regexp_replace(folded_lower, _NOT_ALNUM, "_")
     out = F.regexp_replace(out, r"^_+|_+$", "")
@@ -75,12 +86,12 @@ def _finish_slug(folded_lower: Column) -> Column:
 def slug_heading(text) -> Column:
     """X1 (census): heading cut, lower, fold, non-alphanumerics → ``_``."""
     head = F.split(_c(text), HEADING_END, 2).getItem(0)
-    return _finish_slug(ascii_fold(F.lower(head)))
+    return _finish_slug(fold(F.lower(head)))
 
 
 def slug(text) -> Column:
     """X2 (PNADC): as X1 without the heading cut; folds before lower-casing."""
-    return _finish_slug(F.lower(ascii_fold(_c(text))))
+    return _finish_slug(F.lower(fold(_c(text))))
 
 
 def parse_decimal_comma(text) -> Column:
