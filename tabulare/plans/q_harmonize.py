@@ -131,9 +131,17 @@ register("household_portrait",
          "ON p.area_de_ponderacao = d.area_de_ponderacao AND p.controle = d.controle "
          "GROUP BY d.situacao_do_domicilio")
 def _person_household_join(spark, d):
-    joined = persons(spark, d).hint("merge").join(households(spark, d), ["area_de_ponderacao", "controle"])
+    keys = ["area_de_ponderacao", "controle"]
+    # Only counts and weight sums leave the join, so persons are first reduced to
+    # one row per household key (a partial aggregate, before any shuffle); the
+    # join then carries households, not persons. Fan-out on a duplicated
+    # household key multiplies the per-key count and sum exactly as it would
+    # the person rows.
+    per_home = persons(spark, d).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                                    F.sum("peso_amostral").alias("_w"))
+    joined = per_home.hint("merge").join(households(spark, d).select(*keys, "situacao_do_domicilio"), keys)
     return joined.groupBy("situacao_do_domicilio").agg(
-        F.count(F.lit(1)).alias("n_pessoas"), bigint_half_even(F.sum("peso_amostral")).alias("peso_total"))
+        F.sum("_n").alias("n_pessoas"), bigint_half_even(F.sum("_w")).alias("peso_total"))
 
 # ---------------------------------------------------------------- J2, P19, F4
 # the state numbers customers carry: nation key + 11 spans 11..35, of which 20 are states
