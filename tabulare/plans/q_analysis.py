@@ -11,7 +11,7 @@ from tabulare.operators import bands, household, quality, weighted
 from tabulare.plans.registry import dist_sql, register
 from tabulare.plans.standins import (
     CUSTOMER_INCOME, CUSTOMER_WEIGHT, LINE_FLAGS, ORDERS_WITH_STATE_SQL, PART_CODE_12,
-    PART_CODE_4, PRIORITY_WITH_NULLS, case_sql, orders_with_state, table,
+    PART_CODE_4, PRIORITY_WITH_NULLS, case_sql, orders_per_customer_with_state, orders_with_state, table,
 )
 
 # ---------------------------------------------------------------- A1, A2, A3, L1, L4
@@ -37,7 +37,8 @@ register("top_categories",
          "ROUND(100.0 * SUM(w) / SUM(SUM(w)) OVER (), 1) AS pct "
          f"FROM (SELECT n_name AS valor, o_totalprice AS w FROM {ORDERS_WITH_STATE_SQL}) t "
          "GROUP BY valor ORDER BY SUM(w) DESC, valor LIMIT 6")(
-    lambda spark, d: weighted.top_categories(orders_with_state(spark, d), "n_name", "o_totalprice", k=6))
+    lambda spark, d: weighted.top_categories(orders_per_customer_with_state(spark, d), "n_name",
+                                             "valor_pedidos", k=6))
 
 # ---------------------------------------------------------------- A4, L3
 _MODE_ATTRS = ("l_returnflag", "l_linestatus", "l_linenumber")
@@ -97,9 +98,9 @@ register("flag_shares",
 register("count_by_state",
          f"SELECT n_name AS uf, 'domicilios' AS file_type, COUNT(*) AS n_linhas "
          f"FROM {ORDERS_WITH_STATE_SQL} GROUP BY n_name")(
-    lambda spark, d: weighted.count_by(orders_with_state(spark, d).select(
-        F.col("n_name").alias("uf"), F.lit("domicilios").alias("file_type")),
-        "uf", "file_type", alias="n_linhas").orderBy("uf"))
+    lambda spark, d: orders_per_customer_with_state(spark, d)
+    .groupBy(F.col("n_name").alias("uf"), F.lit("domicilios").alias("file_type"))
+    .agg(F.sum("n_pedidos").alias("n_linhas")).orderBy("uf"))
 
 # ---------------------------------------------------------------- A9, A10, A13
 register("count_distinct_households",

@@ -169,6 +169,21 @@ def orders_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey))
 
 
+def orders_per_customer_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order count and total price per customer, with the customer's state.
+
+    For queries that only need per-state sums: orders are aggregated per
+    customer (partially, before the shuffle) so the customer join moves one
+    row per customer instead of one per order.
+    """
+    per_customer = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_pedidos"), F.sum("o_totalprice").alias("valor_pedidos"))
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    return (per_customer.join(c, per_customer.o_custkey == c.c_custkey)
+            .join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey))
+
+
 # -- SQL renderings of the survey code tables for the oracle --
 def case_sql(col: str, mapping: dict, default: str | None = None) -> str:
     whens = " ".join(f"WHEN {col} = {k!r} THEN '{v}'" if isinstance(k, str)
