@@ -94,6 +94,29 @@ def slug(text) -> Column:
     return _finish_slug(F.lower(fold(_c(text))))
 
 
+# SQL-text forms of the helpers below, for building many columns in one
+# ``selectExpr`` call (one round trip to the JVM instead of one per node).
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def decimal_comma_sql(v: str) -> str:
+    dotted = f"regexp_replace({v}, ',', '.')"
+    return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {dotted} RLIKE {_sql_str(_FLOAT_TEXT)} OR {dotted} RLIKE {_sql_str(_FLOAT_SPECIAL)} "
+            f"THEN try_cast(regexp_replace({dotted}, '_', '') AS DOUBLE) END")
+
+
+def int_strict_sql(v: str, to: str = "int") -> str:
+    return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS {to}) "
+            f"WHEN {v} RLIKE {_sql_str(_INT_TEXT)} THEN try_cast(regexp_replace({v}, '_', '') AS {to}) END")
+
+
+def token_flag_sql(v: str, tokens=TRUE_TOKENS) -> str:
+    toks = ", ".join(_sql_str(x) for x in tokens)
+    return f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS BOOLEAN) ELSE {v} IN ({toks}) END"
+
+
 def parse_decimal_comma(text) -> Column:
     """``"85,5"`` → 85.5; text Python's ``float`` rejects → NULL.
 

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derive(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    return df.select(*[F.expr(e).alias(n) for n, e in exprs.items()])
+    return df.selectExpr(*[f"{e} AS {n}" for n, e in exprs.items()])
 
 
 def select_sql(exprs: dict[str, str]) -> str:
