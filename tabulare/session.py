@@ -87,17 +87,43 @@ def ensure_dir(path: str) -> None:
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+_SMALL: dict = {}
+
+
+def _version_key(df, max_rows: int):
+    """Plan + input file versions, for a DataFrame read from files (else None)."""
+    try:
+        files = df.inputFiles()
+        if not files:
+            return None
+        stamps = []
+        for f in sorted(files):
+            p, fs = _fs(df.sparkSession, f)
+            st = fs.getFileStatus(p)
+            stamps.append((f, st.getLen(), st.getModificationTime()))
+        return (df.semanticHash(), tuple(stamps), max_rows)
+    except Exception:  # noqa: BLE001  (no key: just count again)
+        return None
+
+
 def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
     """Broadcast hint for ``df`` only after checking that it is small.
 
     The check reads at most ``max_rows + 1`` rows (a bounded job on a
-    dimension-sized table). Beyond the bound the DataFrame is returned as is
-    and the planner picks the join strategy (sort-merge, or a runtime
-    broadcast if AQE measures it small).
+    dimension-sized table); its verdict is remembered per plan and input file
+    version. Beyond the bound the DataFrame is returned as is and the planner
+    picks the join strategy (sort-merge, or a runtime broadcast if AQE
+    measures it small).
     """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    key = _version_key(df, max_rows)
+    small = _SMALL.get(key) if key is not None else None
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _SMALL[key] = small
+    return F.broadcast(df) if small else df
 
 
 def ensure_parallelism(df, max_splits: int = 16):
