@@ -7,7 +7,6 @@ choose one ourselves when the session has none (local runs and tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -77,12 +76,6 @@ def local_fs_path(path: str) -> str | None:
     return path
 
 
-def ensure_dir(path: str) -> None:
-    p = local_fs_path(path)
-    if p is not None:
-        os.makedirs(p, exist_ok=True)
-
-
 # Most rows a table may have to be broadcast to every task.
 BROADCAST_MAX_ROWS = 1_000_000
 
