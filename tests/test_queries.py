@@ -53,3 +53,7 @@ def test_query_matches_oracle(spark, con, name):
     idx = [names.index(c) for c in cols]
     want = _canon(tuple(r[i] for i in idx) for r in ora.fetchall())
     assert got == want
+    # no pairwise (cross / nested-loop) joins and no row-at-a-time Python anywhere
+    plan = sp._jdf.queryExecution().executedPlan().toString()
+    for marker in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+        assert marker not in plan, marker
