@@ -18,6 +18,10 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _sort(order: Sequence[Column | str]) -> list[Column]:
+    return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
+
+
 def household_key(*parts) -> Column:
     """Parts joined by ``_``; numbers as plain text (no zero padding).
 
@@ -64,19 +68,21 @@ def collapse(df: DataFrame, key, columns: Sequence[str], key_alias: str | None =
 def first_row(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """``DISTINCT ON (key) … ORDER BY key, order…`` — the whole first row.
 
-    ``order`` must be a total order within the key for a deterministic
-    result. ``row_number() = 1`` is planned with a partial WindowGroupLimit
-    before the shuffle, so each map task sends at most one row per key.
+    ``order`` entries are sort expressions or column names; a name means
+    ascending with NULLs last (the SQL engines' default, not Spark's). The
+    order must be total within the key for a deterministic result.
+    ``row_number() = 1`` is planned with a partial WindowGroupLimit before the
+    shuffle, so each map task sends at most one row per key.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    spec = Window.partitionBy(*keys).orderBy(*[_c(o) if isinstance(o, str) else o for o in order])
+    spec = Window.partitionBy(*keys).orderBy(*_sort(order))
     return (df.withColumn("_rn", F.row_number().over(spec))
             .where(F.col("_rn") == 1).drop("_rn"))
 
 
 def first_n(df: DataFrame, key: str, order: Sequence[Column | str], n: int) -> DataFrame:
     """L5 per group: the first ``n`` rows of every key (map-side group limit)."""
-    spec = Window.partitionBy(key).orderBy(*[_c(o) if isinstance(o, str) else o for o in order])
+    spec = Window.partitionBy(key).orderBy(*_sort(order))
     return (df.withColumn("_rn", F.row_number().over(spec))
             .where(F.col("_rn") <= n).drop("_rn"))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabulare.operators.filters import filter_source
 from tabulare.operators.household import first_row
@@ -33,5 +32,5 @@ def household_portrait(morador: DataFrame, fonte: str,
     """
     cols = [weight, *attributes]
     people = filter_source(morador, fonte).select("id_domicilio", *cols)
-    homes = first_row(people, "id_domicilio", [F.col(c).asc_nulls_last() for c in cols])
+    homes = first_row(people, "id_domicilio", cols)      # ascending, NULLs last
     return weighted_distributions(homes, list(attributes), weight, top=top)

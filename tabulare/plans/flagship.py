@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tabulare.operators import household, weighted
 from tabulare.plans.q_harmonize import MORADOR_SQL, morador
@@ -19,8 +18,7 @@ _ORDER = ("peso", "idade", "sexo", "cor_raca", "agua")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted share of households by water supply, per source."""
     people = morador(spark, sf_dir).select("fonte", "id_domicilio", *_ORDER)
-    homes = household.first_row(people, ["fonte", "id_domicilio"],
-                                [F.col(c).asc_nulls_last() for c in _ORDER])
+    homes = household.first_row(people, ["fonte", "id_domicilio"], list(_ORDER))   # ASC NULLS LAST
     return weighted.weighted_distribution(homes, "agua", "peso", by=["fonte"])
 
 

@@ -160,8 +160,7 @@ register("household_first_row",
          "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY "
          + ", ".join(f"{c} ASC NULLS LAST" for c in _FIRST_ORDER) + ") AS rn FROM lineitem) t WHERE rn = 1")(
     lambda spark, d: household.first_row(
-        table(spark, d, "lineitem"), "l_orderkey",
-        [F.col(c).asc_nulls_last() for c in _FIRST_ORDER]).select(
+        table(spark, d, "lineitem"), "l_orderkey", list(_FIRST_ORDER)).select(
         *_LINE_COLS, F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")))
 
 # ---------------------------------------------------------------- P14, A14, W2, A15, A16, F6

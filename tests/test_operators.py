@@ -120,3 +120,11 @@ def test_distributions_for_several_attributes(spark):
                    ("q", "x"): (1, 10.0), ("q", "y"): (9, 90.0)}
     top1 = {(r.atributo, r.valor) for r in weighted.weighted_distributions(df, ["p", "q"], "w", top=1).collect()}
     assert top1 == {("p", "a"), ("q", "y")}                  # tie on p broken by the smaller value
+
+
+def test_first_row_orders_nulls_last_and_keeps_whole_rows(spark):
+    df = spark.createDataFrame([(1, None, "a", 1.0), (1, 2, "b", 2.0), (1, 3, "a", 3.0), (2, None, "z", 4.0)],
+                               "k int, o int, s string, v double")
+    got = {r.k: (r.o, r.s, r.v) for r in household.first_row(df, "k", ["o"]).collect()}
+    assert got == {1: (2, "b", 2.0), 2: (None, "z", 4.0)}   # a named column sorts NULLs last
+    assert household.first_row(df, "k", ["o"]).columns == df.columns
