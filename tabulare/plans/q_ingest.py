@@ -25,7 +25,7 @@ from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, rea
 from tabulare.sources.layout import packaged_layout
 
 # Bump when the way a derived input is built changes, so cached copies are not reused.
-DERIVED_VERSION = "3"
+DERIVED_VERSION = "4"
 
 # ---------------------------------------------------------------- S1, P2, P4, P3
 LINEITEM = packaged_layout("lineitem_census", "census")

@@ -69,10 +69,17 @@ def read_fwf(spark: SparkSession, paths: str | Sequence[str], layout: Layout,
 # ---------------------------------------------------------------------------
 # Writing fixed-width lines (used to build stand-in inputs and round trips)
 # ---------------------------------------------------------------------------
-def _zero_pad(text: Column, negative: Column, width: int) -> Column:
-    """Right-aligned, zero-filled, sign first (what ``%0Nd`` prints)."""
-    return F.when(negative, F.concat(F.lit("-"), F.lpad(text, width - 1, "0"))).otherwise(
+def _zero_pad(text: Column, negative: Column, width: int, name: str) -> Column:
+    """Right-aligned, zero-filled, sign first (what ``%0Nd`` prints).
+
+    A number too wide for its field fails the job (``lpad`` would silently
+    cut it)."""
+    room = F.when(negative, F.lit(width - 1)).otherwise(F.lit(width))
+    padded = F.when(negative, F.concat(F.lit("-"), F.lpad(text, width - 1, "0"))).otherwise(
         F.lpad(text, width, "0"))
+    return F.when(F.length(text) > room,
+                  F.raise_error(F.lit(f"value too wide for fixed-width field {name}")).cast("string")
+                  ).otherwise(padded)
 
 
 def encode_field(layout: Layout, f: Field, value: Column) -> Column:
@@ -88,14 +95,14 @@ def encode_field(layout: Layout, f: Field, value: Column) -> Column:
         txt = F.rpad(value.cast("string"), w, " ")
     elif layout.scale(f) is not None:
         digits = F.rint(value * F.lit(10.0 ** layout.scale(f))).cast("bigint")
-        txt = _zero_pad(F.abs(digits).cast("string"), digits < 0, w)
+        txt = _zero_pad(F.abs(digits).cast("string"), digits < 0, w, f.variable)
     elif isinstance(t, T.DoubleType):
         d = f.decimals if f.decimals is not None else 0
         dec = value.cast("double").cast(T.DecimalType(38, d))          # HALF_UP, like %f
-        txt = _zero_pad(F.abs(dec).cast("string"), dec < 0, w)
+        txt = _zero_pad(F.abs(dec).cast("string"), dec < 0, w, f.variable)
     else:
         n = value.cast("bigint")
-        txt = _zero_pad(F.abs(n).cast("string"), n < 0, w)
+        txt = _zero_pad(F.abs(n).cast("string"), n < 0, w, f.variable)
     return F.when(value.isNull(), F.lit(" " * w)).otherwise(txt)
 
 

@@ -147,3 +147,31 @@ def test_layout_csv_from_storage(spark, tmpdir_path):
 def test_colliding_names_are_made_unique():
     L = _layout([("V1", "RENDA: total", "1", "2", "2", "", "N"), ("V2", "RENDA 1- faixa", "3", "4", "2", "", "N")])
     assert L.names() == {"V1": "renda", "V2": "renda_v2"}
+
+
+def test_person_file_width_layout_round_trip(spark, tmpdir_path):
+    """244 fields (the census person file's count): more than codegen's field limit."""
+    rows, pos = [], 1
+    for i in range(244):
+        w = 2 + i % 3
+        rows.append(("V%04d" % i, f"CAMPO NÚMERO {i}", str(pos), str(pos + w - 1), str(w),
+                     "2" if i % 10 == 0 else "", "N"))
+        pos += w
+    L = _layout(rows)
+    src = spark.range(50).select(F.col("id").alias("id"))
+    vals = {f.variable: ((F.col("id") * (j + 1)) % (10 ** (f.width - 1))) / 10 ** (f.decimals or 0)
+            for j, f in enumerate(L.fields)}
+    encode_fwf(src, L, vals).write.text(tmpdir_path + "/wide")
+    back = read_fwf(spark, tmpdir_path + "/wide", L)
+    assert len(back.columns) == 244 and back.count() == 50
+    r = back.orderBy("campo_numero_1").collect()[7]             # id 7
+    assert r["campo_numero_1"] == (7 * 2) % 10 ** 2
+    assert r["campo_numero_10"] == ((7 * 11) % 10 ** 2) / 100     # implied decimals
+
+
+def test_encoder_refuses_values_wider_than_the_field(spark):
+    import pytest as _pytest
+
+    L = _layout([("A", "a", "1", "2", "2", "", "N")])
+    with _pytest.raises(Exception, match="too wide"):
+        encode_fwf(spark.createDataFrame([(123,)], "a int"), L, {"A": F.col("a")}).collect()
