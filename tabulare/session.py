@@ -7,10 +7,12 @@ choose one ourselves when the session has none (local runs and tests).
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -108,8 +110,6 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
     picks the join strategy (sort-merge, or a runtime broadcast if AQE
     measures it small).
     """
-    from pyspark.sql import functions as F
-
     key = _version_key(df, max_rows)
     small = _SMALL.get(key) if key is not None else None
     if small is None:
@@ -154,8 +154,6 @@ def derived_input(spark: SparkSession, label: str, sources: list[str], build, ve
     through Spark's commit protocol (or write ``_SUCCESS`` last itself); a
     folder without ``_SUCCESS`` (an interrupted build) is rebuilt.
     """
-    import hashlib
-
     stamp = []
     for s in sources:
         p, fs = _fs(spark, s)
