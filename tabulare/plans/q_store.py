@@ -111,7 +111,9 @@ register("save_if_changed",
 # ---------------------------------------------------------------- K10
 def _replace_by_source(spark, d):
     root = scratch_path(spark, "morador")
-    m = morador(spark, d)
+    # used three times below: computed once, cut from its lineage by a reliable
+    # checkpoint in the shared folder (spark.checkpoint.dir)
+    m = morador(spark, d).checkpoint()
     store.write_partitioned(m, root, by=("fonte",))
     # new loads: census now only urban rows, PNADC now empty
     store.replace_source(m.where((F.col("fonte") == "census_2010") & (F.col("situacao") == "urbana")),
