@@ -73,6 +73,9 @@ def fold(text) -> Column:
     non-ASCII character is sent to Python (the rest crosses as NULL, which
     costs nothing to move) and the original is kept for the others.
     """
+    from tabulare.session import ship_package
+
+    ship_package()                       # the UDF runs in the executors' Python workers
     t = _c(text)
     return F.coalesce(ascii_fold(F.when(t.rlike(NON_ASCII), t)), t)
 

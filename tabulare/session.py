@@ -8,8 +8,10 @@ choose one ourselves when the session has none (local runs and tests).
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,42 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``tabulare`` importable in the executors' Python workers.
+
+    Functions that run Python inside tasks (the Arrow UDF, ``mapInPandas``)
+    are pickled by reference to this package, so workers must import it. The
+    package is zipped once per application on the driver and handed to
+    ``SparkContext.addPyFile``, which distributes it to every executor (what
+    ``--py-files`` does); executors never read the driver's disk themselves.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="tabulare-pkg-"), "tabulare.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, files in os.walk(pkg_dir):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in files:
+                if not f.endswith(".pyc"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Root of the cluster-shared scratch folder (``spark.checkpoint.dir``).
 

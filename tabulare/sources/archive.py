@@ -57,6 +57,9 @@ def _validity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _binary(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
+    from tabulare.session import ship_package
+
+    ship_package(spark)                  # mapInPandas below runs this module in the executors
     df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     if max_bytes is not None:
         # evaluated on file metadata before the content is read

@@ -56,3 +56,18 @@ def test_broadcast_only_after_size_check(spark):
         assert j1.count() == 10 and j2.count() == 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    from tabulare.session import ship_package
+
+    def worker_paths(batches):          # nested: pickled by value, not by module
+        import sys as _sys
+
+        import pandas as _pd
+        for _ in batches:
+            yield _pd.DataFrame({"shipped": [any(p.endswith("tabulare.zip") for p in _sys.path)]})
+
+    ship_package(spark)
+    got = spark.range(1).mapInPandas(worker_paths, "shipped boolean").collect()
+    assert all(r.shipped for r in got)
