@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulare.llm import mixing
+from tabulare.llm import bpe, mixing, pii, quality, simhash
 from tabulare.llm.common import materialize, table
 
 
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels' sample, does not reject."""
+    return quality.accept(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (three-word shingles, at most two bits apart)."""
+    return simhash.keep_first(docs, width=3, max_bits=2)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind, like ``<EMAIL>``."""
+    return pii.mask(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them (weights 5, 2, 1)."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` and the digest of the decoded bytes, per row of the mix."""
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+                        ids=True, digests=True)
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("PII", mask_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
 # Learned scores and XXH64 fingerprints have no SQL form; tests hold the stages to brute force.
 ORACLE_SQL = None
