@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulare.llm import bpe, mixing, pii, quality, simhash
+from tabulare.llm import bpe, fingerprints, mixing, pii, quality, simhash, url_filter
 from tabulare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_url_filter", url_filter.ORACLE_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # labelled outcomes: the quality label with the page's number; quality 0 is a bad page
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
