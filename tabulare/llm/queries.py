@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.llm import bpe, fingerprints, mixing, pii, quality, simhash, url_filter
+from tabulare.llm import bpe, fingerprints, html_extract, mixing, pii, quality, simhash, url_filter
 from tabulare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     # labelled outcomes: the quality label with the page's number; quality 0 is a bad page
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
+@_query("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
