@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.llm import bpe, fingerprints, html_extract, mixing, pii, quality, simhash, url_filter
+from tabulare.llm import ann, bpe, fingerprints, html_extract, mixing, pii, quality, simhash, url_filter
 from tabulare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_html")
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op10_ann")
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_every(table(spark, sf_dir, "embeddings"))
