@@ -5,7 +5,7 @@ the centroids and a neighbour graph over them stay in memory (at most
 ``MAX_LISTS`` centroids, broadcast). Every vector finds its nearest centroids
 by walking the graph and joins the list of the nearest one; a vector near a
 boundary joins the lists of other centroids too whose distance is within
-``REPLICATE`` of the nearest and that lie in another direction. A query walks
+``REPLICATE`` of the nearest. A query walks
 the same graph and reads the lists whose centroids are within ``PRUNE`` times
 the nearest centroid's distance, ``PROBES`` lists at least.
 
@@ -45,9 +45,9 @@ SAMPLE = 20_000            # vectors the centroids are fitted on
 DEGREE = 24                # graph neighbours of a centroid
 BEAM = 96                  # centroids kept while walking the graph
 REPLICAS = 3               # lists a vector may join
-REPLICATE = 1.10           # distance ratio to the nearest centroid within which it does
-PROBES, MOST_PROBES = 48, 96
-PRUNE = 1.35               # distance ratio within which a query reads a list
+REPLICATE = 1.03           # distance ratio to the nearest centroid within which it does
+PROBES = 32                # lists a query reads at least
+PRUNE = 1.12               # distance ratio to the nearest centroid within which it reads more, without a cap
 SHARD = 1024               # vectors of a list in one task
 BLOCK = 512                # queries of a list in one task
 
@@ -151,22 +151,13 @@ class CentroidGraph:
         return ((x[:, None, :] - self.centroids[ids]) ** 2).sum(2)
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """Lists each vector joins: the nearest, and near-equal ones that are not behind one already taken."""
-        ids, dist = self.search(x, 4 * REPLICAS)
-        out = []
-        for i, d in zip(ids, dist):
-            take = [i[0]]
-            for j, r in zip(i[1:], d[1:]):
-                if len(take) == REPLICAS or not r <= REPLICATE * d[0]:
-                    break
-                if all(((self.centroids[j] - self.centroids[t]) ** 2).sum() > r * r for t in take):
-                    take.append(j)
-            out.append(np.array(take))
-        return out
+        """Lists each vector joins: the nearest, and for a boundary vector those about as near."""
+        ids, dist = self.search(x, REPLICAS)
+        return [i[d <= REPLICATE * d[0]] for i, d in zip(ids, dist)]
 
     def probes_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists each query reads."""
-        ids, dist = self.search(x, MOST_PROBES)
+        ids, dist = self.search(x, len(self.centroids))
         return [i[np.isfinite(d) & ((d <= PRUNE * d[0]) | (np.arange(len(d)) < PROBES))] for i, d in zip(ids, dist)]
 
 
