@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.llm import ann, bpe, fingerprints, html_extract, mixing, pii, quality, simhash, url_filter
+from tabulare.llm import ann, bpe, fingerprints, html_extract, mixing, pii, quality, simhash, suffix_dedup, url_filter
 from tabulare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_ann")
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_every(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), spans=False, kept=False, digest=True)
