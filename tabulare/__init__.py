@@ -31,7 +31,7 @@ from tabulare.session import build_session
 from tabulare.sources.fwf import parse_fwf, read_fwf
 from tabulare.sources.layout import Layout, read_layout_csv
 from tabulare.sources.listings import parse_listings, read_listing_pages
-from tabulare.sources.surveys import ingest_census, ingest_census_archives, ingest_listings, ingest_pnadc
+from tabulare.sources.surveys import ingest_census, ingest_census_archives, ingest_listings, ingest_pnadc, load_morador
 
 __all__ = [
     "affordability", "band", "band_distribution", "cumulative_pct", "filter_source", "filter_states",
@@ -42,5 +42,5 @@ __all__ = [
     "weighted_distribution", "weighted_distributions", "weighted_modes", "weighted_total",
     "HousingParams", "ListingParams", "IMOVEL", "MORADOR", "conform", "build_session", "parse_fwf",
     "read_fwf", "Layout", "read_layout_csv", "parse_listings", "read_listing_pages", "ingest_census",
-    "ingest_census_archives", "ingest_listings", "ingest_pnadc",
+    "ingest_census_archives", "ingest_listings", "ingest_pnadc", "load_morador",
 ]

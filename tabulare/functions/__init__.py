@@ -2,7 +2,7 @@
 ``ascii_fold`` which is an Arrow-batched pandas UDF (Spark has no Unicode
 normalization function)."""
 
-from tabulare.functions.numeric import bigint_half_even, bigint_half_up, pct, safe_ratio
+from tabulare.functions.numeric import bigint_half_even, bigint_half_up, exact_sum, pct, safe_ratio
 from tabulare.functions.codes import label, label_or_code, flag_eq, flag_in, flag_any
 from tabulare.functions.text import (
     ascii_fold, fold, slug, slug_heading, parse_decimal_comma, parse_int_strict,
@@ -10,7 +10,7 @@ from tabulare.functions.text import (
 )
 
 __all__ = [
-    "bigint_half_even", "bigint_half_up", "pct", "safe_ratio",
+    "bigint_half_even", "bigint_half_up", "exact_sum", "pct", "safe_ratio",
     "label", "label_or_code", "flag_eq", "flag_in", "flag_any",
     "ascii_fold", "fold", "slug", "slug_heading", "parse_decimal_comma", "parse_int_strict",
     "token_flag", "first_match", "has_non_ascii",

@@ -70,32 +70,19 @@ def label_sql(code: str, mapping: Mapping, default: str | None = None) -> str:
     return f"CASE {whens}{tail} END"
 
 
-def label(code, mapping: Mapping, default: str | None = None) -> Column:
+def label(code: str, mapping: Mapping, default: str | None = None) -> Column:
     """``CASE code WHEN k THEN v ... [ELSE default] END``.
 
     Codes sharing a label become one ``IN`` branch. With a default, a NULL code
     also gets the default (SQL ``ELSE`` semantics), as the water/sewage tables do.
-    A code given by name is rendered as one SQL expression (one call into the
-    JVM instead of one per branch); a Column gets the equivalent ``when`` chain.
+    ``code`` is a column name or SQL text.
     """
-    if isinstance(code, str):
-        return F.expr(label_sql(code, mapping, default))
-    code = _c(code)
-    by_label: dict[str, list] = {}
-    for k, v in mapping.items():
-        by_label.setdefault(v, []).append(k)
-    expr = None
-    for lab, keys in by_label.items():
-        cond = code == F.lit(keys[0]) if len(keys) == 1 else code.isin(keys)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    if default is not None:
-        expr = expr.otherwise(F.lit(default))
-    return expr
+    return F.expr(label_sql(code, mapping, default))
 
 
-def label_or_code(code, mapping: Mapping) -> Column:
+def label_or_code(code: str, mapping: Mapping) -> Column:
     """The label when known, else the code as text (NULL stays NULL)."""
-    return F.coalesce(label(code, mapping), _c(code).cast("string"))
+    return F.expr(f"coalesce({label_sql(code, mapping)}, CAST({code} AS STRING))")
 
 
 def flag_eq(code, value=1) -> Column:

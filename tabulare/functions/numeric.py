@@ -1,10 +1,9 @@
 """Number rules.
 
-* A weighted sum reported as an integer rounds half to even (the SQL
-  ``CAST(double AS BIGINT)`` of the analysis), so we ``rint`` before the cast;
-  a plain Spark cast would truncate. The sum is first cut to 2 decimals:
-  weights with cents add up to exact halves, and the parallel summation
-  order must not decide on which side of the half the double lands.
+* A weighted sum reported as an integer rounds half to even, once. Weights are
+  summed exactly, as decimals with the 13 places survey weights are published
+  with, so neither the parallel summation order nor an earlier rounding
+  decides on which side of a half the total lands.
 * Where the analysis rounds explicitly first (``ROUND(x)``), it is half away
   from zero: ``round`` then cast.
 * Division by zero gives NULL rather than an ANSI error (``try_divide``).
@@ -20,9 +19,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def exact_sum(weight) -> Column:
+    """Exact sum of weights (aggregate): a decimal with 13 places; text-like doubles convert as written."""
+    return F.sum(_c(weight).try_cast("decimal(38,13)"))
+
+
 def bigint_half_even(x) -> Column:
-    """Integer estimate of a double, ties to even (see module note)."""
-    return F.rint(F.round(_c(x), 2)).cast("bigint")
+    """Integer estimate, ties to even, rounded once (see module note)."""
+    return F.bround(_c(x), 0).cast("bigint")
 
 
 def bigint_half_up(x) -> Column:
@@ -36,4 +40,4 @@ def safe_ratio(num, den) -> Column:
 
 def pct(part, whole, digits: int = 1) -> Column:
     """``round(100 * part / whole, digits)``; NULL when ``whole`` is 0 or NULL."""
-    return F.round(F.try_divide(F.lit(100.0) * _c(part), _c(whole)), digits)
+    return F.round(F.try_divide(F.lit(100.0) * _c(part).cast("double"), _c(whole).cast("double")), digits)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tabulare.functions.codes import TRUE_TOKENS
 
+# Fixed value: the pattern must cut headings exactly as the survey layouts need.
 # A heading ends at ": " or where a category list starts (" 1- ", " 12 – ").
 HEADING_END = r":\s*|\s+\d+\s*[-–]\s*"
 _NOT_ALNUM = r"[^a-z0-9]+"
@@ -97,13 +98,16 @@ def slug(text) -> Column:
     return _finish_slug(F.lower(fold(_c(text))))
 
 
-# SQL-text forms of the helpers below, for building many columns in one
-# ``selectExpr`` call (one round trip to the JVM instead of one per node).
+# Each parser is SQL text over an expression's text; the Column forms wrap it.
 def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def decimal_comma_sql(v: str) -> str:
+    """``"85,5"`` → 85.5; text Python's ``float`` rejects → NULL.
+
+    ``try_cast`` alone is too lenient (it reads ``"5d"`` as 5.0), hence the guard.
+    """
     dotted = f"regexp_replace({v}, ',', '.')"
     return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS DOUBLE) "
             f"WHEN {dotted} RLIKE {_sql_str(_FLOAT_TEXT)} OR {dotted} RLIKE {_sql_str(_FLOAT_SPECIAL)} "
@@ -111,38 +115,28 @@ def decimal_comma_sql(v: str) -> str:
 
 
 def int_strict_sql(v: str, to: str = "int") -> str:
+    """Integer text → int; ``"3.0"``, ``"3 rooms"`` → NULL."""
     return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS {to}) "
             f"WHEN {v} RLIKE {_sql_str(_INT_TEXT)} THEN try_cast(regexp_replace({v}, '_', '') AS {to}) END")
 
 
 def token_flag_sql(v: str, tokens=TRUE_TOKENS) -> str:
+    """NULL/empty → NULL, else membership in the (case-sensitive) token set."""
     toks = ", ".join(_sql_str(x) for x in tokens)
     return f"CASE WHEN {v} IS NULL OR {v} = '' THEN CAST(NULL AS BOOLEAN) ELSE {v} IN ({toks}) END"
 
 
-def parse_decimal_comma(text) -> Column:
-    """``"85,5"`` → 85.5; text Python's ``float`` rejects → NULL.
+def parse_decimal_comma(text: str) -> Column:
+    """``decimal_comma_sql`` of a column given by name (or SQL text)."""
+    return F.expr(decimal_comma_sql(text))
 
-    ``try_cast`` alone is too lenient (it reads ``"5d"`` as 5.0), hence the guard.
-    """
-    t = _c(text)
-    dotted = F.regexp_replace(t, ",", ".")
-    ok = dotted.rlike(_FLOAT_TEXT) | dotted.rlike(_FLOAT_SPECIAL)
-    return (F.when(t.isNull() | (t == ""), F.lit(None).cast("double"))
-            .when(ok, F.regexp_replace(dotted, "_", "").try_cast("double")))
 
+def parse_int_strict(text: str, to: str = "int") -> Column:
+    return F.expr(int_strict_sql(text, to))
 
-def parse_int_strict(text, to: str = "int") -> Column:
-    """Integer text → int; ``"3.0"``, ``"3 rooms"`` → NULL."""
-    t = _c(text)
-    return (F.when(t.isNull() | (t == ""), F.lit(None).cast(to))
-            .when(t.rlike(_INT_TEXT), F.regexp_replace(t, "_", "").try_cast(to)))
 
-
-def token_flag(text, tokens=TRUE_TOKENS) -> Column:
-    """NULL/empty → NULL, else membership in the (case-sensitive) token set."""
-    t = _c(text)
-    return F.when(t.isNull() | (t == ""), F.lit(None).cast("boolean")).otherwise(t.isin(list(tokens)))
+def token_flag(text: str, tokens=TRUE_TOKENS) -> Column:
+    return F.expr(token_flag_sql(text, tokens))
 
 
 def first_match(text, pattern: str, ignore_case: bool = True) -> Column:

@@ -19,7 +19,6 @@ from tabulare.functions import codes
 from tabulare.functions.codes import flag_any, flag_eq, flag_in, label
 from tabulare.operators.household import household_key
 from tabulare.schemas import MORADOR, conform
-from tabulare.session import broadcast_if_small
 
 # The 26 columns the loads fill, in insert order.
 LOADED_COLUMNS = (
@@ -141,7 +140,6 @@ def uf_dimension(spark: SparkSession) -> DataFrame:
 def lookup_state(df: DataFrame, code_col: str, dim: DataFrame, dim_key: str = "uf_codigo") -> DataFrame:
     """Inner join to a code table; unknown codes drop out.
 
-    The code table is broadcast after its size is checked (27 rows for the
-    state table); a table over the bound is joined the ordinary way.
+    The planner picks the join by the table's size in bytes.
     """
-    return df.join(broadcast_if_small(dim), F.col(code_col) == dim[dim_key], "inner").drop(dim[dim_key])
+    return df.join(dim, F.col(code_col) == dim[dim_key], "inner").drop(dim[dim_key])

@@ -87,11 +87,13 @@ def first_n(df: DataFrame, key: str, order: Sequence[Column | str], n: int) -> D
             .where(F.col("_rn") <= n).drop("_rn"))
 
 
-def grain_totals(households: DataFrame, household_weight, persons: DataFrame,
-                 person_weight) -> DataFrame:
-    """The same weight summed per household and per person, side by side."""
-    persons_total = persons.agg(F.sum(_c(person_weight))).scalar()
-    return households.agg(
-        bigint_half_even(F.sum(_c(household_weight))).alias("domicilios_estimados"),
-        bigint_half_even(persons_total).alias("pessoas_estimadas"),
-    )
+def grain_totals(persons: DataFrame, key, weight) -> DataFrame:
+    """The same weight summed per household and per person, side by side, in one pass.
+
+    A household counts once with its persons' (constant) weight; ``any_value``
+    and the person sum are partial aggregates of the same grouping.
+    """
+    w = _c(weight).try_cast("decimal(38,13)")
+    per_home = persons.groupBy(_c(key).alias("_k")).agg(F.any_value(w, True).alias("_home"), F.sum(w).alias("_people"))
+    return per_home.agg(bigint_half_even(F.sum("_home")).alias("domicilios_estimados"),
+                        bigint_half_even(F.sum("_people")).alias("pessoas_estimadas"))

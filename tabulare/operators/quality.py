@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even
+from tabulare.functions.numeric import bigint_half_even, exact_sum
 from tabulare.functions.text import has_non_ascii
 
 
@@ -48,8 +48,8 @@ def dtype_histogram(df: DataFrame) -> dict[str, int]:
 
 def benchmark_deviation(df: DataFrame, weight, benchmark: float, tolerance_pct: float = 5.0) -> DataFrame:
     """Weighted total vs an external figure; percent deviation and pass flag."""
-    total = F.sum(F.col(weight) if isinstance(weight, str) else weight)
-    dev = F.abs(total - F.lit(float(benchmark))) / F.lit(float(benchmark)) * 100
+    total = exact_sum(weight)
+    dev = F.abs(total.cast("double") - F.lit(float(benchmark))) / F.lit(float(benchmark)) * 100
     return df.agg(
         bigint_half_even(total).alias("total_estimado"),
         F.lit(float(benchmark)).alias("referencia"),

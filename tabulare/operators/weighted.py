@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even, pct
+from tabulare.functions.numeric import bigint_half_even, exact_sum, pct
 
 
 def _c(x) -> Column:
@@ -22,7 +22,7 @@ def _c(x) -> Column:
 
 def weighted_total(df: DataFrame, weight, alias: str = "total") -> DataFrame:
     """A1: one row, the weighted total rounded half-even to BIGINT."""
-    return df.agg(bigint_half_even(F.sum(_c(weight))).alias(alias))
+    return df.agg(bigint_half_even(exact_sum(weight)).alias(alias))
 
 
 def weighted_distribution(df: DataFrame, value, weight, include_nulls: bool = False,
@@ -37,10 +37,12 @@ def weighted_distribution(df: DataFrame, value, weight, include_nulls: bool = Fa
     """
     src = df if include_nulls else df.where(_c(value).isNotNull())
     keys = [F.col(b) for b in by]
-    grouped = src.groupBy(*keys, _c(value).alias(value_alias)).agg(F.sum(_c(weight)).alias("_w"))
+    grouped = src.groupBy(*keys, _c(value).alias(value_alias)).agg(exact_sum(weight).alias("_w"))
     if by:
-        # the grouped result has one row per (group, value): a window per group is small
-        grand = F.sum("_w").over(Window.partitionBy(*keys))
+        # totals per group, joined back: no group's values ever meet in one task
+        totals = grouped.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(F.sum("_w").alias("_t"))
+        same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+        grouped, grand = grouped.join(totals, same), F.col("_t")
     else:
         grand = grouped.agg(F.sum("_w")).scalar()
     out = grouped.select(
@@ -75,7 +77,7 @@ def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
         "_weight", list(attributes), attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(exact_sum("_weight").alias("_w"))
     best = per_value.groupBy(attr_alias).agg(
         F.min(F.struct((-F.col("_w")).alias("neg"), F.col(value_alias).alias("v"))).alias("_best"),
         F.sum("_w").alias("_t"),
@@ -105,7 +107,7 @@ def weighted_distributions(df: DataFrame, attributes: Sequence[str], weight,
         "_weight", list(attributes), attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(exact_sum("_weight").alias("_w"))
     totals = per_value.groupBy(attr_alias).agg(F.sum("_w").alias("_t"))
     # one row per listed attribute: bounded by construction, no count needed
     out = per_value.join(F.broadcast(totals), attr_alias).select(

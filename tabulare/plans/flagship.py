@@ -26,6 +26,6 @@ _HOMES_SQL = ("(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY fonte,
               + ", ".join(f"{c} ASC NULLS LAST" for c in _ORDER)
               + f") AS rn FROM {MORADOR_SQL} m) x WHERE rn = 1) h")
 register("household_water_distribution",
-         "SELECT fonte, agua AS valor, CAST(ROUND(SUM(peso), 2) AS BIGINT) AS total, "
+         "SELECT fonte, agua AS valor, CAST(CAST(SUM(CAST(CAST(peso AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS total, "
          "ROUND(100.0 * SUM(peso) / SUM(SUM(peso)) OVER (PARTITION BY fonte), 1) AS pct "
          f"FROM {_HOMES_SQL} WHERE agua IS NOT NULL GROUP BY fonte, agua")(flagship)

@@ -15,7 +15,7 @@ from tabulare.plans.standins import (
 )
 
 # ---------------------------------------------------------------- A1, A2, A3, L1, L4
-register("weighted_total", "SELECT CAST(ROUND(SUM(o_totalprice), 2) AS BIGINT) AS total FROM orders")(
+register("weighted_total", "SELECT CAST(CAST(SUM(CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS total FROM orders")(
     lambda spark, d: weighted.weighted_total(table(spark, d, "orders"), "o_totalprice"))
 
 
@@ -32,8 +32,14 @@ register("weighted_distribution_with_nulls",
     lambda spark, d: weighted.weighted_distribution(_priority(spark, d), "prioridade", "o_totalprice",
                                                     include_nulls=True))
 
+# F8: one value looked up in a finished distribution (shares stay those of the whole)
+register("post_aggregate_lookup",
+         f"SELECT * FROM ({dist_sql(PRIORITY_WITH_NULLS, 'o_totalprice', 'orders')}) t WHERE valor = '1-URGENT'")(
+    lambda spark, d: weighted.weighted_distribution(_priority(spark, d), "prioridade", "o_totalprice", ordered=False)
+    .where(F.col("valor") == "1-URGENT"))
+
 register("top_categories",
-         "SELECT valor, CAST(ROUND(SUM(w), 2) AS BIGINT) AS total, "
+         "SELECT valor, CAST(CAST(SUM(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS total, "
          "ROUND(100.0 * SUM(w) / SUM(SUM(w)) OVER (), 1) AS pct "
          f"FROM (SELECT n_name AS valor, o_totalprice AS w FROM {ORDERS_WITH_STATE_SQL}) t "
          "GROUP BY valor ORDER BY SUM(w) DESC, valor LIMIT 6")(
@@ -46,10 +52,10 @@ register("weighted_modes",
          "WITH longo AS (" + " UNION ALL ".join(
              f"SELECT '{a}' AS atributo, CAST({a} AS VARCHAR) AS valor, l_quantity AS w FROM lineitem"
              for a in _MODE_ATTRS) + "), "
-         "g AS (SELECT atributo, valor, SUM(w) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2), "
+         "g AS (SELECT atributo, valor, SUM(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 13))) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2), "
          "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY atributo ORDER BY s DESC, valor) AS rn, "
          "SUM(s) OVER (PARTITION BY atributo) AS t FROM g) "
-         "SELECT atributo, valor, CAST(ROUND(s, 2) AS BIGINT) AS total, ROUND(100.0 * s / t, 1) AS pct "
+         "SELECT atributo, valor, CAST(CAST(s AS DOUBLE) AS BIGINT) AS total, ROUND(100.0 * CAST(s AS DOUBLE) / CAST(t AS DOUBLE), 1) AS pct "
          "FROM r WHERE rn = 1")(
     lambda spark, d: weighted.weighted_modes(table(spark, d, "lineitem"), _MODE_ATTRS, "l_quantity"))
 
@@ -59,10 +65,10 @@ register("distributions_by_attribute",
          "WITH longo AS (" + " UNION ALL ".join(
              f"SELECT '{a}' AS atributo, CAST({a} AS VARCHAR) AS valor, o_totalprice AS w FROM orders"
              for a in _DIST_ATTRS) + "), "
-         "g AS (SELECT atributo, valor, SUM(w) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2), "
+         "g AS (SELECT atributo, valor, SUM(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 13))) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2), "
          "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY atributo ORDER BY s DESC, valor) AS rn, "
          "SUM(s) OVER (PARTITION BY atributo) AS t FROM g) "
-         "SELECT atributo, valor, CAST(ROUND(s, 2) AS BIGINT) AS total, ROUND(100.0 * s / t, 1) AS pct "
+         "SELECT atributo, valor, CAST(CAST(s AS DOUBLE) AS BIGINT) AS total, ROUND(100.0 * CAST(s AS DOUBLE) / CAST(t AS DOUBLE), 1) AS pct "
          "FROM r WHERE rn <= 6")(
     lambda spark, d: weighted.weighted_distributions(table(spark, d, "orders"), _DIST_ATTRS,
                                                      "o_totalprice", top=6))
@@ -144,12 +150,11 @@ register("household_collapse",
                                         ["renda", "peso", "prioridade"]))
 
 @register("grain_totals",
-          "SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) AS domicilios_estimados, "
-          f"(SELECT CAST(ROUND(SUM(peso), 2) AS BIGINT) FROM {_FLAT_SQL} p) AS pessoas_estimadas "
+          "SELECT CAST(CAST(SUM(CAST(CAST(peso AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS domicilios_estimados, "
+          f"(SELECT CAST(CAST(SUM(CAST(CAST(peso AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) FROM {_FLAT_SQL} p) AS pessoas_estimadas "
           f"FROM (SELECT id_domicilio, any_value(peso) AS peso FROM {_FLAT_SQL} f GROUP BY 1) h")
 def _grain_totals(spark, d):
-    flat = _flat_persons(spark, d)
-    return household.grain_totals(household.collapse(flat, "id_domicilio", ["peso"]), "peso", flat, "peso")
+    return household.grain_totals(_flat_persons(spark, d), "id_domicilio", "peso")
 
 _LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -176,7 +181,7 @@ def _customer_households(spark, d):
                                               F.expr(CUSTOMER_WEIGHT).alias("peso"))
 
 
-_BANDS_ORACLE = ("SELECT faixa, CAST(ROUND(SUM(peso), 2) AS BIGINT) AS domicilios, "
+_BANDS_ORACLE = ("SELECT faixa, CAST(CAST(SUM(CAST(CAST(peso AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS domicilios, "
                  "ROUND(100.0 * SUM(peso) / SUM(SUM(peso)) OVER (), 1) AS pct "
                  f"FROM (SELECT peso, {_BAND_SQL} AS faixa FROM {_CUSTOMER_HH} c) t GROUP BY faixa")
 register("income_bands", _BANDS_ORACLE)(
@@ -215,7 +220,7 @@ register("label_fallback",
                   "p_retailprice", f"(SELECT {PART_CODE_4} AS codigo, p_retailprice FROM part) p"))(
     lambda spark, d: weighted.weighted_distribution(
         table(spark, d, "part").select(
-            label_or_code(F.expr(PART_CODE_4), codes.SITUACAO_ROTULO).alias("v"), "p_retailprice"),
+            label_or_code(f"({PART_CODE_4})", codes.SITUACAO_ROTULO).alias("v"), "p_retailprice"),
         "v", "p_retailprice"))
 
 _INTERNET = {1: "Sim", 2: "Nao (tem PC, sem internet)"}
@@ -225,7 +230,7 @@ register("null_as_category",
                   include_nulls=True))(
     lambda spark, d: weighted.weighted_distribution(
         table(spark, d, "part").select(
-            label(F.expr(PART_CODE_4), _INTERNET, "Nao (sem computador)").alias("v"), "p_retailprice"),
+            label(f"({PART_CODE_4})", _INTERNET, "Nao (sem computador)").alias("v"), "p_retailprice"),
         "v", "p_retailprice", include_nulls=True))
 
 _A = "NULLIF(l_linenumber, 7)"
@@ -280,7 +285,7 @@ register("encoding_check",
 
 BENCHMARK_HOUSEHOLDS = 4500.0
 register("benchmark_deviation",
-         "SELECT CAST(ROUND(SUM(w), 2) AS BIGINT) AS total_estimado, 4500.0::DOUBLE AS referencia, "
+         "SELECT CAST(CAST(SUM(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS total_estimado, 4500.0::DOUBLE AS referencia, "
          "ROUND(ABS(SUM(w) - 4500.0) / 4500.0 * 100, 1) AS desvio_pct, "
          "ABS(SUM(w) - 4500.0) / 4500.0 * 100 < 5.0 AS dentro_tolerancia "
          f"FROM (SELECT {CUSTOMER_WEIGHT} AS w FROM customer) c")(

@@ -8,7 +8,7 @@ from tabulare.functions import codes
 from tabulare.operators import harmonize as H
 from tabulare.operators import filters, weighted
 from tabulare.operators.portrait import PORTRAIT_ATTRIBUTES, household_portrait
-from tabulare.functions.numeric import bigint_half_even
+from tabulare.functions.numeric import bigint_half_even, exact_sum
 from tabulare.plans.registry import register
 from tabulare.plans.standins import (
     HOUSEHOLD_FIELDS, HOUSEHOLD_KEYS, HOUSEHOLD_STATE_FIELDS, LOOKUP_REGIONS_EXCLUDED,
@@ -16,7 +16,6 @@ from tabulare.plans.standins import (
     pnadc_persons, select_sql, table,
 )
 from tabulare.schemas import MORADOR_COLUMNS
-from tabulare.session import broadcast_if_small
 
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -117,15 +116,15 @@ register("household_portrait",
          f"WITH h AS {_PORTRAIT_HOMES}, longo AS ("
          + " UNION ALL ".join(f"SELECT '{a}' AS atributo, CAST({a} AS VARCHAR) AS valor, peso AS w FROM h"
                               for a in PORTRAIT_ATTRIBUTES)
-         + "), g AS (SELECT atributo, valor, SUM(w) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2) "
-         "SELECT atributo, valor, CAST(ROUND(s, 2) AS BIGINT) AS total, "
-         "ROUND(100.0 * s / SUM(s) OVER (PARTITION BY atributo), 1) AS pct FROM g")(
+         + "), g AS (SELECT atributo, valor, SUM(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 13))) AS s FROM longo WHERE valor IS NOT NULL GROUP BY 1, 2) "
+         "SELECT atributo, valor, CAST(CAST(s AS DOUBLE) AS BIGINT) AS total, "
+         "ROUND(100.0 * CAST(s AS DOUBLE) / CAST(SUM(s) OVER (PARTITION BY atributo) AS DOUBLE), 1) AS pct FROM g")(
     lambda spark, d: household_portrait(morador(spark, d), "pnadc_2025"))
 
 # ---------------------------------------------------------------- J1 on its own
 @register("person_household_join",
          f"SELECT d.situacao_do_domicilio AS situacao_do_domicilio, COUNT(*) AS n_pessoas, "
-         "CAST(ROUND(SUM(p.peso_amostral), 2) AS BIGINT) AS peso_total "
+         "CAST(CAST(SUM(CAST(CAST(p.peso_amostral AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS peso_total "
          f"FROM (SELECT {select_sql(PERSON_FIELDS)} FROM lineitem) p "
          f"JOIN (SELECT {select_sql({**HOUSEHOLD_KEYS, **HOUSEHOLD_FIELDS})} FROM orders) d "
          "ON p.area_de_ponderacao = d.area_de_ponderacao AND p.controle = d.controle "
@@ -138,7 +137,7 @@ def _person_household_join(spark, d):
     # household key multiplies the per-key count and sum exactly as it would
     # the person rows.
     per_home = persons(spark, d).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                                    F.sum("peso_amostral").alias("_w"))
+                                                    exact_sum("peso_amostral").alias("_w"))
     joined = per_home.hint("merge").join(households(spark, d).select(*keys, "situacao_do_domicilio"), keys)
     return joined.groupBy("situacao_do_domicilio").agg(
         F.sum("_n").alias("n_pessoas"), bigint_half_even(F.sum("_w")).alias("peso_total"))
@@ -166,7 +165,7 @@ def _uf_code_lookup(spark, d):
 def _code_lookup_join(spark, d):
     # the lookup table covers the states of four regions: the rest drop out
     dim = (table(spark, d, "nation")
-           .join(broadcast_if_small(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+           .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
            .where(~F.col("r_name").isin(list(LOOKUP_REGIONS_EXCLUDED))).select("n_nationkey", "n_name"))
     kept = H.lookup_state(table(spark, d, "customer"), "c_nationkey", dim, "n_nationkey")
     return weighted.count_by(kept.select(F.col("n_name").alias("uf")), "uf", alias="n_linhas")

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
 from tabulare.plans.standins import table, table_path
-from tabulare.session import broadcast_if_small, derived_input, ensure_parallelism, local_fs_path
+from tabulare.session import derived_input, local_fs_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, read_fwf
-from tabulare.sources.layout import packaged_layout
+from tabulare.schemas import IMOVEL
+from tabulare.sources.catalog import split_stem
+from tabulare.sources.layout import Layout, packaged_layout, read_layout_csv
 
 # Bump when the way a derived input is built changes, so cached copies are not reused.
-DERIVED_VERSION = "4"
+DERIVED_VERSION = "5"
 
 # ---------------------------------------------------------------- S1, P2, P4, P3
 LINEITEM = packaged_layout("lineitem_census", "census")
@@ -34,7 +36,7 @@ LINEITEM = packaged_layout("lineitem_census", "census")
 def _lineitem_lines(spark, d) -> str:
     """``lineitem`` as census-style fixed-width text (built once per table version)."""
     def build(path):
-        li = ensure_parallelism(table(spark, d, "lineitem"))
+        li = table(spark, d, "lineitem")
         c = F.col
         values = {"L0001": c("l_orderkey"), "L0002": c("l_partkey"), "L0003": c("l_suppkey"),
                   "L0004": c("l_linenumber"), "L0005": c("l_quantity"), "L0006": c("l_extendedprice"),
@@ -82,7 +84,7 @@ def _encoded_value():
 
 def _fwf_sparse(spark, d):
     def build(path):
-        ensure_parallelism(table(spark, d, "orders")).select(_encoded_value()).write.mode("overwrite").text(path)
+        table(spark, d, "orders").select(_encoded_value()).write.mode("overwrite").text(path)
     path = derived_input(spark, "fwf-orders", [table_path(d, "orders")], build, version=DERIVED_VERSION)
     return read_fwf(spark, path, ORDERS)
 
@@ -112,7 +114,7 @@ def _write_document_words(spark, d, path):
     A code point Latin-1 lacks is written as one "?" (the charset encoder's
     replacement), so widths in characters are kept.
     """
-    docs = ensure_parallelism(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     words = (docs.select("doc_id", F.posexplode(F.split("text", _SPLIT)).alias("pos", "w"))
              .where(F.col("w") != ""))
     pieces = words.select("doc_id", "pos", "w", F.explode(F.sequence(
@@ -159,15 +161,16 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write_archives(out_dir: str):
+def _write_archives(out_dir: str, cut: tuple = ()):
     """Task-side writer of the archive test inputs: one ZIP per (status, task);
-    the 'P' archives stop halfway, like an interrupted download. Each archive is
-    assembled in memory (bounded by the task's input split) and written in one
-    stream, so a retried task rewrites the same file."""
+    those of a status in ``cut`` stop halfway, like an interrupted download.
+    Archives are written under a name of the attempt and renamed when they are
+    complete, so retried and speculative tasks do not race each other."""
 
     def fn(batches):
         filesystem, root = _filesystem(out_dir)
-        pid = TaskContext.get().partitionId()
+        ctx = TaskContext.get()
+        pid, own = ctx.partitionId(), ctx.taskAttemptId()
         buffers: dict[str, io.BytesIO] = {}
         zips: dict[str, zipfile.ZipFile] = {}
         for n, pdf in enumerate(batches):
@@ -181,38 +184,90 @@ def _write_archives(out_dir: str):
         for status, zf in zips.items():
             zf.close()
             data = buffers[status].getvalue()
-            if status == "P":
+            if status in cut:
                 data = data[: len(data) // 2]
             name = f"{root}/{status}_{pid:05d}.zip"
-            with filesystem.open_output_stream(name) as fh:
+            with filesystem.open_output_stream(f"{root}/_{status}_{pid:05d}_{own}") as fh:
                 fh.write(data)
+            filesystem.move(f"{root}/_{status}_{pid:05d}_{own}", name)
             out.append((status, name))
         yield pd.DataFrame(out, columns=["status", "arquivo"])
     return fn
 
 
-def _archives(spark, d) -> str:
+def _archives(spark, d, cut: tuple = ()) -> str:
+    """Folder of ZIP archives of every order's line, by status."""
     def build(out_dir):
         filesystem, root = _filesystem(out_dir)
         filesystem.create_dir(root, recursive=True)
-        o = ensure_parallelism(table(spark, d, "orders"))
-        (o.select(F.col("o_orderstatus").alias("status"), _encoded_value())
-         .mapInPandas(_write_archives(out_dir), "status string, arquivo string").collect())
+        (table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), _encoded_value())
+         .mapInPandas(_write_archives(out_dir, cut), "status string, arquivo string")
+         .write.format("noop").mode("overwrite").save())
         with filesystem.open_output_stream(f"{root}/_SUCCESS"):
             pass
-    return derived_input(spark, "zips", [table_path(d, "orders")], build, version=DERIVED_VERSION)
+    return derived_input(spark, "zips" + "".join(cut), [table_path(d, "orders")], build, version=DERIVED_VERSION)
 
 
-register("zip_ingest", _ORDERS_ORACLE + " WHERE o_orderstatus IN ('F', 'O')")(
+register("zip_ingest", _ORDERS_ORACLE)(
     lambda spark, d: parse_fwf(archive.archive_lines(spark, _archives(spark, d) + "/*.zip"), ORDERS,
                                encoding=None))
 
 register("zip_validity",
          "SELECT DISTINCT o_orderstatus AS status, o_orderstatus <> 'P' AS valido FROM orders")(
-    lambda spark, d: archive.archive_validity(spark, _archives(spark, d) + "/*.zip")
+    lambda spark, d: archive.archive_validity(spark, _archives(spark, d, ("P",)) + "/*.zip")
     .select(F.regexp_extract("arquivo", r"/([A-Z])_\d+\.zip$", 1).alias("status"), "valido")
     .groupBy("status").agg(F.bool_and("valido").alias("valido")))
 
+# broken archives are rows of their own, the others are read in full
+register("zip_rejects",
+         "SELECT o_orderstatus AS status, o_orderstatus = 'P' AS rejeitado, "
+         "CASE WHEN o_orderstatus = 'P' THEN 0 ELSE COUNT(*) END AS n_linhas FROM orders GROUP BY o_orderstatus")(
+    lambda spark, d: archive.archive_lines(spark, _archives(spark, d, ("P",)) + "/*.zip", broken="reject")
+    .groupBy(F.regexp_extract("arquivo", r"/([A-Z])_\d+\.zip$", 1).alias("status"))
+    .agg(F.bool_or(F.col("erro").isNotNull()).alias("rejeitado"), F.count("value").alias("n_linhas")))
+
+# ---------------------------------------------------------------- P5: numbers that are none
+_TOLERANT = Layout.from_rows([
+    {"variable": "T0001", "description": "CHAVE", "start": 1, "end": 9, "length": 9, "decimals": None, "type": "N"},
+    {"variable": "T0002", "description": "TAMANHO", "start": 10, "end": 13, "length": 4, "decimals": None, "type": "N"},
+])
+register("tolerant_parse",
+         "SELECT CAST(p_partkey AS INTEGER) AS chave, CASE WHEN p_size % 5 = 0 THEN NULL "
+         "ELSE CAST(p_size AS SMALLINT) END AS tamanho FROM part")(
+    lambda spark, d: parse_fwf(table(spark, d, "part").selectExpr(
+        "concat(lpad(CAST(p_partkey AS STRING), 9, '0'), CASE WHEN p_size % 5 = 0 THEN ' x9 ' "
+        "ELSE lpad(CAST(p_size AS STRING), 4, ' ') END) AS value"), _TOLERANT, encoding=None, strict=False))
+
+# ---------------------------------------------------------------- S5: a layout CSV on shared storage
+def _layout_csv(spark, d):
+    rows = table(spark, d, "part").selectExpr(
+        "concat('V', lpad(CAST(p_partkey AS STRING), 7, '0')) AS variable", "p_name AS description",
+        "CAST(p_size AS STRING) AS start", "CAST(p_size + 3 AS STRING) AS end", "'4' AS length",
+        "CASE WHEN p_size % 2 = 0 THEN '2' END AS decimals", "'N' AS type")
+    path = derived_input(spark, "layout-csv", [table_path(d, "part")],
+                         lambda p: rows.write.option("header", True).csv(p), version=DERIVED_VERSION)
+    return read_layout_csv(spark, path).select("variable", "description", "start", "end", "length", "decimals", "type")
+
+
+register("layout_csv_scan",
+         "SELECT 'V' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS variable, p_name AS description, "
+         "CAST(p_size AS VARCHAR) AS start, CAST(p_size + 3 AS VARCHAR) AS \"end\", '4' AS length, "
+         "CASE WHEN p_size % 2 = 0 THEN '2' END AS decimals, 'N' AS type FROM part")(_layout_csv)
+
+# ---------------------------------------------------------------- X10
+def _stems(spark, d):
+    uf, kind = split_stem("stem")
+    return table(spark, d, "part").selectExpr(
+        "CASE WHEN p_size % 4 = 0 THEN replace(p_brand, '#', '') ELSE concat(replace(p_brand, '#', ''), '_', p_type) END AS stem"
+    ).select("stem", uf.alias("uf"), kind.alias("file_type"))
+
+
+register("split_stem",
+         "SELECT stem, CASE WHEN contains(stem, '_') THEN split_part(stem, '_', 1) END AS uf, "
+         "CASE WHEN contains(stem, '_') THEN substr(stem, instr(stem, '_') + 1) END AS file_type FROM "
+         "(SELECT CASE WHEN p_size % 4 = 0 THEN replace(p_brand, '#', '') "
+         "ELSE replace(p_brand, '#', '') || '_' || p_type END AS stem FROM part) t")(_stems)
+
 # ---------------------------------------------------------------- S10, P15-P18, X5-X9
 _ITEM_SQL = {
     "deal": "CASE p_size % 4 WHEN 0 THEN 'Venda' WHEN 1 THEN 'Aluguel' WHEN 2 THEN 'Temporada' ELSE 'Permuta' END",
@@ -227,9 +282,9 @@ _ITEM_SQL = {
 }
 
 
-def _listing_pages(spark, d):
-    """Listing pages (≤ 50 items each) built from ``part``, as JSON text rows."""
-    p = ensure_parallelism(table(spark, d, "part"))
+def _listing_pages(spark, d, cut: int = 0):
+    """Listing pages (≤ 50 items each) built from ``part``, as JSON text rows; one in ``cut`` pages stops halfway."""
+    p = table(spark, d, "part")
     e = {k: F.expr(v) for k, v in _ITEM_SQL.items()}
     attr = lambda i, v: F.struct(F.lit(i).alias("id"), v.alias("value_name"))
     attrs = F.filter(F.array(
@@ -256,7 +311,10 @@ def _listing_pages(spark, d):
     # pages of at most 50 items, as the listing API serves them
     pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("pagina")).agg(
         F.collect_list(item).alias("results"), F.count(F.lit(1)).alias("total"))
-    return pages.select(F.to_json(F.struct("results", F.struct("total").alias("paging"))))
+    text = F.to_json(F.struct("results", F.struct("total").alias("paging")))
+    if cut:
+        text = F.when(F.col("pagina") % cut == 3, F.substr(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text)
+    return pages.select(text.alias("value"))
 
 
 def _listings(spark, d):
@@ -305,6 +363,22 @@ _PARSE_COLS = ("provedor", "url", "id_externo", "titulo_anuncio", "uf", "cidade"
 _PIVOT_COLS = ("id_externo",) + tuple(listings.ATTRIBUTE_COLUMNS.values())
 _ROUTE_COLS = ("id_externo", "negocio", "valor_aluguel", "valor_venda")
 _FLAG_COLS = ("id_externo", "tem_piscina", "tem_elevador", "tem_sauna")
+# pages of which one in seven is cut off: its items are rejects, all others are read
+def _listing_rejects(spark, d):
+    cut = lambda p: _listing_pages(spark, d, cut=7).write.mode("overwrite").text(p)
+    path = derived_input(spark, "listings-cut", [table_path(d, "part")], cut, version=DERIVED_VERSION)
+    good = listings.parse_listings(listings.read_listing_pages(spark, path, "reject")).select(
+        F.lit("item").alias("motivo"), "id_externo")
+    return good.unionByName(listings.listing_rejects(spark, path).select("motivo", "id_externo")).groupBy("motivo").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id_externo").alias("n_itens"))
+
+
+register("listing_rejects",
+         "SELECT CASE WHEN p_partkey // 50 % 7 = 3 THEN 'pagina' ELSE 'item' END AS motivo, "
+         "CASE WHEN p_partkey // 50 % 7 = 3 THEN COUNT(DISTINCT p_partkey // 50) ELSE COUNT(*) END AS n, "
+         "CASE WHEN p_partkey // 50 % 7 = 3 THEN 0 ELSE COUNT(*) END AS n_itens FROM part GROUP BY p_partkey // 50 % 7 = 3")(
+    _listing_rejects)
+
 _AREA_COLS = ("id_externo", "area_total_m2", "area_construida_m2", "area_terreno_m2")
 for _name, _cols in (("listing_parse", _PARSE_COLS), ("attribute_pivot", _PIVOT_COLS),
                      ("conditional_route", _ROUTE_COLS), ("token_flags", _FLAG_COLS),
@@ -312,6 +386,13 @@ for _name, _cols in (("listing_parse", _PARSE_COLS), ("attribute_pivot", _PIVOT_
     register(_name, _listing_sql(_cols))(
         lambda spark, d, _c=_cols: _listings(spark, d).select(*_c))
 
+# ---------------------------------------------------------------- K11, imovel side (data_coleta is the load time)
+_IMOVEL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+register("imovel_conform",
+         "SELECT " + ", ".join(f"CAST({_LISTING_EXPECTED.get(f.name, 'NULL')} AS {_IMOVEL_TYPES[f.dataType.simpleString()]}) AS {f.name}"
+                               for f in IMOVEL.fields if f.name != "data_coleta") + " FROM part")(
+    lambda spark, d: listings.listings_to_imovel(_listings(spark, d)).drop("data_coleta"))
+
 # ---------------------------------------------------------------- P5, X7
 _MIXED = ("CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN concat(CAST(p_size AS STRING), '.0') "
           "ELSE concat(' ', CAST(p_size AS STRING), ' ') END")
@@ -323,23 +404,30 @@ register("safe_cast",
         "p_partkey", "texto", parse_int_strict("texto").alias("valor")))
 
 # ---------------------------------------------------------------- X1, X2
+def _counted_slugs(texts, to_slug):
+    return (texts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).select(to_slug("t").alias("slug"), "n")
+            .groupBy("slug").agg(F.sum("n").alias("n")))
+
+
 _HEADING = "concat(p_type, ' — Situação ', p_brand, ' 1- Urbana 2- Rural')"
 register("slugify_heading",
          "SELECT trim(regexp_replace(strip_accents(lower(regexp_split_to_array(h, "
          "':\\s*|\\s+\\d+\\s*[-–]\\s*')[1])), '[^a-z0-9]+', '_', 'g'), '_') AS slug, COUNT(*) AS n "
          f"FROM (SELECT {_HEADING} AS h FROM part) t GROUP BY 1")(
-    lambda spark, d: ensure_parallelism(table(spark, d, "part")).select(slug_heading(F.expr(_HEADING)).alias("slug"))
-    .groupBy("slug").agg(F.count(F.lit(1)).alias("n")))
+    # equal headings are folded once: group the raw text first (partial aggregate), then the slugs
+    lambda spark, d: _counted_slugs(table(spark, d, "part").select(F.expr(_HEADING).alias("t")), slug_heading))
+
 
 _LABEL = "concat(c_mktsegment, ' – Região ', r_name, ' / ', n_name)"
 register("slugify",
          "SELECT trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', '_', 'g'), '_') AS slug, "
          f"COUNT(*) AS n FROM (SELECT {_LABEL} AS t FROM customer JOIN nation ON c_nationkey = n_nationkey "
          "JOIN region ON n_regionkey = r_regionkey) x GROUP BY 1")(
-    lambda spark, d: ensure_parallelism(table(spark, d, "customer"))
-    .join(broadcast_if_small(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    .join(broadcast_if_small(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    .select(slug(F.expr(_LABEL)).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")))
+    lambda spark, d: _counted_slugs(
+        table(spark, d, "customer")
+        .join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.expr(_LABEL).alias("t")), slug))
 
 # ---------------------------------------------------------------- S5, J4
 def _brand_dictionary_rows():
@@ -353,6 +441,6 @@ register("label_dictionary",
          "LEFT JOIN (VALUES " + ", ".join(f"('{m}', '{t}')" for m, t in _brand_dictionary_rows())
          + ") AS dic(marca, descricao) ON p_brand = marca")(
     lambda spark, d: table(spark, d, "part").join(
-        broadcast_if_small(spark.createDataFrame(_brand_dictionary_rows(), "marca string, descricao string")),
+        spark.createDataFrame(_brand_dictionary_rows(), "marca string, descricao string"),
         F.col("p_brand") == F.col("marca"), "left").select(
         "p_partkey", "p_brand", F.coalesce("descricao", F.lit(_DEFAULT_DESC)).alias("descricao")))

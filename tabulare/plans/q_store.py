@@ -9,13 +9,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even
+from tabulare.functions.numeric import bigint_half_even, exact_sum
 from tabulare.plans.q_harmonize import MORADOR_SQL, morador
-from tabulare.plans.registry import register
-from tabulare.plans.standins import ORDERS_WITH_STATE_SQL, orders_with_state, table
-from tabulare.session import broadcast_if_small, scratch_path
+from tabulare.plans.registry import exact_sql, register, whole_sql
+from tabulare.plans.standins import ORDERS_WITH_STATE_SQL, households, orders_with_state, persons, pnadc_persons, table
+from tabulare.session import scratch_path
 from tabulare.sinks import store
-from tabulare.sources.catalog import missing_partitions, partition_catalog, rows_per_state
+from tabulare.sources.surveys import load_morador
+from tabulare.sources.catalog import missing_partitions, partition_catalog, rows_per_state, stored_partitions
 
 _ORDERS_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 _ORDERS_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, "
@@ -120,13 +121,44 @@ def _replace_by_source(spark, d):
                          root, "census_2010")
     store.replace_source(m.where(F.lit(False)), root, "pnadc_2025")
     return spark.read.parquet(root).groupBy("fonte").agg(
-        F.count(F.lit(1)).alias("n"), bigint_half_even(F.sum("peso")).alias("peso_total"))
+        F.count(F.lit(1)).alias("n"), bigint_half_even(exact_sum("peso")).alias("peso_total"))
 
 
 register("replace_by_source",
-         f"SELECT fonte, COUNT(*) AS n, CAST(ROUND(SUM(peso), 2) AS BIGINT) AS peso_total FROM {MORADOR_SQL} m "
+         f"SELECT fonte, COUNT(*) AS n, CAST(CAST(SUM(CAST(CAST(peso AS VARCHAR) AS DECIMAL(38, 13))) AS DOUBLE) AS BIGINT) AS peso_total FROM {MORADOR_SQL} m "
          "WHERE fonte = 'census_2010' AND situacao = 'urbana' GROUP BY fonte")(_replace_by_source)
 
+# ---------------------------------------------------------------- the morador load as one call
+def _morador_load(spark, d):
+    root = scratch_path(spark, "morador-load")
+    load = lambda **kw: load_morador(root, **kw)
+    load(persons=persons(spark, d), households=households(spark, d, with_state=True))
+    load(pnadc=pnadc_persons(spark, d).where(F.col("uf") == "NATION_1"))       # an incomplete earlier load
+    return load(pnadc=pnadc_persons(spark, d))                                 # replaced; the census stays
+
+
+register("morador_load", f"SELECT fonte, COUNT(*) AS n_linhas FROM {MORADOR_SQL} m GROUP BY fonte")(_morador_load)
+
+
+# ---------------------------------------------------------------- K4, A21: ingest state by state
+_FIRST_STATES, _MORE_STATES = ("NATION_1", "NATION_2"), ("NATION_1", "NATION_3", "NATION_5")
+
+
+def _ingest_by_state(spark, d):
+    root = scratch_path(spark, "by-state")
+    rows = orders_with_state(spark, d).select(F.col("n_name").alias("uf"), "o_orderkey", "o_totalprice")
+    store.write_states(rows, root, _FIRST_STATES)
+    # a second call for other states: NATION_1 is stored already and stays as it is, NATION_2 is out of scope
+    changed = rows.withColumn("o_totalprice", F.lit(0.0))
+    store.write_states(changed.where("uf = 'NATION_1'").unionByName(rows.where("uf <> 'NATION_1'")), root, _MORE_STATES)
+    return spark.read.parquet(root).groupBy("uf").agg(F.count(F.lit(1)).alias("n_linhas"),
+                                                      bigint_half_even(exact_sum("o_totalprice")).alias("total"))
+
+
+register("ingest_by_state",
+         f"SELECT n_name AS uf, COUNT(*) AS n_linhas, {whole_sql(exact_sql('o_totalprice'))} AS total FROM {ORDERS_WITH_STATE_SQL} "
+         f"WHERE n_name IN ({', '.join(repr(s) for s in sorted({*_FIRST_STATES, *_MORE_STATES}))}) GROUP BY n_name")(_ingest_by_state)
+
 # ---------------------------------------------------------------- S12, J5, U4
 _PERSON_REGIONS = ("AMERICA", "EUROPE")
 
@@ -136,14 +168,14 @@ def _store_by_state(spark, d, person_regions=None, household_regions=None) -> st
     hh = orders_with_state(spark, d)
     if household_regions is not None:
         r = table(spark, d, "region").where(F.col("r_name").isin(list(household_regions)))
-        hh = hh.join(broadcast_if_small(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+        hh = hh.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     hh = hh.select(F.col("n_name").alias("uf"), F.lit("domicilios").alias("file_type"),
                    "o_orderkey", "o_totalprice")
     li = table(spark, d, "lineitem")
     pp = orders_with_state(spark, d)
     if person_regions is not None:
         r = table(spark, d, "region").where(F.col("r_name").isin(list(person_regions)))
-        pp = pp.join(broadcast_if_small(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+        pp = pp.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     pp = li.hint("merge").join(pp, li.l_orderkey == pp.o_orderkey).select(
         F.col("n_name").alias("uf"), F.lit("pessoas").alias("file_type"), "o_orderkey",
         F.col("l_quantity").alias("o_totalprice"))
@@ -183,7 +215,7 @@ register("rows_per_state",
 
 def _missing(spark, d):
     root = _store_by_state(spark, d, _PERSON_REGIONS)
-    present = partition_catalog(spark, root)
+    present = stored_partitions(spark, root)                  # folder names only
     expected = table(spark, d, "nation").select(
         F.col("n_name").alias("uf"), F.explode(F.array(F.lit("domicilios"), F.lit("pessoas"))).alias("file_type"))
     return missing_partitions(expected, present)

@@ -27,10 +27,20 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def exact_sql(weight: str) -> str:
+    """Exact weighted sum: every weight as the decimal it is written as."""
+    return f"SUM(CAST(CAST({weight} AS VARCHAR) AS DECIMAL(38, 13)))"
+
+
+def whole_sql(total: str) -> str:
+    """An exact total rounded once, half to even."""
+    return f"CAST(CAST({total} AS DOUBLE) AS BIGINT)"
+
+
 def dist_sql(value: str, weight: str, source: str, include_nulls: bool = False,
              value_alias: str = "valor", total_alias: str = "total", pct_alias: str = "pct") -> str:
     where = "" if include_nulls else f"WHERE {value_alias} IS NOT NULL"
-    return (f"SELECT {value_alias}, CAST(ROUND(SUM(w), 2) AS BIGINT) AS {total_alias}, "
+    return (f"SELECT {value_alias}, {whole_sql(exact_sql('w'))} AS {total_alias}, "
             f"ROUND(100.0 * SUM(w) / SUM(SUM(w)) OVER (), 1) AS {pct_alias} "
             f"FROM (SELECT {value} AS {value_alias}, {weight} AS w FROM {source}) t "
             f"{where} GROUP BY {value_alias}")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.session import broadcast_if_small
+from tabulare.session import files_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -30,10 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Its schema is inferred once per file version and then
     passed to the reader, which skips the footer-reading job on later reads."""
     path = table_path(sf_dir, name)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
-    key = (path, st.getLen(), st.getModificationTime())
+    key = (path, files_key(spark, path))
     if key not in _SCHEMAS:
         df = spark.read.parquet(path)
         _SCHEMAS[key] = df.schema
@@ -147,8 +144,7 @@ def households(spark: SparkSession, sf_dir: str, with_state: bool = False) -> Da
     if with_state:
         c = table(spark, sf_dir, "customer")
         n = table(spark, sf_dir, "nation")
-        # nation is a dimension: broadcast after a size check; customer vs orders is left to AQE
-        o = o.join(c, o.o_custkey == c.c_custkey).join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey)
+        o = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
         exprs.update(HOUSEHOLD_STATE_FIELDS)
     return derive(o, exprs)
 
@@ -166,7 +162,7 @@ def orders_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     return (o.join(c, o.o_custkey == c.c_custkey)
-             .join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey))
+             .join(n, c.c_nationkey == n.n_nationkey))
 
 
 def orders_per_customer_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +177,7 @@ def orders_per_customer_with_state(spark: SparkSession, sf_dir: str) -> DataFram
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     return (per_customer.join(c, per_customer.o_custkey == c.c_custkey)
-            .join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey))
+            .join(n, c.c_nationkey == n.n_nationkey))
 
 
 # -- SQL renderings of the survey code tables for the oracle --

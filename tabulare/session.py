@@ -7,6 +7,7 @@ choose one ourselves when the session has none (local runs and tests).
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import tempfile
@@ -14,7 +15,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -87,7 +87,9 @@ def shared_dir(spark: SparkSession) -> str:
     Set only when unset, and then to a fresh local folder (local mode only).
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = sc.getCheckpointDir()
     if not configured:
         if not sc.master.startswith("local"):
             # executors on other machines could not see a folder on this one
@@ -100,74 +102,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never-reused folder name under the shared scratch root."""
-    return f"{shared_dir(spark)}/tabulare/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def local_fs_path(path: str) -> str | None:
-    """Local filesystem path for a ``file:`` or bare path, else ``None``."""
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" in path:
-        return None
-    return path
+    """A fresh, never-reused folder name under this application's scratch root.
 
+    The root is deleted when the driver's Python process ends (or earlier, by
+    ``clear_scratch``): results are lazy, so no earlier point is known to be safe.
+    """
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/tabulare/scratch-{sc.applicationId}"
+    if root not in _SCRATCH_ROOTS:
+        _SCRATCH_ROOTS.add(root)
+        atexit.register(_drop_at_exit, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
-# Most rows a table may have to be broadcast to every task.
-BROADCAST_MAX_ROWS = 1_000_000
 
+_SCRATCH_ROOTS: set = set()
 
-_SMALL: dict = {}
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to scratch; results read from it end here."""
+    root = f"{shared_dir(spark)}/tabulare/scratch-{spark.sparkContext.applicationId}"
+    p, fs = _fs(spark, root)
+    fs.delete(p, True)
 
-def _version_key(df, max_rows: int):
-    """Plan + input file versions, for a DataFrame read from files (else None)."""
-    try:
-        files = df.inputFiles()
-        if not files:
-            return None
-        stamps = []
-        for f in sorted(files):
-            p, fs = _fs(df.sparkSession, f)
-            st = fs.getFileStatus(p)
-            stamps.append((f, st.getLen(), st.getModificationTime()))
-        return (df.semanticHash(), tuple(stamps), max_rows)
-    except Exception:  # noqa: BLE001  (no key: just count again)
-        return None
 
+def _drop_at_exit(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is None:      # stopped: a later application cannot tell whose it is
+        return
+    p, fs = _fs(spark, root)
+    fs.delete(p, True)
 
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint for ``df`` only after checking that it is small.
 
-    The check reads at most ``max_rows + 1`` rows (a bounded job on a
-    dimension-sized table); its verdict is remembered per plan and input file
-    version. Beyond the bound the DataFrame is returned as is and the planner
-    picks the join strategy (sort-merge, or a runtime broadcast if AQE
-    measures it small).
-    """
-    key = _version_key(df, max_rows)
-    small = _SMALL.get(key) if key is not None else None
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _SMALL[key] = small
-    return F.broadcast(df) if small else df
-
-
-def ensure_parallelism(df, max_splits: int = 16):
-    """Spread an input that arrives in only a handful of splits.
-
-    A round-robin repartition to ``defaultParallelism``, applied only when the
-    plan has at most ``max_splits`` partitions and fewer than the cluster has
-    cores (e.g. one small single-row-group file feeding a CPU-heavy step).
-    An input with more splits is returned unchanged: on a large cluster,
-    reshuffling hundreds of splits would cost more than it saves.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n <= max_splits and n < target:
-        return df.repartition(target)
-    return df
+def local_fs_path(path: str) -> str | None:
+    """Local filesystem path for a ``file:`` or bare path, else ``None``."""
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    if "://" in path:
+        return None
+    return path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -181,21 +152,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def files_key(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of every file at ``path`` (a file or a folder): changes when the data does."""
+    p, fs = _fs(spark, path)
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        found.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def derived_input(spark: SparkSession, label: str, sources: list[str], build, version: str = "1") -> str:
     """Folder holding an input derived from ``sources``, built at most once.
 
-    The folder name is keyed by the sources' sizes and modification times, so
-    a changed table gets a new folder. ``build(path)`` must write ``path``
-    through Spark's commit protocol (or write ``_SUCCESS`` last itself); a
-    folder without ``_SUCCESS`` (an interrupted build) is rebuilt.
+    The folder name is keyed by the sources' files, so a changed table gets a
+    new folder. ``build(path)`` writes a folder of its own, which is then
+    renamed: two sessions building at once do not mix, and an interrupted
+    build (no ``_SUCCESS``) is never read.
     """
-    stamp = []
-    for s in sources:
-        p, fs = _fs(spark, s)
-        st = fs.getFileStatus(p)
-        stamp.append((s, st.getLen(), st.getModificationTime()))
+    stamp = [(s, files_key(spark, s)) for s in sources]
     key = hashlib.sha1(repr((label, version, stamp)).encode()).hexdigest()[:16]
     path = f"{shared_dir(spark)}/tabulare/derived/{label}-{key}"
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        return path
+    own = f"{path}.{uuid.uuid4().hex[:12]}"
+    build(own)
+    p, fs = _fs(spark, path)
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build(path)
+        fs.delete(p, True)                   # what an interrupted build left
+        fs.mkdirs(p.getParent())
+        fs.rename(_fs(spark, own)[0], p)
+    else:
+        fs.delete(_fs(spark, own)[0], True)  # another session was first
     return path

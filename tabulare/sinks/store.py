@@ -7,9 +7,14 @@ skip ``_``/``.``-prefixed paths, so a half-written output is never read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Characters that partition folder names carry percent-encoded.
+_ESCAPED = set('"#%\'*/:=?\\\x7f{[]^') | {chr(c) for c in range(1, 0x20)}
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -67,8 +72,9 @@ def save_if_changed(spark: SparkSession, source: DataFrame, name: str,
                     path: str | None = None) -> str:
     """K6: (re)load ``name`` from ``source`` unless it already holds as many rows.
 
-    Returns ``"criada"``, ``"inalterada"`` or ``"recarregada"``. Both counts
-    read only Parquet footers. A table with a different count (e.g. an
+    Returns ``"criada"``, ``"inalterada"`` or ``"recarregada"``. The table's
+    count reads only Parquet footers, and so does a ``source`` that is a bare
+    Parquet scan; any other source is computed to be counted. A table with a different count (e.g. an
     interrupted earlier load) is overwritten as a whole; if that overwrite is
     itself interrupted, the next call sees the mismatch and repairs it again.
     """
@@ -81,11 +87,77 @@ def save_if_changed(spark: SparkSession, source: DataFrame, name: str,
     return "recarregada"
 
 
+def partition_folder(column: str, value: str) -> str:
+    """``column=value`` as Spark names the folder of a partition."""
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def replace_source(df: DataFrame, root: str, value: str, column: str = "fonte") -> None:
-    """Replace every row of one source by overwriting its partition path.
+    """Replace every row of one source, also by an empty load.
 
-    Writing ``root/fonte=<value>`` directly (rather than a dynamic partition
-    overwrite) also clears a source whose new load is empty.
+    The new rows are written beside the old (in a folder readers skip) and
+    swapped in by renames once they are complete, so a failed load leaves the
+    old rows, and ``df`` may itself read from ``root``.
     """
+    spark = df.sparkSession
     out = df.drop(column) if column in df.columns else df
-    out.write.mode("overwrite").option("compression", "snappy").parquet(f"{root}/{column}={value}")
+    staged, old = (f"{root}/_{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
+    out.write.option("compression", "snappy").parquet(staged)
+    target, fs = _fs(spark, f"{root}/{partition_folder(column, value)}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, _fs(spark, old)[0]):
+        raise OSError(f"cannot move {target}")
+    if not fs.rename(_fs(spark, staged)[0], target):
+        if had:
+            fs.rename(_fs(spark, old)[0], target)
+        raise OSError(f"cannot publish {target}")
+    if had:
+        fs.delete(_fs(spark, old)[0], True)
+
+
+def stored_values(spark: SparkSession, root: str, column: str = "uf") -> set[str]:
+    """Values of the first partition column stored under ``root``, from folder names alone."""
+    p, fs = _fs(spark, root)
+    if not fs.exists(p):
+        return set()
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    found = (n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+    return {_unescape(v) for v in found}
+
+
+def _unescape(value: str) -> str:
+    from urllib.parse import unquote
+
+    return unquote(value, encoding="latin-1") if "%" in value else value
+
+
+def write_states(df: DataFrame, path: str, states: Sequence[str] | None = None, by: str = "uf",
+                 overwrite: bool = False) -> list[str]:
+    """A21/K4 per state: write the states of ``df`` that are not stored yet; return them.
+
+    Other states' folders are never touched. ``overwrite=True`` rewrites every
+    state in scope (``states``, or those that ``df`` has) and clears a state in
+    scope that has no rows any more.
+    """
+    spark = df.sparkSession
+    stored = stored_values(spark, path, by)
+    if states is not None:
+        df = df.where(F.col(by).isin(list(states)))
+    if not overwrite and states is not None and set(states) <= stored:
+        return []
+    # which states there are: one value per state, a partial aggregate
+    here = {r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()}
+    todo = sorted(here if overwrite else here - stored)
+    if todo:
+        (df.where(F.col(by).isin(todo)).hint("rebalance", by).write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(by).parquet(path))
+    if overwrite:
+        for gone in (set(states or here) - here) & stored:
+            p, fs = _fs(spark, f"{path}/{partition_folder(by, gone)}")
+            fs.delete(p, True)
+    return todo

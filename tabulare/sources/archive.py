@@ -1,80 +1,112 @@
 """ZIP archives of fixed-width text.
 
 ``binaryFile`` gives one row per archive (path + bytes); a ``mapInPandas``
-step opens each archive and yields its ``.txt`` members line by line, in
-bounded chunks. Several archives of one state are just more input files.
-This is the only Python-side row work in the library: Spark has no ZIP codec.
+step opens each archive and yields its ``.txt`` members line by line, decoded
+and handed on in bounded chunks, never a whole member at once. Several
+archives of one state are just more input files. Spark has no ZIP codec, so
+this is Python row work. An archive is one file in one task; Spark refuses a
+file above ``spark.sql.sources.binaryFile.maxLength`` with an error.
+
+A broken archive (not a ZIP, or a member whose checksum fails) fails the job
+by default. With ``broken="reject"`` it becomes one row with its path and the
+reason in ``erro``, and none of its lines.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-LINES_SCHEMA = "arquivo string, membro string, linha long, value string"
+LINES_SCHEMA = "arquivo string, membro string, linha long, value string, erro string"
 VALIDITY_SCHEMA = "arquivo string, valido boolean, n_membros int, bytes long"
-CHUNK_LINES = 100_000
-MAX_ARCHIVE_BYTES = 200 * 1024 * 1024   # fixed value: per-archive size cap
+CHUNK_LINES = 20_000
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError)
 
 
-def _open(content: bytes) -> zipfile.ZipFile | None:
-    try:
-        return zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        return None
+def _members(zf: zipfile.ZipFile) -> list[str]:
+    return sorted(n for n in zf.namelist() if n.lower().endswith(".txt"))
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            zf = _open(content)
-            if zf is None:
-                continue
-            for member in sorted(n for n in zf.namelist() if n.lower().endswith(".txt")):
-                text = zf.read(member).decode("latin-1")   # S3: never fails
-                lines = text.splitlines()
-                for start in range(0, len(lines), CHUNK_LINES):
-                    part = lines[start:start + CHUNK_LINES]
-                    yield pd.DataFrame({
-                        "arquivo": path, "membro": member,
-                        "linha": range(start, start + len(part)), "value": part,
-                    })
+def _reason(content: bytes) -> str | None:
+    """Why an archive cannot be read, or ``None``; checksums are verified in bounded memory."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as zf:
+            bad = zf.testzip()
+            return f"bad checksum: {bad}" if bad else None
+    except _BROKEN as ex:
+        return f"{type(ex).__name__}: {ex}"
+
+
+def _lines(reject: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                reason = _reason(content)
+                if reason and not reject:
+                    raise ValueError(f"broken archive {path}: {reason}")
+                if reason:
+                    yield pd.DataFrame({"arquivo": [path], "membro": [None], "linha": [None], "value": [None], "erro": [reason]})
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                    for member in _members(zf):
+                        yield from _member_lines(path, member, zf)
+    return run
+
+
+def _member_lines(path: str, member: str, zf: zipfile.ZipFile) -> Iterator[pd.DataFrame]:
+    start, part = 0, []
+
+    def frame():
+        return pd.DataFrame({"arquivo": path, "membro": member, "linha": range(start, start + len(part)),
+                             "value": part, "erro": None})
+    # Latin-1 never fails (S3); a text file breaks lines at CR and LF only
+    with zf.open(member) as raw, io.TextIOWrapper(raw, "latin-1") as text:
+        for line in text:
+            part.append(line.rstrip("\n"))
+            if len(part) == CHUNK_LINES:
+                yield frame()
+                start, part = start + len(part), []
+    if part:
+        yield frame()
 
 
 def _validity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            zf = _open(content) if len(content) <= MAX_ARCHIVE_BYTES else None
-            ok = zf is not None and zf.testzip() is None
-            rows.append((path, ok, len(zf.namelist()) if zf is not None else 0, len(content)))
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                    n = len(zf.namelist())
+            except _BROKEN:
+                n = 0
+            rows.append((path, _reason(content) is None, n, len(content)))
         yield pd.DataFrame(rows, columns=["arquivo", "valido", "n_membros", "bytes"])
 
 
-def _binary(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
+def _binary(spark: SparkSession, paths, names: str | None = None) -> DataFrame:
     from tabulare.session import ship_package
 
     ship_package(spark)                  # mapInPandas below runs this module in the executors
-    df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    if max_bytes is not None:
-        # evaluated on file metadata before the content is read
-        df = df.where(F.col("length") <= F.lit(max_bytes))
-    return df.select("path", "content")
+    reader = spark.read.format("binaryFile")
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)      # by name, before any content is read
+    return reader.load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
 
 
-def archive_lines(spark: SparkSession, paths, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
-    """Every line of every ``.txt`` member of every readable archive.
+def archive_lines(spark: SparkSession, paths, broken: str = "fail", names: str | None = None) -> DataFrame:
+    """Every line of every ``.txt`` member of every archive (``names``: a glob on file names).
 
-    Broken archives yield nothing (see ``archive_validity``); archives over
-    ``max_bytes`` are refused, which bounds what one task holds in memory.
     Lines come back Latin-1-decoded: parse them with ``parse_fwf(..., encoding=None)``.
+    ``broken`` is ``"fail"`` or ``"reject"`` (see module note).
     """
-    return _binary(spark, paths, max_bytes).mapInPandas(_lines, LINES_SCHEMA)
+    if broken not in ("fail", "reject"):
+        raise ValueError("broken must be 'fail' or 'reject'")
+    return _binary(spark, paths, names).mapInPandas(_lines(broken == "reject"), LINES_SCHEMA)
 
 
 def archive_validity(spark: SparkSession, paths) -> DataFrame:

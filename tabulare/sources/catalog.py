@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def stored_partitions(spark: SparkSession, root: str, partition_cols: Sequence[str] = ("uf", "file_type")) -> DataFrame:
+    """The stored partitions, from folder names alone; no data file is opened.
+
+    Uncommitted output (``_temporary``, ``_staged``) is not listed.
+    """
+    pattern = "/".join([root.rstrip("/"), *(f"{c}=*" for c in partition_cols)])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    rows = []
+    for st in found:
+        parts = st.getPath().toString().split("/")[-len(partition_cols):]
+        rows.append(tuple(unquote(x.split("=", 1)[1], encoding="latin-1") if "%" in x else x.split("=", 1)[1] for x in parts))
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in partition_cols))
+
+
 def partition_catalog(spark: SparkSession, root: str, partition_cols: Sequence[str] = ("uf", "file_type"),
                       ufs: Sequence[str] | None = None, file_types: Sequence[str] | None = None) -> DataFrame:
     """Stored partitions with their row counts.
 
-    Partition discovery lists the directories; the filters on partition
-    columns prune directories before any file is opened, and counting rows
-    reads only Parquet footers. Uncommitted output (``_temporary``) is not
-    listed.
+    The filters on partition columns prune directories before any file is
+    opened, and counting rows reads only Parquet footers; use
+    ``stored_partitions`` where the names are enough.
     """
     df = spark.read.parquet(root)
     if ufs:
@@ -43,8 +58,8 @@ def rows_per_state(catalog: DataFrame, preference: Sequence[str] = ("domicilios"
 
 def missing_partitions(expected: DataFrame, present: DataFrame,
                        keys: Sequence[str] = ("uf", "file_type")) -> DataFrame:
-    """Expected partitions that are not stored (anti join)."""
-    return expected.select(*keys).join(present.select(*keys).distinct(), list(keys), "left_anti")
+    """Expected partitions that are not stored (anti join; ``present`` may repeat keys)."""
+    return expected.select(*keys).join(present.select(*keys), list(keys), "left_anti")
 
 
 def split_stem(stem_col) -> tuple:

@@ -49,7 +49,7 @@ class Field:
 
 
 def _blank(x) -> bool:
-    return x is None or str(x).strip() in ("", "nan")
+    return x is None or str(x).strip() == ""
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,7 @@ ADDRESS = T.StructType([
 ])
 ITEM = T.StructType([
     T.StructField("id", _S), T.StructField("permalink", _S), T.StructField("title", _S),
-    T.StructField("price", T.DoubleType()),
+    T.StructField("price", _S),                  # as written; a number or a reject
     T.StructField("address", ADDRESS), T.StructField("location", ADDRESS),
     T.StructField("attributes", T.ArrayType(T.StructType([
         T.StructField("id", _S), T.StructField("value_name", _S)]))),
@@ -59,9 +59,41 @@ INTEGER_COLUMNS = ("n_quartos", "n_suites", "n_banheiros", "n_lavabos", "n_vagas
 PROVIDER = "mercadolivre"
 
 
-def read_listing_pages(spark: SparkSession, path: str) -> DataFrame:
-    """JSON pages (one per line) with the fixed page schema."""
-    return spark.read.schema(PAGE).json(path)
+CORRUPT = "_corrupt_record"
+_PAGE_OR_TEXT = T.StructType(PAGE.fields + [T.StructField(CORRUPT, _S)])
+
+
+def read_listing_pages(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
+    """JSON pages (one per line) with the fixed page schema.
+
+    A page that is no valid JSON of that schema fails the job, or, with
+    ``malformed="reject"``, is left to ``listing_rejects``.
+    """
+    if malformed == "fail":
+        return spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
+    return _pages_or_text(spark, path).where(f"page.{CORRUPT} IS NULL").select("page.results", "page.paging")
+
+
+def _pages_or_text(spark: SparkSession, path: str) -> DataFrame:
+    """One ``page`` per line; parsed as a whole, so that what a query selects does not decide what is malformed."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", _PAGE_OR_TEXT, options).alias("page"))
+
+
+def listing_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What ``read_listing_pages`` and ``parse_listings`` cannot use: ``motivo, id_externo, texto``.
+
+    One row per malformed page (its text) and one per item whose price is not
+    a number (the price's text).
+    """
+    rows = _pages_or_text(spark, path)
+    pages = rows.where(f"page.{CORRUPT} IS NOT NULL").selectExpr(
+        "'pagina' AS motivo", "CAST(NULL AS STRING) AS id_externo", f"page.{CORRUPT} AS texto")
+    items = rows.where(f"page.{CORRUPT} IS NULL").select(F.explode("page.results").alias("item"))
+    prices = items.where("item.price IS NOT NULL AND try_cast(item.price AS DOUBLE) IS NULL").selectExpr(
+        "'preco' AS motivo", "item.id AS id_externo", "item.price AS texto")
+    return pages.unionByName(prices)
 
 
 def _attribute_value_sql(attr_id: str) -> str:
@@ -103,7 +135,7 @@ def parse_listings(pages: DataFrame) -> DataFrame:
         "CASE WHEN nullif(_addr.state_id, '') IS NOT NULL THEN replace(_addr.state_id, 'BR-', '') END AS uf",
         "coalesce(nullif(_addr.city_name, ''), _addr.city.name) AS cidade",
         "coalesce(nullif(_addr.neighborhood_name, ''), _addr.neighborhood.name) AS bairro",
-        "_addr.zip_code AS cep", "item.price AS _price",
+        "_addr.zip_code AS cep", "try_cast(item.price AS DOUBLE) AS _price",
         *[f"{_attribute_value_sql(k)} AS `_raw_{c}`" for k, c in ATTRIBUTE_COLUMNS.items()])
     fixed = ["provedor", "url", "id_externo", "titulo_anuncio", "uf", "cidade", "bairro", "cep"]
     converted = raw.selectExpr(

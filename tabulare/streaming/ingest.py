@@ -1,10 +1,12 @@
 """Incremental fixed-width ingest with Structured Streaming.
 
 The batch ingest skips a step whose output exists (K4) and publishes
-atomically (K3). For a folder that keeps receiving survey files, the same
-guarantees come from the file-stream source: its checkpoint records which
-files were consumed and the Parquet sink's log records committed batches, so
-each file is parsed exactly once even across restarts and lost executors.
+atomically (K3). For a folder that keeps receiving survey files, the
+file-stream source records consumed files in its checkpoint, and the Parquet
+sink's log records committed batches. Both hold only for one pair of
+checkpoint and output folder, so the checkpoint is a required argument: runs
+that share both parse each file once; a new checkpoint on an old output is
+refused.
 ``trigger(availableNow=True)`` processes whatever is new and stops, which
 fits scheduled runs. The parsing is the batch ``parse_fwf`` expression.
 """
@@ -17,13 +19,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tabulare.session import scratch_path
+from tabulare.session import path_exists
 from tabulare.sources.fwf import LATIN1, parse_fwf
 from tabulare.sources.layout import Layout
 
 
 def ingest_fwf_stream(spark: SparkSession, input_dir: str, layout: Layout, output_dir: str,
-                      checkpoint_dir: str | None = None, partition_by: Sequence[str] = (),
+                      checkpoint_dir: str, partition_by: Sequence[str] = (),
                       state_from_path: str | None = None, encoding: str | None = LATIN1,
                       files_per_batch: int | None = None, glob: str = "*.txt") -> StreamingQuery:
     """Parse every new file under ``input_dir`` into partitioned Parquet.
@@ -41,9 +43,10 @@ def ingest_fwf_stream(spark: SparkSession, input_dir: str, layout: Layout, outpu
         lines = lines.withColumn("uf", F.regexp_extract(F.col("_metadata.file_path"), state_from_path, 1))
         keep.append("uf")
     parsed = parse_fwf(lines, layout, encoding=encoding, keep=keep)
-    checkpoint = checkpoint_dir or scratch_path(spark, "stream-ckpt")
+    if path_exists(spark, f"{output_dir}/_spark_metadata") and not path_exists(spark, f"{checkpoint_dir}/commits"):
+        raise ValueError(f"{output_dir} was written with another checkpoint than {checkpoint_dir}")
     writer = (parsed.writeStream.format("parquet").option("path", output_dir)
-              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+              .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     return writer.start()

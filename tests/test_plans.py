@@ -6,7 +6,7 @@ from tabulare.operators import harmonize as H
 from tabulare.operators import household, weighted
 from tabulare.plans.standins import households, persons, table
 from tabulare.sinks import store
-from tabulare.sources.catalog import partition_catalog
+from tabulare.sources.catalog import partition_catalog, stored_partitions
 from tabulare.sources.fwf import parse_fwf
 from tabulare.sources.layout import packaged_layout
 
@@ -64,6 +64,8 @@ def test_partition_filters_prune_directories(spark, tmpdir_path):
     root = tmpdir_path + "/s"
     df = spark.createDataFrame([("AC", "d", 1), ("RO", "d", 2)], "uf string, file_type string, v int")
     store.write_partitioned(df, root, by=("uf", "file_type"))
+    # names alone come from the folders: nothing is scanned
+    assert "FileScan" not in _plan(stored_partitions(spark, root))
     plan = _plan(partition_catalog(spark, root, ufs=["AC"]))
     assert "PartitionFilters: [isnotnull(uf" in plan and "AC" in plan
 
@@ -78,3 +80,22 @@ def test_only_requested_fields_are_parsed(spark):
 def test_partitioned_write_rebalances_by_partition_columns(spark):
     df = table(spark, SF, "orders").hint("rebalance", "o_orderstatus")
     assert "REBALANCE_PARTITIONS_BY_COL" in _plan(df)
+
+
+def test_grain_totals_reads_the_persons_once(spark):
+    plan = _plan(household.grain_totals(persons(spark, SF), "controle", "peso_amostral"))
+    assert plan.count("FileScan") == 1 and "partial_any_value" in plan or "partial_first" in plan
+
+
+def test_grouped_shares_have_no_window(spark):
+    li = table(spark, SF, "lineitem")
+    plan = _plan(weighted.weighted_distribution(li, "l_linenumber", "l_quantity", by=["l_returnflag"]))
+    assert "Window" not in plan
+
+
+def test_slugs_are_folded_after_grouping(spark):
+    from tabulare.plans import QUERIES
+
+    plan = _plan(QUERIES["slugify"](spark, SF))
+    fold, first = plan.index("ArrowEvalPython"), plan.rindex("HashAggregate")
+    assert fold < first                       # an aggregate below (printed after) the Python step

@@ -2,7 +2,7 @@
 
 import os
 
-from tabulare.session import derived_input, ensure_parallelism, scratch_path, shared_dir
+from tabulare.session import clear_scratch, derived_input, files_key, path_exists, scratch_path, shared_dir
 
 
 def test_scratch_under_checkpoint_dir(spark):
@@ -32,30 +32,19 @@ def test_derived_input_built_once_and_rebuilt_if_interrupted(spark, tmpdir_path)
     assert derived_input(spark, "t", [src], build) != p1
 
 
-def test_ensure_parallelism(spark):
-    one = spark.range(100).coalesce(1)
-    assert ensure_parallelism(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert ensure_parallelism(many) is many
-    split_enough = spark.range(100).repartition(20)            # > max_splits: left alone
-    assert ensure_parallelism(split_enough) is split_enough
-
-
-def test_broadcast_only_after_size_check(spark):
-    from tabulare.session import broadcast_if_small
-
-    small, big = spark.range(10), spark.range(100)
-    fact = spark.range(1000).withColumnRenamed("id", "k")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        j1 = fact.join(broadcast_if_small(small, max_rows=50), fact.k == small.id)
-        j2 = fact.join(broadcast_if_small(big, max_rows=50), fact.k == big.id)
-        assert "BroadcastHashJoin" in j1._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in j2._jdf.queryExecution().executedPlan().toString()
-        assert j1.count() == 10 and j2.count() == 100
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+def test_clear_scratch(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    clear_scratch(spark)
+    assert not path_exists(spark, path)
+
+
+def test_files_key_follows_files_in_a_folder(spark, tmpdir_path):
+    spark.range(3).write.parquet(tmpdir_path + "/t")
+    before = files_key(spark, tmpdir_path + "/t")
+    spark.range(2).write.mode("append").parquet(tmpdir_path + "/t")
+    assert files_key(spark, tmpdir_path + "/t") != before
 
 
 def test_package_is_shipped_to_python_workers(spark):

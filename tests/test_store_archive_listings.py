@@ -79,8 +79,54 @@ def test_archives(spark, tmpdir_path):
     # zero-byte files are not listed by Spark's file scan: absent, hence fetched again,
     # which is what an invalid archive leads to as well
     assert valid == {"SP1.zip": True, "SP2_RM.zip": True, "truncado.zip": False}
-    lines = sorted(r.value for r in archive.archive_lines(spark, tmpdir_path + "/*.zip").collect())
-    assert lines == ["linha 1", "linha 2", "parte 2 ç"]      # both parts appended, .txt only
+    # a broken archive fails the job, or is a row with its reason
+    with pytest.raises(Exception, match="broken archive"):
+        archive.archive_lines(spark, tmpdir_path + "/*.zip").collect()
+    rows = archive.archive_lines(spark, tmpdir_path + "/*.zip", broken="reject").collect()
+    assert sorted(r.value for r in rows if r.erro is None) == ["linha 1", "linha 2", "parte 2 ç"]   # .txt only
+    assert [os.path.basename(r.arquivo) for r in rows if r.erro] == ["truncado.zip"]
+
+
+def test_archive_records_break_at_newlines_only(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "A.zip"), "wb") as fh:
+        fh.write(_zip(["a\x85b\x0bc\x1cd", "2"]))
+    rows = archive.archive_lines(spark, tmpdir_path + "/*.zip").orderBy("linha").collect()
+    assert [(r.linha, r.value) for r in rows] == [(0, "a\x85b\x0bc\x1cd"), (1, "2")]
+
+
+def test_bad_member_checksum_is_reported(spark, tmpdir_path):
+    data = bytearray(_zip(["linha 1" * 50]))
+    at = bytes(data).index(b"linha 1")
+    data[at] ^= 1                                            # stored uncompressed: only the CRC notices
+    with open(os.path.join(tmpdir_path, "B.zip"), "wb") as fh:
+        fh.write(bytes(data))
+    assert [r.valido for r in archive.archive_validity(spark, tmpdir_path + "/*.zip").collect()] == [False]
+    rows = archive.archive_lines(spark, tmpdir_path + "/*.zip", broken="reject").collect()
+    assert len(rows) == 1 and "checksum" in rows[0].erro and rows[0].value is None
+
+
+def test_replace_source_from_its_own_root_and_odd_values(spark, tmpdir_path):
+    root = tmpdir_path + "/m"
+    df = spark.createDataFrame([("a/b=c", 1), ("a/b=c", 2), ("z", 3)], "fonte string, v int")
+    store.write_partitioned(df, root, by=("fonte",))
+    store.replace_source(spark.read.parquet(root).where("fonte = 'a/b=c' AND v = 2"), root, "a/b=c")
+    assert {tuple(r) for r in spark.read.parquet(root).select("fonte", "v").collect()} == {("a/b=c", 2), ("z", 3)}
+    assert store.stored_values(spark, root, "fonte") == {"a/b=c", "z"}
+    store.replace_source(df.where("false"), root, "z")
+    assert spark.read.parquet(root).count() == 1
+
+
+def test_listing_rejects(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "pages.json")
+    with open(path, "w") as fh:
+        fh.write(json.dumps({"results": [_item(id="ok"), _item(id="text", price="sob consulta")]}) + "\n")
+        fh.write(json.dumps({"results": [_item(id="lost")]})[:60] + "\n")
+    with pytest.raises(Exception):
+        listings.read_listing_pages(spark, path).collect()
+    good = listings.parse_listings(listings.read_listing_pages(spark, path, "reject")).collect()
+    assert sorted(r.id_externo for r in good) == ["ok", "text"]
+    bad = {(r.motivo, r.id_externo) for r in listings.listing_rejects(spark, path).collect()}
+    assert bad == {("pagina", None), ("preco", "text")}
 
 
 # ---------------------------------------------------------------- listings

@@ -38,3 +38,16 @@ def test_incremental_ingest(spark, tmpdir_path):
     _drop(src, "AC", "Amostra_Domicilios_12_parte2.txt", [(4, 5000)])
     run()
     assert spark.read.parquet(out).count() == 4
+
+
+def test_a_new_checkpoint_on_an_old_output_is_refused(spark, tmpdir_path):
+    import pytest
+
+    src, out = tmpdir_path + "/in", tmpdir_path + "/out"
+    _drop(src, "AC", "a.txt", [(1, 15000)])
+    ingest_fwf_stream(spark, src + "/*", LAYOUT, out, tmpdir_path + "/c1").awaitTermination()
+    _drop(src, "AC", "b.txt", [(2, 15000)])
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest_fwf_stream(spark, src + "/*", LAYOUT, out, tmpdir_path + "/c2")
+    ingest_fwf_stream(spark, src + "/*", LAYOUT, out, tmpdir_path + "/c1").awaitTermination()
+    assert spark.read.parquet(out).count() == 2
