@@ -139,27 +139,23 @@ def mix_documents(docs: DataFrame, weigh=cyclic_weights, cap: int = CAP, seed: s
     comes, in the partial epoch, as its first ``cut_words`` words. The mix is
     measured in words, so documents without words are in no budget and stay once.
     """
-    # one job writes the narrow table; the text is read again, not shuffled
+    # one job writes the narrow table; the text is read again, not shuffled. The row travels
+    # as one struct, so its column names cannot clash with ours
     sized = materialize(docs.select("source", md5_key(docs["doc_id"], seed).alias("key"),
                                     word_count(docs["text"]).alias("size")), "mix-sized")
-    keyed = docs.select("*", F.col("source").alias("_source"), md5_key(docs["doc_id"], seed).alias("_key"),
-                        word_count(docs["text"]).alias("_size"))
-    d = _decide(keyed, sized, weigh, cap).withColumn("_extra", extra_words(F.col("_key"), F.col("_size")))
-    whole = (F.col("epochs") + F.when((F.col("_extra") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("_source"),
+                        md5_key(docs["doc_id"], seed).alias("_key"), word_count(docs["text"]).alias("_size"))
+    d = _decide(keyed, sized, weigh, cap).withColumn("extra", extra_words(F.col("_key"), F.col("_size")))
+    whole = (F.col("epochs") + F.when((F.col("extra") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
     copies = F.when(F.col("_size") == 0, F.array(F.lit(False))).otherwise(
         F.concat(F.array_repeat(F.lit(False), whole),
-                 F.array_repeat(F.lit(True), F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), 1).otherwise(0))))
-    d = d.withColumn("_cut", F.explode(copies))
-    text = F.when(F.col("_cut"), first_words(F.col("text"), F.col("_extra"))).otherwise(F.col("text"))
-    out = []
-    for c in docs.columns:
-        if c == "text":
-            out.append(text.alias(c))
-        elif c == "n_chars":
-            out.append(F.when(F.col("_cut"), F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(c))
-    return d.select(*out)
+                 F.array_repeat(F.lit(True), F.when((F.col("extra") > 0) & (F.col("extra") < F.col("_size")), 1).otherwise(0))))
+    d = d.withColumn("cut", F.explode(copies))
+    text = F.when(F.col("cut"), first_words(F.col("row.text"), F.col("extra"))).otherwise(F.col("row.text"))
+    out = {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("cut"), F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[out.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -42,7 +42,7 @@ PATTERNS = {
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 CONTEXT = 80               # characters left of an occurrence that its context is taken from
 MIN_SUPPORT = 5            # distinct confident instances a reliable pattern precedes
-RELIABLE = 0.9             # least score of a reliable pattern or instance
+RELIABLE = 0.8             # least score of a reliable pattern or instance
 ROUNDS = 2
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint,hit:string,left:string>>"
 
@@ -199,7 +199,9 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows the text."""
     extra = materialize(discovered(materialize(located(docs), "pii-located")), "pii-extra").select(
         F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("extra").alias("_extra"))
-    df = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # the row travels as one struct, so its column names cannot clash with ours
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"),
+                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mark"))
     df = df.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
     name = lambda k: F.get(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k)
     spans = F.sort_array(F.transform("_extra", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -214,8 +216,8 @@ def mask(docs: DataFrame) -> DataFrame:
         df = df.withColumn("_text", F.when(F.col("_f").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(
             "_f_gaps", lambda g, i: F.concat(g, F.when(i < F.size("_f"), F.when(
                 _valid(kind, F.get(F.col("_f"), i)["hit"]), F.lit(f"<{kind.upper()}>")).otherwise(F.get(F.col("_f"), i)["hit"])).otherwise(""))), "")))
-    out = {"text": F.col("_text").alias("text")}
+    out = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_text")).cast(
-            docs.schema["n_chars"].dataType).alias("n_chars")
-    return df.select(*[out.get(c, F.col(c)) for c in docs.columns])
+        out["n_chars"] = F.when(F.col("_text") == F.col("text"), F.col("row.n_chars")).otherwise(F.length("_text")).cast(
+            docs.schema["n_chars"].dataType)
+    return df.select(*[out.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -272,9 +272,11 @@ def keep_first(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) ->
     repeated rows stay.
     """
     found = near_duplicates(docs, width, max_bits)
-    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").cast("string").alias("_k"))
-                       .distinct().withColumn("_first", F.lit(True)), "simhash-kept")
+    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").cast("string").alias("k"))
+                       .distinct().withColumn("first", F.lit(True)), "simhash-kept")
+    # the row travels as one struct, so its column names cannot clash with ours
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(*docs.columns).cast("string")))
-    rows = docs.select("*", key.alias("_k")).join(kept, "_k", "left").where("_first OR doc_id IS NULL")
-    # partitioned by _k already: the grouping adds no shuffle of the texts
-    return rows.groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    rows = docs.select(key.alias("k"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, "k", "left").where("first OR row.doc_id IS NULL")
+    # partitioned by k already: the grouping adds no shuffle of the texts
+    return rows.groupBy("k").agg(F.min("row").alias("row")).select("row.*")
