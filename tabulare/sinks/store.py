@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"          # fixed value: the folder of rows without a partition value
 # Characters that partition folder names carry percent-encoded.
 _ESCAPED = set('"#%\'*/:=?\\\x7f{[]^') | {chr(c) for c in range(1, 0x20)}
 
@@ -148,16 +149,19 @@ def write_states(df: DataFrame, path: str, states: Sequence[str] | None = None,
     stored = stored_values(spark, path, by)
     if states is not None:
         df = df.where(F.col(by).isin(list(states)))
-    if not overwrite and states is not None and set(states) <= stored:
-        return []
-    # which states there are: one value per state, a partial aggregate
-    here = {r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()}
-    todo = sorted(here if overwrite else here - stored)
-    if todo:
-        (df.where(F.col(by).isin(todo)).hint("rebalance", by).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(by).parquet(path))
     if overwrite:
-        for gone in (set(states or here) - here) & stored:
-            p, fs = _fs(spark, f"{path}/{partition_folder(by, gone)}")
-            fs.delete(p, True)
-    return todo
+        # one value per state: which states in scope have rows, so that the others can be cleared
+        here = {r[0] for r in df.select(by).distinct().collect()}
+    else:
+        if states is not None and set(states) <= stored:
+            return []
+        if stored:
+            df = df.where(~F.coalesce(F.col(by).cast("string"), F.lit(_NO_VALUE)).isin(sorted(stored)))
+    (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .option("compression", "snappy").partitionBy(by).parquet(path))
+    if not overwrite:
+        return sorted(stored_values(spark, path, by) - stored)
+    for gone in (set(states or ()) - here) & stored:
+        p, fs = _fs(spark, f"{path}/{partition_folder(by, gone)}")
+        fs.delete(p, True)
+    return sorted(here - {None})

@@ -1,6 +1,5 @@
 """Edge cases: empty and all-NULL inputs, zero totals, overflow."""
 
-from pyspark.sql import functions as F
 
 from tabulare.functions import text
 from tabulare.functions.codes import AGUA_CENSO, OUTRO, label
