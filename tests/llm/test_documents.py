@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulare.llm import bpe, fingerprints, mixing, pii, quality, simhash, suffix_dedup
 
-from .conftest import LONG, SF
+from .conftest import LONG
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
