@@ -19,9 +19,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def exact_weight(weight) -> Column:
+    """A weight as the decimal it is written as, with 13 places."""
+    return _c(weight).try_cast("decimal(38,13)")
+
+
 def exact_sum(weight) -> Column:
-    """Exact sum of weights (aggregate): a decimal with 13 places; text-like doubles convert as written."""
-    return F.sum(_c(weight).try_cast("decimal(38,13)"))
+    """Exact sum of weights (aggregate)."""
+    return F.sum(exact_weight(weight))
 
 
 def bigint_half_even(x) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even
+from tabulare.functions.numeric import bigint_half_even, exact_weight
 
 
 def _c(x) -> Column:
@@ -93,7 +93,7 @@ def grain_totals(persons: DataFrame, key, weight) -> DataFrame:
     A household counts once with its persons' (constant) weight; ``any_value``
     and the person sum are partial aggregates of the same grouping.
     """
-    w = _c(weight).try_cast("decimal(38,13)")
+    w = exact_weight(weight)
     per_home = persons.groupBy(_c(key).alias("_k")).agg(F.any_value(w, True).alias("_home"), F.sum(w).alias("_people"))
     return per_home.agg(bigint_half_even(F.sum("_home")).alias("domicilios_estimados"),
                         bigint_half_even(F.sum("_people")).alias("pessoas_estimadas"))

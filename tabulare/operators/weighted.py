@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even, exact_sum, pct
+from tabulare.functions.numeric import bigint_half_even, exact_sum, exact_weight, pct
 
 
 def _c(x) -> Column:
@@ -72,12 +72,12 @@ def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
     an ordinary partial aggregate, so a high-cardinality or skewed attribute
     never has to sit in one task. Ties go to the smaller value text.
     """
-    w = _c(weight).alias("_weight")
+    w = exact_weight(weight).alias("_weight")      # converted once per row, not once per attribute
     long = df.select(w, *[_c(a).cast("string").alias(a) for a in attributes]).unpivot(
         "_weight", list(attributes), attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(exact_sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
     best = per_value.groupBy(attr_alias).agg(
         F.min(F.struct((-F.col("_w")).alias("neg"), F.col(value_alias).alias("v"))).alias("_best"),
         F.sum("_w").alias("_t"),
@@ -102,12 +102,12 @@ def weighted_distributions(df: DataFrame, attributes: Sequence[str], weight,
     the attribute list), and keep the ``top`` largest values per attribute
     with ``row_number() <= top`` (limited on the map side before the shuffle).
     """
-    w = _c(weight).alias("_weight")
+    w = exact_weight(weight).alias("_weight")      # converted once per row, not once per attribute
     long = df.select(w, *[_c(a).cast("string").alias(a) for a in attributes]).unpivot(
         "_weight", list(attributes), attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(exact_sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
     totals = per_value.groupBy(attr_alias).agg(F.sum("_w").alias("_t"))
     # one row per listed attribute: bounded by construction, no count needed
     out = per_value.join(F.broadcast(totals), attr_alias).select(
