@@ -183,6 +183,23 @@ def test_repeats_in_texts_over_one_buffer(spark, monkeypatch):
     assert [got[i] for i in range(3)] == _repeats(texts)
 
 
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    """Two texts of one id (or none) whose hashes agree in 16 bits are two documents."""
+    line = "".join(np.random.default_rng(7).choice(list("abcdefgh"), 150))
+    low, pair = {}, None
+    for i in range(10_000):
+        text = f"{i:05d} " + "".join(np.random.default_rng(i).choice(list("mnopqrst"), 40)) + line
+        other = low.setdefault(xxhash.xxh64_intdigest(text.encode()) & 0xFFFF, text)
+        if other != text:
+            pair = [other, text]
+            break
+    for doc_id in (None, 5):
+        for parts in (1, 2):                                   # in one batch, and met in the joins
+            df = spark.createDataFrame([(doc_id, t) for t in pair], "doc_id long, text string").repartition(parts)
+            got = sorted(r.n_removed for r in suffix_dedup.remove_repeats(df).collect())
+            assert got == [0, 150], (doc_id, parts, got)
+
+
 def test_repeats_odd_input(odd, empty):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and suffix_dedup.remove_repeats(empty).count() == 0
