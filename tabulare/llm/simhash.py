@@ -23,8 +23,11 @@ follow by distributed label propagation over those edges. A bucket holds only
 distinct fingerprints that agree in over half of their bits; its walk is
 done in blocks of bounded size.
 
-Repeated rows and rows without id keep their own output row; a NULL id is
-never the smallest id of a component that has another.
+Repeated rows and rows without id keep their own output row in
+``near_duplicates``; a NULL id is never the smallest id of a component that
+has another. ``keep_first`` keeps one row of each component, chosen by
+component and not by id: rows without id and different texts with one id are
+documents like any other.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulare.llm.common import materialize
@@ -251,32 +254,46 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(groups: DataFrame, max_bits: int) -> DataFrame:
+    """``groups`` (distinct ``fp, least``) with the ``root`` of each fingerprint's component."""
+    comps = materialize(components(links(groups.select("fp"), max_bits)), "simhash-components")
+    return groups.join(comps.withColumnRenamed("v", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
     """Per document ``doc_id, fingerprint, component_id``."""
     keyed = materialize(with_fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "simhash-fp")
     groups = materialize(keyed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    comps = materialize(components(links(groups.select("fp"), max_bits)), "simhash-components")
-    rooted = groups.join(comps.withColumnRenamed("v", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = _rooted(groups, max_bits)
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     class_of = materialize(materialize(rooted, "simhash-rooted").join(least, "root").select("fp", "component_id"), "simhash-classes")
     return keyed.join(class_of, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _identity(doc_id: Column, text: Column) -> Column:
+    """What names a document, NULL ids last: its id and 128 bits of its text (which give its fingerprint)."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
 def keep_first(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document with the smallest id stays.
+    """``docs`` without near-duplicates: one row of each component stays, whatever its id.
 
-    Of several rows with that id the smallest stays (columns compared in
-    order). Rows without id cannot be told apart by the result; all but
-    repeated rows stay.
+    It is the document with the smallest id, one without id only if none has
+    any; of different texts with that id the one with the smallest hash; of
+    several rows with that id and text the smallest (columns compared in order).
     """
-    found = near_duplicates(docs, width, max_bits)
-    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").cast("string").alias("k"))
-                       .distinct().withColumn("first", F.lit(True)), "simhash-kept")
+    keyed = materialize(with_fingerprints(docs.select("doc_id", "text"), width).select(
+        "fp", _identity(F.col("doc_id"), F.col("text")).alias("who")), "simhash-fp")
+    groups = materialize(keyed.groupBy("fp").agg(F.min("who").alias("least")), "simhash-groups")
+    kept = _rooted(groups, max_bits).groupBy("root").agg(F.min("least").alias("who"))
+    flat = lambda who: [F.coalesce(who["id"].cast("string"), F.lit("")).alias("k"), who["none"].alias("none"),
+                        who["h1"].alias("h1"), who["h2"].alias("h2")]
+    kept = materialize(kept.select(*flat(F.col("who"))), "simhash-kept")
     # the row travels as one struct, so its column names cannot clash with ours
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(*docs.columns).cast("string")))
-    rows = docs.select(key.alias("k"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(kept, "k", "left").where("first OR row.doc_id IS NULL")
-    # partitioned by k already: the grouping adds no shuffle of the texts
-    return rows.groupBy("k").agg(F.min("row").alias("row")).select("row.*")
+    rows = docs.select(_identity(F.col("doc_id"), F.col("text")).alias("who"), F.struct(*docs.columns).alias("row"))
+    keys = ["k", "none", "h1", "h2"]
+    rows = rows.select(*flat(F.col("who")), "row").join(kept, keys, "left_semi")
+    # partitioned by the keys already: the grouping adds no shuffle of the texts
+    return rows.groupBy(*keys).agg(F.min("row").alias("row")).select("row.*")

@@ -288,6 +288,17 @@ def test_components_of_chains(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    word = lambda seed: " ".join("".join(np.random.default_rng([seed, i]).choice(list("abcdefgh"), 5)) for i in range(40))
+    a, b, c, d = (word(i) for i in range(4))
+    data = [(7, a), (7, b), (7, b), (8, b), (None, a), (None, c), (None, c), (None, c.upper()), (None, d), (9, d), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(data)], "doc_id long, text string, n long").repartition(4)
+    got = simhash.keep_first(df).collect()
+    assert len(_classes([_fingerprint(t) for t in (a, b, c, d, "")])) == 5
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == sorted([(7, a), (7, b), (0, c), (9, d), (5, "")])
+    assert next(r.n for r in got if r.text == b) == 1
+
+
 def test_simhash_odd_input(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and simhash.near_duplicates(empty).count() == 0
