@@ -2,21 +2,27 @@
 
 Every document gets a hash-random key; within each source the documents are
 range-sorted by that key, a distributed prefix sum of word counts runs along
-the order, and the source's exact word budget is the cut. A source whose
-budget exceeds its size is repeated: whole epochs first, the cut then falls
-in the last, partial epoch.
-
-Scale: text never moves. The prefix sum is two-level: range buckets of the
-uniform key (sized like the square root of the input, so neither the rows of
-one bucket nor the buckets of one source pile up in a task), sums per
-bucket, then a running sum inside each bucket. A hot source is spread over
-its many buckets. Only the table of sources (one row each) meets in a single
+the order, and the source's exact word budget is the cut. Rows of one key
+(one id, or none) follow in order of a hash of the row (``tie``), equal rows
+in order of a number of their own (``lot``), so the order is one of rows and
+the cut falls into one row of a source. A source whose budget exceeds its
+size is repeated: whole epochs first, the cut then falls in the last, partial
+epoch.
+
+Scale: text never moves. The cut is found level by level: the key it falls
+in, the tie among the rows of that key, the lot among equal rows; the later
+levels see only the rows of that one key. Each level is a two-level prefix
+sum: range buckets of the uniform value (sized like the square root of the
+input, so neither the rows of one bucket nor the buckets of one source pile
+up in a task), sums per bucket, then a running sum inside each bucket. A hot
+source, or a hot key or row in it, is spread over its many buckets. Only the table of sources (one row each) meets in a single
 window, as the water level is a property of all sources together.
 
 Defined results for odd input: NULL text has size 0; the NULL source is a
 source of its own, sorted last; a source without words has target and taken
-0; rows with the same id (or NULL ids) share one key and split the cut's words
-in proportion to their sizes, rounded down; an empty table gives no rows.
+0; rows with the same id (or NULL ids) are documents of their own, and so are
+equal rows, of which any may be the one that is cut; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from tabulare.llm.common import materialize, md5_key, word_count
 
 WEIGHTS = (5, 2, 1)      # by rank of the source, repeating
 CAP = 3                  # a target stops at this many times the source's size
-KEY_BITS = 60
 MIN_BUCKET = 500         # units a range bucket holds at least, on average
+LEVELS = {"key": (0.0, 2.0 ** 60), "tie": (-2.0 ** 63, 2.0 ** 64), "lot": (-2.0 ** 63, 2.0 ** 64)}   # least value, range
 
 
 def cyclic_weights(sources: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
@@ -62,31 +68,26 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
              .drop("ratio", "capped", "gone", "total", "weights", "level", "lam"))
 
 
-def source_cuts(sized: DataFrame, weigh=cyclic_weights, cap: int = CAP) -> DataFrame:
-    """One row per source: ``source_size, target, epochs`` and where the partial epoch is cut.
+def _place(docs: DataFrame, seed: str) -> list[Column]:
+    """``key, tie, lot``: a row's place in its source's order. ``lot`` is another one each time it is computed."""
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    return [md5_key(docs["doc_id"], seed).alias("key"), F.xxhash64(F.lit(seed), *hashed).alias("tie"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("lot")]          # one-to-one on longs
+
+
+def _reached(rows: DataFrame, budgets: DataFrame, level: str) -> DataFrame:
+    """Per source the value of ``level`` in which its ``rest`` runs out: ``source, cut_<level>, size, rest, rows`` of it.
 
-    ``sized`` has ``source, key, size``. ``cut_key`` is the key at which the
-    budget of the partial epoch runs out, ``cut_words`` what is still taken
-    there out of ``cut_size`` (both NULL if the epochs are whole).
+    ``rows`` has ``source, size`` and the level, ``budgets`` ``source, rest, rows``; no row if nothing is left over.
     """
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    per_source = materialize(per_source, "mix-sources")
-    weights = weigh(per_source.select("source"))
-    s = per_source.join(weights, per_source["source"].eqNullSafe(weights["source"])).drop(weights["source"])
-    s = targets(s, cap)
-    budget = F.floor("target")
-    s = (s.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)))
-          .withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
+    least, width = LEVELS[level]
     # square-root decomposition: buckets of about sqrt(rows) units each
-    total = F.sum("rows").over(W.partitionBy(F.lit(1)))
-    per_bucket = F.greatest(F.lit(float(MIN_BUCKET)), F.sqrt(total))
-    s = materialize(s.withColumn("buckets", F.ceil(F.col("rows") / per_bucket)), "mix-targets")
-
-    lean = s.select(F.col("source").alias("s"), "rest", "buckets")
-    units = (sized.groupBy("source", "key").agg(F.sum("size").alias("size"))
-                  .join(lean, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-                  .withColumn("bucket", F.floor(F.col("key") / F.lit(float(2 ** KEY_BITS)) * F.col("buckets")))
-                  .select("source", "bucket", "key", "size", "rest"))
+    per_bucket = F.greatest(F.lit(float(MIN_BUCKET)), F.sqrt(F.sum("rows").over(W.partitionBy(F.lit(1)))))
+    lean = budgets.select(F.col("source").alias("s"), "rest", F.ceil(F.col("rows") / per_bucket).alias("buckets"))
+    units = (rows.groupBy("source", level).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+                 .join(lean, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+                 .withColumn("bucket", F.floor((F.col(level) - F.lit(least)) / F.lit(width) * F.col("buckets")))
+                 .select("source", "bucket", level, "size", "rows", "rest"))
     units = materialize(units, "mix-units")
     sums = units.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("budget"))
     offsets = sums.withColumn("until", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
@@ -94,35 +95,71 @@ def source_cuts(sized: DataFrame, weigh=cyclic_weights, cap: int = CAP) -> DataF
     cut_in = (offsets.where((F.col("until") - F.col("words") < F.col("budget")) & (F.col("until") >= F.col("budget")))
                      .select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("until") - F.col("words")).alias("offset")))
     inside = (units.join(cut_in, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-                   .withColumn("until", F.col("offset") + F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key"))))
-    cuts = (inside.where((F.col("until") - F.col("size") < F.col("rest")) & (F.col("until") >= F.col("rest")))
-                  .select(F.col("source").alias("s"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"),
-                          (F.col("rest") - F.col("until") + F.col("size")).alias("cut_words")))
-    return s.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "cut_key", "cut_words", "cut_size")
+                   .withColumn("until", F.col("offset") + F.sum("size").over(W.partitionBy("source", "bucket").orderBy(level))))
+    found = (inside.where((F.col("until") - F.col("size") < F.col("rest")) & (F.col("until") >= F.col("rest")))
+                   .select("source", F.col(level).alias(f"cut_{level}"),
+                           (F.col("rest") - F.col("until") + F.col("size")).alias("rest"), "rows"))
+    return materialize(found, f"mix-{level}")
+
 
+def source_cuts(sized: DataFrame, weigh=cyclic_weights, cap: int = CAP) -> DataFrame:
+    """One row per source: ``source_size, target, epochs`` and where the partial epoch is cut.
 
-def extra_words(key: Column, size: Column) -> Column:
-    """Words that the partial epoch takes of a document."""
-    return (F.when(F.col("cut_key").isNull() | (key > F.col("cut_key")), F.lit(0))
-             .when(key < F.col("cut_key"), size)
-             .otherwise(F.floor(F.col("cut_words") * size / F.col("cut_size")))).cast("long")
+    ``sized`` has ``source, key, tie, lot, size``. ``cut_key, cut_tie,
+    cut_lot`` is the place of the row in which the budget of the partial epoch
+    runs out, ``cut_words`` what is still taken of it (all NULL if the epochs
+    are whole).
+    """
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    per_source = materialize(per_source, "mix-sources")
+    weights = weigh(per_source.select("source"))
+    s = per_source.join(weights, per_source["source"].eqNullSafe(weights["source"])).drop(weights["source"])
+    s = targets(s, cap)
+    budget = F.floor("target")
+    s = (s.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)))
+          .withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
+    s = materialize(s, "mix-targets")
+    rows, budgets, cuts = sized, s, s.drop("rest", "rows")
+    for level in LEVELS:
+        budgets = _reached(rows, budgets, level)
+        here = budgets.withColumnRenamed("source", "s")
+        rows = rows.join(here.select("s", f"cut_{level}"), F.col("source").eqNullSafe(F.col("s")) & (F.col(level) == F.col(f"cut_{level}"))
+                         ).drop("s", f"cut_{level}")
+        cuts = cuts.join(here.drop("rows").withColumnRenamed("rest", "cut_words"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        if level != "lot":
+            cuts = cuts.drop("cut_words")
+    return cuts.select("source", "source_size", "target", F.col("epochs").cast("long").alias("epochs"),
+                       *[f"cut_{level}" for level in LEVELS], "cut_words")
+
+
+def extra_words(size: Column) -> Column:
+    """Words that the partial epoch takes of a document at ``_key, _tie, _lot``."""
+    here, cut = (F.struct(*[F.col(f"{x}_{level}").alias(level) for level in LEVELS]) for x in ("", "cut"))
+    return (F.when(F.col("cut_key").isNull() | (here > cut), F.lit(0)).when(here < cut, size)
+             .otherwise(F.col("cut_words"))).cast("long")
 
 
 def _decide(keyed: DataFrame, sized: DataFrame, weigh, cap: int) -> DataFrame:
-    """``keyed`` (``_source, _key, _size`` and anything else) with its source's cut."""
+    """``keyed`` (``_source, _key, _tie, _lot, _size`` and anything else) with its source's cut."""
     cuts = materialize(source_cuts(sized, weigh, cap), "mix-cuts").withColumnRenamed("source", "_cut_source")
     return keyed.join(cuts, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source")
 
 
+def _sized(docs: DataFrame, seed: str, label: str, *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """``columns`` with what the mix needs as ``_source, _key, _tie, _lot, _size``, written once so that a row keeps
+    its lot; and that alone as ``source, key, tie, lot, size``."""
+    place = [F.col("source"), *_place(docs, seed), word_count(docs["text"]).alias("size")]
+    names = ("source", *LEVELS, "size")
+    keyed = materialize(docs.select(*columns, *[c.alias(f"_{n}") for c, n in zip(place, names)]), label)
+    return keyed, keyed.select(*[F.col(f"_{n}").alias(n) for n in names])
+
+
 def mix(docs: DataFrame, weigh=cyclic_weights, cap: int = CAP, seed: str = "") -> DataFrame:
     """Per document ``doc_id, size, source_size, target, taken``; ``weigh`` maps the sources to ``(source, weight)``."""
-    sized = materialize(docs.select("doc_id", "source", md5_key(docs["doc_id"], seed).alias("key"),
-                                    word_count(docs["text"]).alias("size")), "mix-sized")
-    keyed = sized.select("doc_id", F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("size").alias("_size"))
+    keyed, sized = _sized(docs, seed, "mix-sized", F.col("doc_id"))
     d = _decide(keyed, sized, weigh, cap)
     return d.select("doc_id", F.col("_size").alias("size"), "source_size", "target",
-                    (F.col("epochs") * F.col("_size") + extra_words(F.col("_key"), F.col("_size"))).alias("taken"))
+                    (F.col("epochs") * F.col("_size") + extra_words(F.col("_size"))).alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -139,13 +176,10 @@ def mix_documents(docs: DataFrame, weigh=cyclic_weights, cap: int = CAP, seed: s
     comes, in the partial epoch, as its first ``cut_words`` words. The mix is
     measured in words, so documents without words are in no budget and stay once.
     """
-    # one job writes the narrow table; the text is read again, not shuffled. The row travels
-    # as one struct, so its column names cannot clash with ours
-    sized = materialize(docs.select("source", md5_key(docs["doc_id"], seed).alias("key"),
-                                    word_count(docs["text"]).alias("size")), "mix-sized")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("_source"),
-                        md5_key(docs["doc_id"], seed).alias("_key"), word_count(docs["text"]).alias("_size"))
-    d = _decide(keyed, sized, weigh, cap).withColumn("extra", extra_words(F.col("_key"), F.col("_size")))
+    # one job writes the rows with their places; the text is read again, not shuffled. The row
+    # travels as one struct, so its column names cannot clash with ours
+    keyed, sized = _sized(docs, seed, "mix-rows", F.struct(*docs.columns).alias("row"))
+    d = _decide(keyed, sized, weigh, cap).withColumn("extra", extra_words(F.col("_size")))
     whole = (F.col("epochs") + F.when((F.col("extra") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
     copies = F.when(F.col("_size") == 0, F.array(F.lit(False))).otherwise(
         F.concat(F.array_repeat(F.lit(False), whole),

@@ -70,6 +70,19 @@ def test_mix_small_sources_stop_at_three_times(spark):
     _check_mix([(d[0], d[1], d[2]) for d in data], [(got[d[0]], d[2]) for d in data])
 
 
+def test_mix_cuts_one_row_of_a_source(spark):
+    """A third of a source's rows under NULL, one id, or wholly equal: the budget to the word, one row cut."""
+    for doc_id, equal in ((None, False), (1, False), (1, True)):
+        data = [(doc_id, "w w w w equal" if equal else f"w w w w {i}", "b", 0) for i in range(400)] + [(-1, "w " * 700, "a", 0)]
+        df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").repartition(5)
+        got = mixing.mix(df).collect()
+        taken = [r.taken for r in got if r.doc_id != -1]
+        target = int(next(r.target for r in got if r.doc_id != -1))
+        assert 0 < target % 5 and sum(taken) == target and sum(0 < x % 5 for x in taken) == 1
+        words = [len(WORDS.findall(r.text)) for r in mixing.mix_documents(df).collect() if r.source == "b"]
+        assert sum(words) == target and sum(n != 5 for n in words) == 1
+
+
 def test_mix_odd_input(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count()
