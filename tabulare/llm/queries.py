@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.llm import ann, bpe, fingerprints, html_extract, mixing, pii, quality, simhash, suffix_dedup, url_filter
+from tabulare.llm import (ann, bpe, filter_audit, fingerprints, html_extract, line_dedup, mixing, pii, quality, simhash, suffix_dedup,
+                          url_filter, whitening)
 from tabulare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), spans=False, kept=False, digest=True)
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_filter_audit", filter_audit.ORACLE_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op13_line_dedup", line_dedup.ORACLE_SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), text=False, digest=True)
