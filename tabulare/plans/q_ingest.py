@@ -27,7 +27,7 @@ from tabulare.sources.catalog import split_stem
 from tabulare.sources.layout import Layout, packaged_layout, read_layout_csv
 
 # Bump when the way a derived input is built changes, so cached copies are not reused.
-DERIVED_VERSION = "5"
+DERIVED_VERSION = "6"
 
 # ---------------------------------------------------------------- S1, P2, P4, P3
 LINEITEM = packaged_layout("lineitem_census", "census")
@@ -161,9 +161,9 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write_archives(out_dir: str, cut: tuple = ()):
-    """Task-side writer of the archive test inputs: one ZIP per (status, task);
-    those of a status in ``cut`` stop halfway, like an interrupted download.
+def _write_archives(out_dir: str, cut: tuple = (), lines: int | None = None):
+    """Task-side writer of the archive test inputs: one ZIP per (status, task),
+    one member per batch or ``lines`` lines; those of a status in ``cut`` stop halfway, like an interrupted download.
     Archives are written under a name of the attempt and renamed when they are
     complete, so retried and speculative tasks do not race each other."""
 
@@ -178,8 +178,10 @@ def _write_archives(out_dir: str, cut: tuple = ()):
                 if status not in zips:
                     buffers[status] = io.BytesIO()
                     zips[status] = zipfile.ZipFile(buffers[status], "w", zipfile.ZIP_DEFLATED)
-                body = ("\r\n".join(g["value"]) + "\r\n").encode("latin-1")
-                zips[status].writestr(f"{status}_{pid:05d}_{n:04d}.txt", body)
+                values = g["value"].tolist()
+                for k, at in enumerate(range(0, len(values), lines or len(values))):
+                    body = ("\r\n".join(values[at:at + (lines or len(values))]) + "\r\n").encode("latin-1")
+                    zips[status].writestr(f"{status}_{pid:05d}_{n:04d}_{k:04d}.txt", body)
         out = []
         for status, zf in zips.items():
             zf.close()
@@ -195,23 +197,41 @@ def _write_archives(out_dir: str, cut: tuple = ()):
     return fn
 
 
-def _archives(spark, d, cut: tuple = ()) -> str:
+def _archives(spark, d, cut: tuple = (), lines: int | None = None) -> str:
     """Folder of ZIP archives of every order's line, by status."""
     def build(out_dir):
         filesystem, root = _filesystem(out_dir)
         filesystem.create_dir(root, recursive=True)
         (table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), _encoded_value())
-         .mapInPandas(_write_archives(out_dir, cut), "status string, arquivo string")
+         .mapInPandas(_write_archives(out_dir, cut, lines), "status string, arquivo string")
          .write.format("noop").mode("overwrite").save())
         with filesystem.open_output_stream(f"{root}/_SUCCESS"):
             pass
-    return derived_input(spark, "zips" + "".join(cut), [table_path(d, "orders")], build, version=DERIVED_VERSION)
+    return derived_input(spark, "zips" + "".join(cut) + (f"-{lines}" if lines else ""), [table_path(d, "orders")], build,
+                         version=DERIVED_VERSION)
 
 
 register("zip_ingest", _ORDERS_ORACLE)(
     lambda spark, d: parse_fwf(archive.archive_lines(spark, _archives(spark, d) + "/*.zip"), ORDERS,
                                encoding=None))
 
+# several members to an archive, a task each
+register("zip_members",
+         "SELECT o_orderstatus AS status, o_orderkey AS chave, COUNT(*) OVER (PARTITION BY o_orderstatus) AS n_linhas, "
+         "o_totalprice AS peso FROM orders")(
+    lambda spark, d: _zip_members(spark, d))
+
+
+def _zip_members(spark, d):
+    """Every line of every member, with what its archives hold in all."""
+    lines = archive.archive_lines(spark, _archives(spark, d, lines=500) + "/*.zip")
+    parsed = parse_fwf(lines.withColumn("status", F.regexp_extract("membro", "^([A-Z])_", 1)), ORDERS, encoding=None, mapped=False,
+                       fields=["CTRL", "V1032"], keep=["status"])
+    counts = parsed.groupBy(F.col("status").alias("s")).agg(F.count(F.lit(1)).alias("n_linhas"))
+    return parsed.join(counts, parsed["status"] == counts["s"]).select(
+        "status", F.col("CTRL").cast("bigint").alias("chave"), "n_linhas", F.col("V1032").alias("peso"))
+
+
 register("zip_validity",
          "SELECT DISTINCT o_orderstatus AS status, o_orderstatus <> 'P' AS valido FROM orders")(
     lambda spark, d: archive.archive_validity(spark, _archives(spark, d, ("P",)) + "/*.zip")

@@ -7,12 +7,14 @@ skip ``_``/``.``-prefixed paths, so a half-written output is never read.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SWAP = "_swap-"                                 # records of source replacements under way
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"          # fixed value: the folder of rows without a partition value
 # Characters that partition folder names carry percent-encoded.
 _ESCAPED = set('"#%\'*/:=?\\\x7f{[]^') | {chr(c) for c in range(1, 0x20)}
@@ -102,23 +104,70 @@ def replace_source(df: DataFrame, root: str, value: str, column: str = "fonte")
     """Replace every row of one source, also by an empty load.
 
     The new rows are written beside the old (in a folder readers skip) and
-    swapped in by renames once they are complete, so a failed load leaves the
-    old rows, and ``df`` may itself read from ``root``.
+    swapped in by two renames once they are complete, so a failed load leaves
+    the old rows, and ``df`` may itself read from ``root``. What the swap
+    intends is recorded before the first rename: a call that dies between the
+    two is finished by the next ``replace_source`` or ``recover`` on ``root``.
+    One source has one writer at a time.
     """
     spark = df.sparkSession
+    recover(spark, root)
     out = df.drop(column) if column in df.columns else df
-    staged, old = (f"{root}/_{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
-    out.write.option("compression", "snappy").parquet(staged)
-    target, fs = _fs(spark, f"{root}/{partition_folder(column, value)}")
-    had = fs.exists(target)
-    if had and not fs.rename(target, _fs(spark, old)[0]):
-        raise OSError(f"cannot move {target}")
-    if not fs.rename(_fs(spark, staged)[0], target):
-        if had:
-            fs.rename(_fs(spark, old)[0], target)
-        raise OSError(f"cannot publish {target}")
-    if had:
-        fs.delete(_fs(spark, old)[0], True)
+    own = uuid.uuid4().hex
+    out.write.option("compression", "snappy").parquet(f"{root}/_staged-{own}")
+    record = f"{root}/{_SWAP}{own}"
+    _write_text(spark, record, json.dumps({"target": partition_folder(column, value), "staged": f"_staged-{own}", "old": f"_old-{own}"}))
+    _finish_swap(spark, root, record)
+
+
+def recover(spark: SparkSession, root: str) -> list[str]:
+    """Finish the source replacements that were interrupted under ``root``; the folders they replace.
+
+    A recorded replacement is complete but for its renames, so it is always
+    finished, never undone. Call it before reading a store whose writer may have died.
+    """
+    p, fs = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    records = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith(_SWAP))
+    return [_finish_swap(spark, root, f"{root}/{r}") for r in records]
+
+
+def _finish_swap(spark: SparkSession, root: str, record: str) -> str:
+    """Bring a recorded swap to its end from any state it may have stopped in."""
+    swap = json.loads(_read_text(spark, record))
+    target, staged, old = (_fs(spark, f"{root}/{swap[k]}")[0] for k in ("target", "staged", "old"))
+    fs = _fs(spark, root)[1]
+    if fs.exists(staged):                       # not published yet
+        if fs.exists(target):
+            if fs.exists(old):
+                raise OSError(f"two writers of {target}")
+            if not fs.rename(target, old):
+                raise OSError(f"cannot move {target}")
+        if not fs.rename(staged, target):
+            raise OSError(f"cannot publish {target}")
+    fs.delete(old, True)
+    fs.delete(_fs(spark, record)[0], False)
+    return swap["target"]
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    part, fs = _fs(spark, f"{path.rsplit('/', 1)[0]}/_part-{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, _fs(spark, path)[0]):
+        raise OSError(f"cannot write {path}")
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def stored_values(spark: SparkSession, root: str, column: str = "uf") -> set[str]:

@@ -20,7 +20,8 @@ from tabulare.operators.filters import filter_in, filter_states, with_known_stat
 from tabulare.operators.harmonize import census_to_morador, harmonize, lookup_state, pnadc_to_morador, uf_dimension
 from tabulare.params import HousingParams, ListingParams
 from tabulare.schemas import IMOVEL, MORADOR
-from tabulare.sinks.store import replace_source, write_partitioned, write_states
+from tabulare.sinks.store import recover, replace_source, write_partitioned, write_states
+from tabulare.session import delete_path
 from tabulare.sources.fwf import LATIN1, parse_fwf
 from tabulare.sources.layout import Layout
 from tabulare.sources.listings import listings_to_imovel, parse_listings, read_listing_pages
@@ -72,8 +73,8 @@ def ingest_census_archives(spark: SparkSession, archives: str | Sequence[str],
     Only the archives of the states in scope are opened (by file name). Every
     ``.txt`` member is unpacked once into ``staging`` (Parquet partitioned by
     state and file type, on shared storage: it also cuts the lineage, so a
-    lost executor never re-reads archives); then each file type is parsed from
-    its own partition with its layout. Members whose name has no known prefix
+    lost executor never re-reads archives; deleted when the call ends); then each
+    file type is parsed from its own partition with its layout. Members whose name has no known prefix
     are ignored; archive parts of one state are appended. ``broken`` as in
     ``archive_lines``; rejects are not stored here, list them with it.
     """
@@ -92,28 +93,32 @@ def ingest_census_archives(spark: SparkSession, archives: str | Sequence[str],
               .where(F.col("file_type").isNotNull()))
     staged = filter_states(staged, ufs)
     own = f"{staging.rstrip('/')}/{uuid.uuid4().hex}"             # this call's own unpacked lines
-    write_partitioned(staged, own, by=("file_type", "uf"))
     out: dict[str, str] = {}
-    stored = spark.read.schema("value string, file_type string, uf string").parquet(own)
-    for t, layout in layouts.items():
-        part = stored.where(F.col("file_type") == t)              # partition pruning
-        parsed = parse_fwf(part, layout, encoding=None, keep=["uf"])
-        path = f"{out_root.rstrip('/')}/{t}"
-        write_states(parsed, path, ufs, overwrite=overwrite)
-        out[t] = path
+    try:
+        write_partitioned(staged, own, by=("file_type", "uf"))
+        stored = spark.read.schema("value string, file_type string, uf string").parquet(own)
+        for t, layout in layouts.items():
+            part = stored.where(F.col("file_type") == t)          # partition pruning
+            parsed = parse_fwf(part, layout, encoding=None, keep=["uf"])
+            path = f"{out_root.rstrip('/')}/{t}"
+            write_states(parsed, path, ufs, overwrite=overwrite)
+            out[t] = path
+    finally:
+        delete_path(spark, own)
     return out
 
 
 def pnadc_archive_lines(spark: SparkSession, archives: str | Sequence[str]) -> DataFrame:
-    """The PNADC's text straight from its archive(s); an archive without a text member is an error."""
-    from tabulare.sources.archive import archive_lines, archive_validity
+    """The PNADC's text straight from its archive(s); an archive without a text member is an error.
+
+    That is seen in the archives' directories; the text itself is read once.
+    """
+    from tabulare.sources.archive import archive_lines, archives_without_text
 
-    lines = archive_lines(spark, archives)
-    with_text = lines.select("arquivo").distinct()
-    empty = archive_validity(spark, archives).select("arquivo").join(with_text, "arquivo", "left_anti").first()
-    if empty is not None:
-        raise ValueError(f"no text member in {empty.arquivo}")
-    return lines.select("value")
+    empty = archives_without_text(spark, archives)
+    if empty:
+        raise ValueError(f"no text member in {empty[0]}")
+    return archive_lines(spark, archives).select("value")
 
 
 def ingest_pnadc(spark: SparkSession, paths: str | Sequence[str], layout: Layout, out_root: str,
@@ -172,6 +177,7 @@ def load_morador(root: str, *, persons: DataFrame | None = None, households: Dat
     for source, rows in loads.items():
         replace_source(harmonize(rows, full_schema=True), root, source)
     spark = next(iter(loads.values())).sparkSession
+    recover(spark, root)                    # a source that an earlier, interrupted call left half swapped
     stored = spark.read.schema(MORADOR).parquet(root)
     return stored.groupBy("fonte").agg(F.count(F.lit(1)).alias("n_linhas"))
 

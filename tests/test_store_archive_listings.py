@@ -205,3 +205,125 @@ def test_rows_per_state_prefers_household_file(spark):
                                  ("SP", "pessoas", 99)], "uf string, file_type string, n_linhas long")
     got = [tuple(r) for r in rows_per_state(cat).collect()]
     assert got == [("AC", "domicilios", 10), ("RO", "moradores", 7)]   # SP has neither type
+
+
+# ---------------------------------------------------------------- members of archives
+def _archive_of(path, members, method=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", method) as zf:
+        for name, text in members.items():
+            zf.writestr(name, text)
+
+
+def test_one_archive_is_read_by_many_tasks_and_only_in_ranges(spark, tmpdir_path, monkeypatch):
+    members = {f"Amostra_{i}.txt": "\r\n".join(f"linha {i} {k}" for k in range(200)) for i in range(6)}
+    _archive_of(tmpdir_path + "/A.zip", {**members, "figura.bin": os.urandom(300_000)})
+    df = archive.archive_lines(spark, tmpdir_path + "/A.zip")
+    assert df.rdd.getNumPartitions() == 6                        # the member that is no text is no task
+    got = {(r.membro, r.linha): r.value for r in df.collect()}
+    assert got == {(n, k): v for n, t in members.items() for k, v in enumerate(t.split("\r\n"))}
+    assert "binaryFile" not in df._jdf.queryExecution().executedPlan().toString()
+
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, *a):
+            data = self.f.read(*a)
+            read.append(len(data))
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    opened = archive.open_file
+    member = next(m for m in archive.directory(tmpdir_path + "/A.zip") if m.name == "Amostra_3.txt")
+    monkeypatch.setattr(archive, "open_file", lambda p: Counted(opened(p)))
+    assert sum(b.num_rows for b in archive._member_lines(member)) == 200 and sum(read) < 20_000
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_every_packing_method_of_the_standard_library(spark, tmpdir_path, method):
+    _archive_of(tmpdir_path + "/A.zip", {"a.txt": "um\r\ndois", "b.TXT": "três\n".encode("latin-1")}, method)
+    assert sorted(r.value for r in archive.archive_lines(spark, tmpdir_path + "/*.zip").collect()) == ["dois", "três", "um"]
+
+
+def test_encrypted_and_broken_members_are_rejected_alone(spark, tmpdir_path):
+    path = tmpdir_path + "/A.zip"
+    _archive_of(path, {"a.txt": "um", "b.txt": "x" * 500, "c.txt": "dois"}, zipfile.ZIP_STORED)
+    data = bytearray(open(path, "rb").read())
+    data[bytes(data).index(b"xxxx")] ^= 1                        # b.txt: bad checksum
+    at = bytes(data).index(b"PK\x01\x02")
+    data[at + 8] |= 1                                            # a.txt: marked as encrypted in the directory
+    with open(path, "wb") as fh:
+        fh.write(bytes(data))
+    rows = archive.archive_lines(spark, path, broken="reject").collect()
+    assert {(r.membro, r.value, (r.erro or "").split(":")[0]) for r in rows} == {
+        ("a.txt", None, "encrypted"), ("b.txt", None, "bad checksum"), ("c.txt", "dois", "")}
+    assert [(r.valido, r.n_membros) for r in archive.archive_validity(spark, path).collect()] == [(False, 3)]
+    with pytest.raises(Exception, match="broken archive"):
+        archive.archive_lines(spark, path).collect()
+
+
+def test_archives_without_members_and_missing_paths(spark, tmpdir_path):
+    _archive_of(tmpdir_path + "/A.zip", {})
+    assert [(r.valido, r.n_membros) for r in archive.archive_validity(spark, tmpdir_path).collect()] == [(True, 0)]
+    assert archive.archive_lines(spark, tmpdir_path).collect() == []
+    assert archive.archives_without_text(spark, tmpdir_path) == [f"file:{tmpdir_path}/A.zip"]
+    with pytest.raises(FileNotFoundError):
+        archive.archive_lines(spark, tmpdir_path + "/none/*.zip")
+
+
+# ---------------------------------------------------------------- K10 interrupted
+def _sources(spark, root):
+    return {r.v for r in spark.read.parquet(root).where("fonte = 'a'").collect()}
+
+
+@pytest.mark.parametrize("stop", range(4))
+def test_a_swap_that_stops_anywhere_is_finished_by_the_next_call(spark, tmpdir_path, stop, monkeypatch):
+    """Stop before the 1st or 2nd rename, before the old rows are deleted, and before the record is."""
+    root = tmpdir_path + "/m"
+    store.write_partitioned(spark.createDataFrame([("a", 1), ("z", 9)], "fonte string, v int"), root, by=("fonte",))
+    real = store._fs
+
+    class Dies:
+        def __init__(self, fs):
+            self.fs, self.calls = fs, 0
+
+        def _step(self, name, *a):
+            at = {"rename": 0, "delete": 2}[name]
+            if "_part-" not in str(a[0].toString()):             # writing the record itself is no step of the swap
+                if Dies.done == stop:
+                    raise KeyboardInterrupt
+                Dies.done += 1
+                assert Dies.done > at
+            return getattr(self.fs, name)(*a)
+
+        def rename(self, *a):
+            return self._step("rename", *a)
+
+        def delete(self, *a):
+            return self._step("delete", *a)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    Dies.done = 0
+    monkeypatch.setattr(store, "_fs", lambda s, p: (real(s, p)[0], Dies(real(s, p)[1])))
+    with pytest.raises(KeyboardInterrupt):
+        store.replace_source(spark.createDataFrame([(2,)], "v int"), root, "a")
+    monkeypatch.setattr(store, "_fs", real)
+    assert store.recover(spark, root) == ["fonte=a"] and _sources(spark, root) == {2}
+    assert store.recover(spark, root) == [] and sorted(n for n in os.listdir(root) if n[0] in "_.") == sorted(
+        n for n in os.listdir(root) if n.startswith(("_SUCCESS", "._SUCCESS", ".")))
+    store.replace_source(spark.createDataFrame([(3,)], "v int"), root, "a")
+    assert _sources(spark, root) == {3} and spark.read.parquet(root).where("fonte = 'z'").count() == 1
+
+
+def test_a_load_that_fails_before_it_is_complete_leaves_the_old_rows(spark, tmpdir_path):
+    root = tmpdir_path + "/m"
+    store.write_partitioned(spark.createDataFrame([("a", 1)], "fonte string, v int"), root, by=("fonte",))
+    with pytest.raises(Exception):
+        store.replace_source(spark.range(3).selectExpr("CAST(raise_error('x') AS int) AS v"), root, "a")
+    assert store.recover(spark, root) == [] and _sources(spark, root) == {1}
