@@ -48,7 +48,7 @@ def dtype_histogram(df: DataFrame) -> dict[str, int]:
 
 def benchmark_deviation(df: DataFrame, weight, benchmark: float, tolerance_pct: float = 5.0) -> DataFrame:
     """Weighted total vs an external figure; percent deviation and pass flag."""
-    total = exact_sum(weight)
+    total = exact_sum(weight, df)
     dev = F.abs(total.cast("double") - F.lit(float(benchmark))) / F.lit(float(benchmark)) * 100
     return df.agg(
         bigint_half_even(total).alias("total_estimado"),

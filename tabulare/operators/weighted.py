@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulare.functions.numeric import bigint_half_even, exact_sum, exact_weight, pct
+from tabulare.functions.numeric import bigint_half_even, exact_limbs, exact_sum, limb_sum, pct
 
 
 def _c(x) -> Column:
@@ -22,7 +22,7 @@ def _c(x) -> Column:
 
 def weighted_total(df: DataFrame, weight, alias: str = "total") -> DataFrame:
     """A1: one row, the weighted total rounded half-even to BIGINT."""
-    return df.agg(bigint_half_even(exact_sum(weight)).alias(alias))
+    return df.agg(bigint_half_even(exact_sum(weight, df)).alias(alias))
 
 
 def weighted_distribution(df: DataFrame, value, weight, include_nulls: bool = False,
@@ -37,7 +37,7 @@ def weighted_distribution(df: DataFrame, value, weight, include_nulls: bool = Fa
     """
     src = df if include_nulls else df.where(_c(value).isNotNull())
     keys = [F.col(b) for b in by]
-    grouped = src.groupBy(*keys, _c(value).alias(value_alias)).agg(exact_sum(weight).alias("_w"))
+    grouped = src.groupBy(*keys, _c(value).alias(value_alias)).agg(exact_sum(weight, src).alias("_w"))
     if by:
         # totals per group, joined back: no group's values ever meet in one task
         totals = grouped.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(F.sum("_w").alias("_t"))
@@ -61,6 +61,16 @@ def top_categories(df: DataFrame, value, weight, k: int = 6, **kw) -> DataFrame:
     return weighted_distribution(df, value, weight, ordered=True, **kw).limit(k)
 
 
+_PARTS = ["_units", "_high", "_low"]
+
+
+def _long(df: DataFrame, attributes: Sequence[str], weight, attr_alias: str, value_alias: str) -> DataFrame:
+    """One row per row and attribute, with the weight's parts (taken once per row, not once per attribute)."""
+    parts = exact_limbs(weight, df.select(_c(weight)).schema[0].dataType)
+    wide = df.select(*[c.alias(n) for c, n in zip(parts, _PARTS)], *[_c(a).cast("string").alias(a) for a in attributes])
+    return wide.unpivot(_PARTS, list(attributes), attr_alias, value_alias)
+
+
 def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
                    include_nulls: bool = False, attr_alias: str = "atributo",
                    value_alias: str = "valor", total_alias: str = "total",
@@ -72,12 +82,10 @@ def weighted_modes(df: DataFrame, attributes: Sequence[str], weight,
     an ordinary partial aggregate, so a high-cardinality or skewed attribute
     never has to sit in one task. Ties go to the smaller value text.
     """
-    w = exact_weight(weight).alias("_weight")      # converted once per row, not once per attribute
-    long = df.select(w, *[_c(a).cast("string").alias(a) for a in attributes]).unpivot(
-        "_weight", list(attributes), attr_alias, value_alias)
+    long = _long(df, attributes, weight, attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(limb_sum(*_PARTS).alias("_w"))
     best = per_value.groupBy(attr_alias).agg(
         F.min(F.struct((-F.col("_w")).alias("neg"), F.col(value_alias).alias("v"))).alias("_best"),
         F.sum("_w").alias("_t"),
@@ -102,12 +110,10 @@ def weighted_distributions(df: DataFrame, attributes: Sequence[str], weight,
     the attribute list), and keep the ``top`` largest values per attribute
     with ``row_number() <= top`` (limited on the map side before the shuffle).
     """
-    w = exact_weight(weight).alias("_weight")      # converted once per row, not once per attribute
-    long = df.select(w, *[_c(a).cast("string").alias(a) for a in attributes]).unpivot(
-        "_weight", list(attributes), attr_alias, value_alias)
+    long = _long(df, attributes, weight, attr_alias, value_alias)
     if not include_nulls:
         long = long.where(F.col(value_alias).isNotNull())
-    per_value = long.groupBy(attr_alias, value_alias).agg(F.sum("_weight").alias("_w"))
+    per_value = long.groupBy(attr_alias, value_alias).agg(limb_sum(*_PARTS).alias("_w"))
     totals = per_value.groupBy(attr_alias).agg(F.sum("_w").alias("_t"))
     # one row per listed attribute: bounded by construction, no count needed
     out = per_value.join(F.broadcast(totals), attr_alias).select(

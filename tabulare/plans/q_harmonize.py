@@ -136,8 +136,8 @@ def _person_household_join(spark, d):
     # join then carries households, not persons. Fan-out on a duplicated
     # household key multiplies the per-key count and sum exactly as it would
     # the person rows.
-    per_home = persons(spark, d).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                                    exact_sum("peso_amostral").alias("_w"))
+    people = persons(spark, d)
+    per_home = people.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), exact_sum("peso_amostral", people).alias("_w"))
     joined = per_home.hint("merge").join(households(spark, d).select(*keys, "situacao_do_domicilio"), keys)
     return joined.groupBy("situacao_do_domicilio").agg(
         F.sum("_n").alias("n_pessoas"), bigint_half_even(F.sum("_w")).alias("peso_total"))

@@ -132,3 +132,40 @@ def test_first_row_orders_nulls_last_and_keeps_whole_rows(spark):
     got = {r.k: (r.o, r.s, r.v) for r in household.first_row(df, "k", ["o"]).collect()}
     assert got == {1: (2, "b", 2.0), 2: (None, "z", 4.0)}   # a named column sorts NULLs last
     assert household.first_row(df, "k", ["o"]).columns == df.columns
+
+
+# ---------------------------------------------------------------- exact sums
+def test_limb_sums_equal_decimal_sums(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Context
+
+    from tabulare.functions.numeric import exact_sum
+
+    rng = random.Random(3)
+    values = [rng.choice([1, -1]) * round(rng.random() * 10 ** rng.randint(-6, 9), rng.randint(0, 13)) for _ in range(4000)]
+    values += [0.1, 0.5, -0.5, 1e-13, 123456789.123456789, 1e15, 9007199254740993.0, -1e-8, 99999999.99999999, None, 3.0, 1e12 + 0.5]
+    df = spark.createDataFrame([(i % 7, v) for i, v in enumerate(values)], "g int, w double")
+    want, c = {}, Context(prec=60, rounding=ROUND_HALF_UP)
+    for i, v in enumerate(values):
+        if v is not None:
+            want[i % 7] = c.add(want.get(i % 7, c.create_decimal(0)), c.quantize(c.create_decimal(repr(v)), c.create_decimal("1e-13")))
+    for kind in ("double", "decimal(38,13)"):
+        d = df.selectExpr("g", f"CAST(w AS {kind}) AS w")
+        assert {r.g: r.s for r in d.groupBy("g").agg(exact_sum("w", d).alias("s")).collect()} == want
+    ints = spark.createDataFrame([(2 ** 62,), (-5,), (None,)], "w long")
+    assert ints.agg(exact_sum("w", ints).alias("s")).first().s == 2 ** 62 - 5
+    none = df.where("w IS NULL")
+    assert none.agg(exact_sum("w", none).alias("s")).first().s is None
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("-inf"), float("nan"), 1e26])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_weight_that_does_not_fit_fails_the_job(spark, bad, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([("a", 1.5), ("a", bad)], "v string, w double")
+        for q in (weighted.weighted_total(df, "w"), weighted.weighted_modes(df, ["v"], "w"), weighted.weighted_distribution(df, "v", "w")):
+            with pytest.raises(Exception, match="does not fit"):
+                q.collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
