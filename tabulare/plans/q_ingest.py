@@ -22,6 +22,7 @@ from tabulare.plans.standins import table, table_path
 from tabulare.session import derived_input, local_fs_path
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, read_fwf
+from tabulare.sources.wide import parse_records
 from tabulare.schemas import IMOVEL
 from tabulare.sources.catalog import split_stem
 from tabulare.sources.layout import Layout, packaged_layout, read_layout_csv
@@ -62,6 +63,39 @@ register("decimal_scaling",
     lambda spark, d: read_fwf(spark, _lineitem_lines(spark, d), LINEITEM,
                               fields=["L0001", "L0004", "L0006", "L0007", "L0008"]))
 
+# ---------------------------------------------------------------- S1, S4, P1, P2 at the published width
+_WIDE_KINDS = ((2, "", "CAST((o_orderkey + {i}) % 100 AS TINYINT)"),
+               (1, "", "CASE WHEN (o_orderkey + {i}) % 11 > 0 THEN CAST((o_custkey * {i}) % 10 AS TINYINT) END"),
+               (8, "2", "CAST((o_orderkey * 7 + {i} * 13) % 100000000 AS DOUBLE) / 100"),
+               (4, "", "CAST((o_custkey + {i} * 37) % 10000 AS SMALLINT)"))
+
+
+def _wide_layout() -> tuple[Layout, dict[str, str]]:
+    """244 fields over the columns of ``orders``, and each field's value as SQL."""
+    rows, values, at = [], {}, 1
+    for i in range(244):
+        width, decimals, value = _WIDE_KINDS[i % len(_WIDE_KINDS)]
+        code = f"W{i:04d}"
+        rows.append({"variable": code, "description": f"CAMPO {i}", "start": at, "end": at + width - 1, "length": width,
+                     "decimals": decimals, "type": "N"})
+        values[code] = value.format(i=i)
+        at += width
+    return Layout.from_rows(rows), values
+
+
+WIDE, _WIDE_VALUES = _wide_layout()
+
+
+def _fwf_wide(spark, d):
+    def build(path):
+        encode_fwf(table(spark, d, "orders"), WIDE, {k: F.expr(v) for k, v in _WIDE_VALUES.items()}).write.text(path)
+    path = derived_input(spark, "fwf-wide", [table_path(d, "orders")], build, version=DERIVED_VERSION)
+    return parse_records(spark.read.text(path), WIDE)
+
+
+register("fwf_scan_wide",
+         "SELECT " + ", ".join(f"{v} AS campo_{i}" for i, v in enumerate(_WIDE_VALUES.values())) + " FROM orders")(_fwf_wide)
+
 # ---------------------------------------------------------------- S2 (sparse, explicit point)
 ORDERS = packaged_layout("orders_pnadc", "pnadc")
 _ORDERS_VALUES = {

@@ -22,9 +22,10 @@ from tabulare.params import HousingParams, ListingParams
 from tabulare.schemas import IMOVEL, MORADOR
 from tabulare.sinks.store import recover, replace_source, write_partitioned, write_states
 from tabulare.session import delete_path
-from tabulare.sources.fwf import LATIN1, parse_fwf
+from tabulare.sources.fwf import LATIN1
 from tabulare.sources.layout import Layout
 from tabulare.sources.listings import listings_to_imovel, parse_listings, read_listing_pages
+from tabulare.sources.wide import parse_records
 
 # census files sit in one folder per state: .../<UF>/Amostra_Pessoas_12.txt
 STATE_DIR = r"/([A-Z]{2})/[^/]+$"
@@ -57,7 +58,7 @@ def ingest_census(spark: SparkSession, files: Mapping[str, str | Sequence[str]],
         lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
         lines = lines.withColumn("uf", F.regexp_extract(F.col("_metadata.file_path"), STATE_DIR, 1))
         lines = filter_states(lines, ufs)                     # pruned before parsing
-        parsed = parse_fwf(lines, layouts[file_type], encoding=LATIN1, keep=["uf"])
+        parsed = parse_records(lines, layouts[file_type], encoding=LATIN1, keep=["uf"])
         path = f"{out_root.rstrip('/')}/{file_type}"
         write_states(parsed, path, ufs, overwrite=overwrite)
         out[file_type] = path
@@ -99,7 +100,7 @@ def ingest_census_archives(spark: SparkSession, archives: str | Sequence[str],
         stored = spark.read.schema("value string, file_type string, uf string").parquet(own)
         for t, layout in layouts.items():
             part = stored.where(F.col("file_type") == t)          # partition pruning
-            parsed = parse_fwf(part, layout, encoding=None, keep=["uf"])
+            parsed = parse_records(part, layout, encoding=None, keep=["uf"])
             path = f"{out_root.rstrip('/')}/{t}"
             write_states(parsed, path, ufs, overwrite=overwrite)
             out[t] = path
@@ -132,7 +133,7 @@ def ingest_pnadc(spark: SparkSession, paths: str | Sequence[str], layout: Layout
         lines, encoding = pnadc_archive_lines(spark, each), None
     else:
         lines, encoding = spark.read.text(each), LATIN1
-    parsed = parse_fwf(lines, layout, encoding=encoding)
+    parsed = parse_records(lines, layout, encoding=encoding)
     coded = parsed.withColumn("_uf_num", F.col("uf").try_cast("int")).drop("uf")
     with_uf = lookup_state(coded, "_uf_num", uf_dimension(spark)).drop("_uf_num")
     path = f"{out_root.rstrip('/')}/pnadc_{params.pnadc_year if params else 2025}"
