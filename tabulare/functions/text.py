@@ -1,19 +1,19 @@
 """Text helpers (X1, X2, X5–X8, X11, X12) as Spark ``Column`` expressions.
 
-Only the accent folding runs in Python (Arrow-batched ``pandas_udf``): Spark
-SQL has no Unicode NFKD normalization, and the names must equal what NFKD +
-ASCII-ignore gives. Everything else stays in the JVM.
+Everything stays in the JVM. Spark SQL has no Unicode NFKD normalization, and
+names must equal what NFKD + ASCII-ignore gives: that is a table over single
+characters, made once from the Unicode data.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabulare.functions.codes import TRUE_TOKENS
 
@@ -61,24 +61,38 @@ def slug_py(text, heading: bool = False) -> str:
 # --------------------------------------------------------------------------
 # Column versions
 # --------------------------------------------------------------------------
-@F.pandas_udf(T.StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
-    """NFKD, then drop every non-ASCII code point (accents go, letters stay)."""
-    return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What NFKD leaves of every character in ASCII: one character (as two aligned strings) or several.
+
+    NFKD maps each code point by itself, but for the order of marks, of which
+    none is ASCII; so this table and the rule that every other non-ASCII
+    character goes are the whole normalization.
+    """
+    one, several = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "\ud800" <= c <= "\udfff":          # halves of pairs are no characters
+            continue
+        left = fold_ascii_py(c)
+        if left:
+            (one if len(left) == 1 else several)[c] = left
+    return "".join(one), "".join(one.values()), several
 
 
 def fold(text) -> Column:
-    """``ascii_fold`` applied only where it can change something.
+    """NFKD, then drop every non-ASCII code point (accents go, letters stay).
 
-    Pure-ASCII text is its own NFKD/ASCII form, so only text with a
-    non-ASCII character is sent to Python (the rest crosses as NULL, which
-    costs nothing to move) and the original is kept for the others.
+    All in the JVM: a table made from the Unicode data of this Python, applied
+    by ``translate``; the few characters that become several (ligatures,
+    fractions, units) by a map, in strings that have any. ASCII text is left as it is.
     """
-    from tabulare.session import ship_package
-
-    ship_package()                       # the UDF runs in the executors' Python workers
     t = _c(text)
-    return F.coalesce(ascii_fold(F.when(t.rlike(NON_ASCII), t)), t)
+    chars, letters, several = _folds()
+    plain = F.translate(t, chars, letters)
+    table = F.str_to_map(F.lit("\x01".join(map("\x02".join, several.items()))), F.lit("\x01"), F.lit("\x02"))      # folded to a constant
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(plain.rlike("[" + "".join(several) + "]"), spelled).otherwise(plain)
+    return F.when(t.rlike(NON_ASCII), F.regexp_replace(plain, NON_ASCII, "")).otherwise(t)
 
 
 def _finish_slug(folded_lower: Column) -> Column:

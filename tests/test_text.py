@@ -69,3 +69,18 @@ def test_first_match_and_non_ascii(spark):
     assert got[0].m == "PNADC_2025_visita1_20250101.zip" and got[1].m is None
     assert [r.n for r in got] == [False, False]
     assert spark.range(1).select(text.has_non_ascii(F.lit("ação"))).first()[0] is True
+
+
+def test_folding_equals_nfkd_for_every_character(spark):
+    """Every code point, between letters and beside combining marks."""
+    chars = [c for c in map(chr, range(1, 0x110000)) if not "\ud800" <= c <= "\udfff"]
+    strings = ["|".join(f"a{c}z" for c in chars[i:i + 64]) for i in range(0, len(chars), 64)]
+    strings += ["ȩ́x", "ﬃ½ and ℃", "ﷺ", "한국어", "", "plain", None, "\U0001d504\U0001d505 Ⅷ"]
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    got = df.select("s", text.fold("s").alias("f")).collect()
+    assert all(r.f == (None if r.s is None else text.fold_ascii_py(r.s)) for r in got)
+
+
+def test_slug_plans_hold_no_python(spark):
+    df = spark.createDataFrame([("Número",)], "h string").select(text.slug_heading("h"), text.slug("h"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
