@@ -39,6 +39,42 @@ def test_boilerplate_of_many_kinds():
         "Third paragraph, again with enough words."]
 
 
+S = "The old bridge over the river was closed again this week while engineers looked for new cracks in it."
+OTHER = "A second paragraph tells how long the town has been waiting for the repair, and what it may cost them."
+NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+FOOT = '<footer><p>&copy; 2024 The Town Paper. All rights reserved.</p></footer>'
+
+
+@pytest.mark.parametrize("body, want", [
+    (f'<article><p>{OTHER}</p><p data-title="Hidden treasures">{S}</p></article>', [OTHER, S]),
+    (f'<article><p>{S} <a href="/hidden-valley?id=comment-5&class=menu">there</a></p></article>', [S + " there"]),
+    (f'<div class="page with-sidebar"><article><p>{S}</p></article></div>', [S]),
+    (f'<div class="sidebar-left page"><article><p>{S}</p><p>{OTHER}</p></article></div>', [S, OTHER]),
+    (f'<div class="legal social widget"><article><p>{S}</p></article></div><section id="comments"><article><p>{OTHER}</p></article></section>', [S]),
+    (f'<form id="aspnet"><main><p>{S}</p></main></form>', [S]),
+    (f'<form id="aspnet">{NAV}<div><p>{S}</p><p>{OTHER}</p><p>{S}</p><p>{OTHER}</p></div></form>', [S, OTHER, S, OTHER]),
+    (f'<article><p>{OTHER}</p><p><a href="/x">{S}</a></p></article>', [OTHER, S]),
+    (f'<div class="content"><p>{OTHER}</p><p class="legal">{S}</p><p>{OTHER}</p></div>', [OTHER, S, OTHER]),
+    (f'<div class="content"><h1>Closed again</h1><p>{S}</p><p>{OTHER}</p></div>', ["Closed again", S, OTHER]),
+    (f'<article><header><h1>Closed again</h1></header><p>{S}</p><div class="share-box">Share this with friends</div><p>{OTHER}</p>'
+     '<div class="related"><ul><li><a href="/1">Another story of the town</a></li></ul></div></article>', ["Closed again", S, OTHER]),
+    (f'<div class="story"><p>{S}</p><p>{OTHER}</p></div><aside><article><p>{S}</p></article><article><p>{OTHER}</p></article></aside>', [S, OTHER]),
+    (f'<div><p>{S}</p><p>{OTHER}</p></div><div class="sidebar"><p>{OTHER}</p><p>{S}</p></div>', [S, OTHER]),
+    (f'<div hidden><p>{OTHER}</p></div><p>{S} <span style="display: none">never shown</span></p>', [S]),
+    ("<div>" * 80 + f"<ul><li>{S}<li>" + "<span><b><i><u><em>" + OTHER + "</div>" * 80, [S, OTHER]),
+], ids=range(15))
+def test_names_are_a_cost_and_no_veto(body, want):
+    page = f"<html><head><title>t</title></head><body>{NAV}{body}{FOOT}</body></html>"
+    assert html_extract.main_text(page).split("\n") == want
+
+
+def test_pages_without_article_markup(spark):
+    """The driver's pages with their articles in plain divisions."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    found = [html_extract.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html)) == _article(r.html) for r in pages]
+    assert sum(found) >= 0.9 * len(found)
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = np.random.default_rng(0)
     for _ in range(60):
