@@ -8,9 +8,9 @@ lowest rank, leftmost first, until no pair has a rank.
 The vocabulary (ranks and hash tables, about 50,000 entries: bounded by the
 rank file, not by the data) is read once on the driver and broadcast. Texts
 are encoded where they are read: no shuffle. Each task works through Arrow
-batches; a Python worker remembers the ids of at most ``REMEMBERED``
-pre-tokens and as many chunks (below), so its memory does not grow with the
-input.
+batches; a Python worker remembers the ids of pre-tokens and chunks (below)
+of at most ``LONGEST`` characters, ``REMEMBERED`` bytes of each, so its
+memory does not grow with the input, nor with the length of its words.
 
 Texts are first cut into chunks at single spaces between two characters that
 are not white space. No pre-token of the pattern spans such a place other
@@ -37,7 +37,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-REMEMBERED = 300_000
+REMEMBERED = 96 << 20          # bytes of pre-tokens and of chunks that a worker remembers
+LONGEST = 256                  # characters of a pre-token or chunk worth remembering
+ENTRY = 240                    # bytes of an entry besides its characters and ids
 ROWS_AT_ONCE = 128
 BUCKET = 4                     # keys per first-level bucket of the perfect hash
 _MIX = 0x9E3779B97F4A7C15
@@ -192,13 +194,14 @@ def chunks_of(text: str) -> list[str]:
 
 class Memory:
     """Ids of pre-tokens and chunks met so far. Full, it keeps what came first (mostly what is
-    frequent) and starts afresh once it has missed as often as it has entries."""
+    frequent) and starts afresh once it has missed as much as it holds."""
 
     def __init__(self, enc: Encoder, most: int = REMEMBERED):
         self.enc, self.most = enc, most
         self.split = regex.compile(enc.pattern).findall
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.sizes = [0, 0]
         self.missed = 0
 
     def _learn(self, texts: list[str], fresh: set[str]) -> list[bytes]:
@@ -218,15 +221,18 @@ class Memory:
         self.chunks.update(zip(new_chunks, self._learn([" " + x for x in new_chunks], new_pieces)))
         get = self.chunks.__getitem__
         out = [h + b"".join(map(get, c[1:])) for h, c in zip(heads, cut)]
-        for held, new in ((self.known, new_pieces), (self.chunks, new_chunks)):
-            if len(held) > self.most:
-                self.missed += len(new)
-                for x in new:
+        for i, (held, new) in enumerate(((self.known, new_pieces), (self.chunks, new_chunks))):
+            for x in new:
+                cost = 4 * len(x) + len(held[x]) + ENTRY          # at most four bytes a character
+                if len(x) > LONGEST or self.sizes[i] + cost > self.most:
                     del held[x]
+                    self.missed += cost if len(x) <= LONGEST else 0
+                else:
+                    self.sizes[i] += cost
         if self.missed > self.most:
             self.known.clear()
             self.chunks.clear()
-            self.missed = 0
+            self.sizes, self.missed = [0, 0], 0
         return out
 
 

@@ -15,7 +15,9 @@ Scale: sketches are computed where the text is read. The edited text needs
 the next document's text, so texts are shuffled once, into ranges of ids
 (range bounds from a bounded quantile summary) in which ``lead`` finds the
 next document; the first document of each range is also sent to the range
-before. No range holds more than its share of ids.
+before. An id that spans several ranges (or the rows without id) is cut by a
+hash of the text, so no range holds more than its share of rows; past
+``MAX_RANGES`` ranges hold more rows, which the window spills.
 
 Defined results for odd input: NULL text is empty, has the empty fingerprint
 and is alike (1) only to another text without words; rows without id come
@@ -26,6 +28,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -65,40 +69,50 @@ def likeness(a: Column, b: Column) -> Column:
         (F.size(a) == F.size(b)).cast("double")).cast("double")
 
 
+def _bounds(values: list[int]) -> list[tuple[int, int]]:
+    """Range bounds (id, tie) from quantiles of ids: an id that spans m quantiles is cut into m + 1 parts by its ties."""
+    out = []
+    for value, times in sorted(Counter(values).items()):
+        out += [(value, -(1 << 63) + (j << 64) // (times + 1)) for j in range(1, times + 1)] if times > 1 else [(value, -(1 << 63))]
+    return out
+
+
 def in_ranges(docs: DataFrame) -> tuple[DataFrame, W]:
     """``docs (doc_id, text)`` in ranges, and the window in which ``lead`` is the next row by descending id, cyclic.
 
     Rows marked ``guest`` only stand in as the row after the last of their range.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    # the hash is the tie-break of rows with one id; it stays when the text is gone
+    tie = F.xxhash64("text")
     ids = docs.select(order.alias("o"))
     n = ids.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds: list[int] = []
+    bounds: list[tuple[int, int]] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(ids.agg(F.percentile_approx("o", shares, 20 * ranges)).first()[0]))
+        bounds = _bounds(ids.agg(F.percentile_approx("o", shares, 20 * ranges)).first()[0])
     steps = [1 << i for i in reversed(range(max(1, (len(bounds) + 1).bit_length())))]
-    padded = bounds + [(1 << 63) - 1] * (2 * steps[0] - len(bounds))
-    held = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")      # folded to a constant
-    # the range of an id: how many bounds are at or below it, by binary search
-    place = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(
-        F.element_at(held, at + s) <= order, at + s).otherwise(at)) if bounds else F.lit(0)
-    stats = materialize(docs.select(order.alias("o"), place.cast("int").alias("range")).groupBy("range")
-                        .agg(F.max("o").alias("top")), "fp-ranges")                   # at most MAX_RANGES rows
+    padded = bounds + [((1 << 63) - 1, (1 << 63) - 1)] * (2 * steps[0] - len(bounds))
+    held, ties = (F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in zip(*padded))      # folded to constants
+    reached = lambda at: (F.element_at(held, at) < order) | (F.element_at(held, at) == order) & (F.element_at(ties, at) <= tie)
+    # the range of a row: how many bounds are at or below it, by binary search
+    place = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(reached(at + s), at + s).otherwise(at)) if bounds else F.lit(0)
+    stats = materialize(docs.select(F.struct(order.alias("o"), tie.alias("t")).alias("key"), place.cast("int").alias("range")).groupBy("range")
+                        .agg(F.max("key").alias("top")), "fp-ranges")                 # about MAX_RANGES rows at most
     asc = W.partitionBy(F.lit(1)).orderBy("range")
     heads = stats.select("range", "top", F.coalesce(F.lead("range").over(asc), F.min("range").over(
         W.partitionBy(F.lit(1)))).alias("goes_to"))
-    rows = docs.withColumn("_o", order).withColumn("_range", place.cast("int"))
+    rows = docs.withColumn("_o", order).withColumn("_t", tie).withColumn("_range", place.cast("int"))
     rows = rows.join(F.broadcast(heads.withColumnRenamed("range", "_range")), "_range")
     # each row in its own range, and the first of a range also as the guest after the last of the range above
+    first = (F.col("_o") == F.col("top.o")) & (F.col("_t") == F.col("top.t"))
     places = F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest")),
-                     F.when(F.col("_o") == F.col("top"), F.struct(F.col("goes_to").alias("at"), F.lit(True).alias("guest"))))
+                     F.when(first, F.struct(F.col("goes_to").alias("at"), F.lit(True).alias("guest"))))
     rows = rows.withColumn("_place", F.explode(F.filter(places, lambda p: p.isNotNull())))
-    rows = rows.select("doc_id", "text", F.col("_o").alias("o"), F.col("_place.at").alias("range"), F.col("_place.guest").alias("guest"))
-    # the hash is the tie-break of rows with one id; it stays when the text is gone
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    return rows, W.partitionBy("range").orderBy("guest", F.desc("o"), "tie")
+    rows = rows.select("doc_id", "text", F.col("_o").alias("o"), F.col("_t").alias("tie"), F.col("_place.at").alias("range"),
+                       F.col("_place.guest").alias("guest"))
+    return rows, W.partitionBy("range").orderBy("guest", F.desc("o"), F.desc("tie"))
 
 
 def edit(text: Column, following: Column) -> Column:

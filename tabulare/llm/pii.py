@@ -4,10 +4,12 @@ Seeds: e-mail addresses, IP addresses, card numbers and phone numbers found
 by their written form (with the checks of each kind). The words left of the
 seeds become lexical patterns. Over the bipartite graph of patterns and the
 identifier-like strings they precede (strings with a digit or ``@``), pattern
-and instance scores are computed in turn: a pattern's score for a kind is the
-mean confidence of the distinct instances it precedes, an instance's the
-noisy-or of its reliable patterns. Reliable patterns then mark unseen
-identifiers; seeds always stay.
+and instance scores are computed in turn: a pattern's score is the mean
+confidence of the distinct instances it precedes, of whatever kind, and its
+kind the one with the largest share of that; an instance's score is the
+noisy-or of its reliable patterns, its kind that of the best. Scores only
+rise, and the turns end when neither a pattern nor an instance is new.
+Reliable patterns then mark unseen identifiers; seeds always stay.
 
 Scale: the text is scanned where it is read and never shuffled; only the
 occurrences (tens of bytes each, in the few documents that have any) enter
@@ -40,10 +42,10 @@ PATTERNS = {
 }
 # Identifier-like strings: adjacent tokens with a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
-CONTEXT = 80               # characters left of an occurrence that its context is taken from
+CONTEXT = 80               # characters left of an occurrence that hold its context, as a rule; else all of them are searched
+NAMED = 256                # characters above which a context goes by its SHA-256
 MIN_SUPPORT = 5            # distinct confident instances a reliable pattern precedes
 RELIABLE = 0.8             # least score of a reliable pattern or instance
-ROUNDS = 2
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint,hit:string,left:string>>"
 
 
@@ -55,6 +57,13 @@ def prefix(values: Column, op) -> Column:
         a, lambda v, i: F.when(i >= s, op(v, F.get(a, i - s))).otherwise(v)))
 
 
+def _last_words(gap: Column) -> Column:
+    """The end of ``gap`` that holds its last two words whole."""
+    end = F.right(gap, F.lit(CONTEXT))
+    return F.when((F.length(gap) <= CONTEXT) | end.rlike(r"\s\S++\s++\S++\s*+\z"), end).otherwise(
+        F.regexp_extract(gap, r"(?<!\S)(?:\S++\s++)?+\S++\s*+\z", 0))
+
+
 def _find(df: DataFrame, pattern: str, guard: Column, out: str, text: str = "text") -> DataFrame:
     """Add ``out``: an array of ``(start, end, hit, left)`` for all matches, and ``out_gaps`` between them."""
     df = df.withColumn("_hits", F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
@@ -66,7 +75,7 @@ def _find(df: DataFrame, pattern: str, guard: Column, out: str, text: str = "tex
         lambda a, b: a + b))
     df = df.withColumn(out, F.transform("_hits", lambda h, i: F.struct(
         F.get(F.col("_starts"), i).alias("start"), (F.get(F.col("_starts"), i) + F.length(h)).alias("end"),
-        h.alias("hit"), F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT))).alias("left"))))
+        h.alias("hit"), F.lower(_last_words(F.get(gaps, i))).alias("left"))))
     return df.drop("_hits", "_starts")
 
 
@@ -133,7 +142,8 @@ def _contexts(left: Column) -> Column:
     """Lexical patterns of an occurrence: its last word, and its last two, before it."""
     two = F.regexp_extract(left, r"(\S++\s++\S++)\s*+$", 1)
     one = F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1)
-    return F.filter(F.array(F.regexp_replace(two, r"\s++", " "), one), lambda c: c != "")
+    short = lambda c: F.when(F.length(c) > NAMED, F.sha2(c, 256)).otherwise(c)
+    return F.filter(F.array(short(F.regexp_replace(two, r"\s++", " ")), short(one)), lambda c: c != "")
 
 
 def reliable_patterns(occurrences: DataFrame) -> DataFrame:
@@ -142,19 +152,25 @@ def reliable_patterns(occurrences: DataFrame) -> DataFrame:
     degree = materialize(graph.groupBy("context").agg(F.count(F.lit(1)).alias("degree")), "pii-degree")
     # a pattern that precedes fewer instances than the support can never become reliable
     graph = materialize(graph.join(degree.where(F.col("degree") >= MIN_SUPPORT), "context"), "pii-graph")
-    believed = materialize(graph.where("seed IS NOT NULL").select("hit", F.col("seed").alias("kind"), F.lit(1.0).alias("trust"))
-                           .distinct(), "pii-believed")
-    patterns = None
-    for _ in range(ROUNDS):
-        scored = (graph.join(believed, "hit").groupBy("context", "kind")
-                       .agg((F.sum("trust") / F.max("degree")).alias("score"), F.count(F.lit(1)).alias("support")))
+    seeds = materialize(graph.where("seed IS NOT NULL").groupBy("hit").agg(F.max("seed").alias("kind")).select(
+        "hit", "kind", F.lit(1.0).alias("trust")), "pii-seeds")
+    believed, before = seeds, None
+    while True:
+        by_kind = graph.join(believed, "hit").groupBy("context", "kind").agg(
+            F.sum("trust").alias("trust"), F.count(F.lit(1)).alias("support"), F.max("degree").alias("degree"))
+        scored = by_kind.groupBy("context").agg(
+            (F.sum("trust") / F.max("degree")).alias("score"), F.sum("support").alias("support"),
+            F.max(F.struct("trust", (-F.col("kind")).alias("back"))).alias("lead"))
         patterns = materialize(scored.where((F.col("support") >= MIN_SUPPORT) & (F.col("score") >= RELIABLE))
-                               .select("context", "kind", "score"), "pii-patterns")
-        grown = (graph.where("seed IS NULL").join(patterns, "context").groupBy("hit", "kind")
-                      .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust")))
-        believed = materialize(believed.where("trust = 1.0D").unionByName(grown.where(F.col("trust") >= RELIABLE)
-                               .withColumn("trust", F.least("trust", F.lit(0.999999)))), "pii-believed")
-    return patterns
+                               .select("context", (-F.col("lead.back")).alias("kind"), "score"), "pii-patterns")
+        grown = (graph.where("seed IS NULL").join(patterns, "context").groupBy("hit")
+                      .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"),
+                           F.max(F.struct("score", (-F.col("kind")).alias("back"))).alias("lead")))
+        grown = materialize(grown.where(F.col("trust") >= RELIABLE).select("hit", (-F.col("lead.back")).alias("kind"), "trust"), "pii-grown")
+        reached = (patterns.count(), grown.count())
+        if reached == before or not reached[1]:
+            return patterns
+        before, believed = reached, seeds.unionByName(grown.join(seeds, "hit", "left_anti"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
@@ -195,17 +211,38 @@ def report(docs: DataFrame) -> DataFrame:
                         _listed(F.array_sort(F.concat("base", "extra"))).alias("spans"))
 
 
+def merged(spans: Column) -> Column:
+    """Union of spans ``(start, end, kind)`` sorted by start: overlapping ones become one, of the first one's kind."""
+    reach = prefix(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    heads = lambda r: F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (F.get(r, i - 1) <= s["start"]), i)), lambda i: i.isNotNull())
+    # the reach and the heads are computed once: each is the element of a one-element array
+    whole = F.transform(F.array(reach), lambda r: F.transform(F.array(heads(r)), lambda h: F.transform(h, lambda at, j: F.struct(
+        F.get(spans, at)["start"].alias("start"), F.get(r, F.coalesce(F.get(h, j + 1), F.size(spans)) - 1).alias("end"),
+        F.get(spans, at)["kind"].alias("kind")))))
+    return F.get(F.get(whole, F.lit(0)), F.lit(0))
+
+
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows the text."""
-    extra = materialize(discovered(materialize(located(docs), "pii-located")), "pii-extra").select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("extra").alias("_extra"))
+    """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows the text.
+
+    Spans are those of the original text. Where some overlap or patterns have
+    added any, their union is masked first, at its places; what is left (spans
+    that touch no other, and what only masking makes a match) goes kind by kind.
+    """
+    found = materialize(located(docs), "pii-located")
+    extra = materialize(discovered(found), "pii-extra").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "extra")
+    spans = found.where(F.size("base") > 0).join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "full").select(
+        F.coalesce("doc_id", "_d").alias("_d"), F.coalesce("mark", "_m").alias("_m"), F.col("extra").isNotNull().alias("more"),
+        F.array_sort(F.concat(*[F.transform(F.coalesce(c, F.array().cast(kind)), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+            for c, kind in (("base", _SPANS), ("extra", "array<struct<kind:int,start:bigint,end:bigint>>"))])).alias("all"))
+    spans = spans.withColumn("_spans", merged(F.col("all"))).where(F.col("more") | (F.size("_spans") < F.size("all")))
+    extra = materialize(spans.groupBy("_d", "_m").agg(F.any_value("_spans").alias("_spans")), "pii-spans")
     # the row travels as one struct, so its column names cannot clash with ours
     df = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"),
                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mark"))
     df = df.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
     name = lambda k: F.get(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k)
-    spans = F.sort_array(F.transform("_extra", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    df = df.withColumn("_spans", spans)
     before = lambda i: F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0))
     df = df.withColumn("_text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(
         F.array_join(F.transform("_spans", lambda s, i: F.concat(

@@ -220,9 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionMo
                                              names=["doc_id", "quality", "bag"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality double, bag binary"
-    got = rows.mapInArrow(features, schema).toArrow()
+    # one bag per chosen label, whatever number of rows has its id
+    got = rows.mapInArrow(features, schema).groupBy("doc_id", "quality").agg(F.min("bag").alias("bag")).limit(sample).toArrow()
     # the order of rows must not change the model
-    got = sorted(zip(got["doc_id"].to_pylist(), got["quality"].to_pylist(), got["bag"].to_pylist()))[:sample]
+    got = sorted(zip(got["doc_id"].to_pylist(), got["quality"].to_pylist(), got["bag"].to_pylist()))
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for _, _, b in got]
     return AttentionModel.fit(bags, np.array([q for _, q, _ in got]))
 

@@ -141,6 +141,27 @@ def test_fingerprints_merge(spark):
     assert 60 < len(r.a) < 140                               # a quarter of 396
 
 
+def test_fingerprints_ranges_hold_their_share_with_a_hot_id(spark, monkeypatch):
+    import hashlib
+
+    import xxhash
+
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 100)
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i} of some words and {i * i} more") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    d, _ = fingerprints.in_ranges(df)
+    sizes = [r["count"] for r in d.where("NOT guest").groupBy("range").count().collect()]
+    guests = d.where("guest").groupBy("range").count().collect()
+    assert sum(sizes) == 3000 and max(sizes) < 250 and all(r["count"] == 1 for r in guests) and len(guests) == len(sizes)
+    tie = lambda t: (lambda x: x - (x >> 63 << 64))(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie(r[1])), reverse=True)
+    want = set()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        cut = len(t) // 3
+        want.add((i, hashlib.sha256((t[:len(t) - cut] + nxt[:cut]).encode()).hexdigest()))
+    assert {(r.doc_id, r.edited_sha256) for r in fingerprints.fingerprints(df).collect()} == want
+
+
 def test_fingerprints_odd_input(odd, empty):
     got = fingerprints.fingerprints(odd).collect()
     assert len(got) == odd.count() and fingerprints.fingerprints(empty).count() == 0
@@ -327,6 +348,24 @@ def test_simhash_odd_input(odd, empty):
 
 
 # ---------------------------------------------------------------- 7 quality
+def test_quality_fits_on_one_bag_per_label(spark, monkeypatch):
+    """One labelled id on many rows sends one bag to the driver and does not crowd out the others."""
+    bags = []
+
+    def fit(cls, x, y, *a, **kw):
+        bags.append((len(x), list(y)))
+        raise StopIteration
+    monkeypatch.setattr(quality.AttentionModel, "fit", classmethod(fit))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:40]
+    rows = [(ids[0], f"hot text {i} with words") for i in range(3000)] + [(i, f"text of {i}") for i in ids[1:]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    for sample, want in ((1000, 40), (10, 10)):
+        with pytest.raises((StopIteration, RuntimeError)):
+            quality.fit(d, labels, sample=sample)
+        assert bags[-1][0] == want
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -418,6 +457,65 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert masked[8] == texts[8]
 
 
+def test_pii_a_context_of_two_kinds_and_chains_of_contexts(spark):
+    """``contact:`` precedes e-mails and phones alike; each later context is learned through the one before it."""
+    texts = [f"contact: user{i}@site{i}.example.org ok" for i in range(6)] + [f"contact: +1 555 010 {1000 + i} ok" for i in range(5)]
+    texts += ["contact: user77(at)site.example ok"]
+    texts += [f"call me: +1 555 010 {2000 + i} ok" for i in range(8)] + [f"call me: x55-{i} ok" for i in range(2)]
+    texts += [f"dial this: x55-{i} ok" for i in range(2)] + [f"dial this: +1 555 010 {3000 + i} ok" for i in range(7)]
+    texts += [f"dial this: y66-{i} ok" for i in range(2)]
+    texts += [f"ring there: y66-{i} ok" for i in range(2)] + [f"ring there: +1 555 010 {4000 + i} ok" for i in range(9)] + ["ring there: z77-1 ok"]
+    texts += [f"nothing like: q{i}9 ok" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    for i, t in enumerate(texts):
+        if "(at)" in t:
+            assert got[i].startswith("email:9:")                        # six e-mails to five phones
+        elif "x55" in t or "y66" in t or "z77" in t:
+            at = t.index(": ") + 2
+            assert got[i] == f"phone:{at}:{len(t) - 3}", (t, got[i])
+        elif "nothing" in t:
+            assert got[i] == ""
+
+
+def test_pii_contexts_of_long_words(spark):
+    """The two words before an identifier are whole, however long, and different long words are different contexts."""
+    long = "w" * 300
+    texts = [f"{long} a{long}: +1 555 010 {1000 + i}" for i in range(6)] + [f"{long} a{long}: x55-1", f"{long} b{long}: x55-2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert got[6] == f"phone:604:609" and got[7] == ""
+
+
+def test_pii_mask_covers_overlapping_spans(spark):
+    texts = ["a +1 234 567 8901@x.example.com z", "ip 10.1.2.3.4 (555) +10.20.30.40 12 3", "x " + "bob@example.org " * 40 + "end"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert "phone" in spans[0] and "email" in spans[0]
+    out = sorted((r.doc_id, r.text) for r in pii.mask(df).collect())
+    assert len(out) == 4 and out[0] == out[1] and not re.search("[0-9]", out[0][1]) and out[0][1].startswith("a <")
+    for i, text in out:
+        assert not _base(text), text
+    assert out[-1][1] == "x " + "<EMAIL> " * 40 + "end"
+
+
+def test_pii_merged_spans_are_the_union(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        at = sorted({(int(a), int(a) + int(rng.integers(1, 9)), int(rng.integers(4))) for a in rng.integers(0, 60, rng.integers(0, 12))})
+        rows.append((i, [dict(zip(("start", "end", "kind"), t)) for t in at]))
+    df = spark.createDataFrame(rows, "i int, s array<struct<start:long,end:long,kind:int>>")
+    for r in df.select("i", "s", pii.merged(F.col("s")).alias("m")).collect():
+        want = []
+        for a, b, k in [(x.start, x.end, x.kind) for x in r.s]:
+            if want and a < want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b, k])
+        assert [[x.start, x.end, x.kind] for x in r.m] == want
+
+
 def test_pii_odd_input(odd, empty):
     got = pii.report(odd).collect()
     assert len(got) == odd.count() and pii.report(empty).count() == 0
@@ -456,6 +554,19 @@ def test_bpe_memory_bound_does_not_change_ids(reference_encoding):
     assert len(memory.known) <= 50 and len(memory.chunks) <= 50
 
 
+def test_bpe_memory_is_bounded_in_bytes(reference_encoding):
+    enc = bpe.Encoder(bpe.read_ranks(VOCAB), public_tokenizers.PATTERN)
+    memory = bpe.Memory(enc, 200_000)
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefgh天地éß"))
+    for n in (20_000, 200, 12):
+        texts = [" ".join("".join(rng.choice(letters, n)) for _ in range(max(2, 4000 // n))) for _ in range(8)]
+        out = memory.encode(texts)
+        assert [np.frombuffer(p, "<u4").tolist() for p in out] == [reference_encoding.encode_ordinary(t) for t in texts]
+        for held in (memory.known, memory.chunks):
+            assert sum(4 * len(k) + len(v) + bpe.ENTRY for k, v in held.items()) <= 200_000 and all(len(k) <= bpe.LONGEST for k in held)
+
+
 def test_perfect_hash_is_minimal_and_rejects_foreign_keys():
     keys = [f"key{i}".encode() for i in range(5000)]
     ph = bpe.PerfectHash.build(keys)
