@@ -7,7 +7,8 @@ by walking the graph and joins the list of the nearest one; a vector near a
 boundary joins the lists of other centroids too whose distance is within
 ``REPLICATE`` of the nearest. A query walks
 the same graph and reads the lists whose centroids are within ``PRUNE`` times
-the nearest centroid's distance, ``PROBES`` lists at least.
+the nearest centroid's distance, ``PROBES`` lists at least; the walk widens
+until it has passed that distance, so it visits the centroids near the query only.
 
 Every list is split into shards of a bounded number of vectors, and the
 queries that read a list into blocks of a bounded size, so a hot list (many
@@ -27,6 +28,7 @@ give all; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +45,8 @@ LIST_SIZE = 256            # vectors a list holds on average, until there are MA
 MAX_LISTS = 4096
 SAMPLE = 20_000            # vectors the centroids are fitted on
 DEGREE = 24                # graph neighbours of a centroid
+AHEAD = 2                  # nearest centroids a walk goes on from, however far
+SLACK = 1.15               # a walk for lists goes this much beyond the ratio they are pruned by
 BEAM = 96                  # centroids kept while walking the graph
 REPLICAS = 3               # lists a vector may join
 REPLICATE = 1.03           # distance ratio to the nearest centroid within which it does
@@ -99,17 +103,25 @@ class CentroidGraph:
         for i in range(0, n, 512):
             near[i:i + 512] = np.argsort(_sq(centroids[i:i + 512], centroids), axis=1, kind="stable")[:, 1:DEGREE + 1] \
                 if n > DEGREE else np.arange(n)
-        # reverse edges keep every centroid reachable; entry points are spread over the list order
+        # reverse edges; a walk starts at the nearest of some centroids that are far from each other, in every cluster of them
         back: list[list[int]] = [[] for _ in range(n)]
         for i, row in enumerate(near.tolist()):
             for j in row:
                 if len(back[j]) < DEGREE:
                     back[j].append(i)
         both = np.array([row + b + [row[0]] * (DEGREE - len(b)) for row, b in zip(near.tolist(), back)])
-        return CentroidGraph(centroids, both, np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int)))
-
-    def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of about the ``want`` nearest centroids of each row, nearest first."""
+        hubs, far = [0], _sq(centroids[:1], centroids)[0]
+        while len(hubs) < min(n, 16 + 2 * math.isqrt(n)):
+            hubs.append(int(far.argmax()))
+            far = np.minimum(far, _sq(centroids[hubs[-1:]], centroids)[0])
+        return CentroidGraph(centroids, both, np.unique(hubs))
+
+    def search(self, x: np.ndarray, want: int, ratio: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of about the ``want`` nearest centroids of each row, nearest first.
+
+        The walk goes on from the nearest ``AHEAD`` centroids it knows, and from
+        others only while they are within ``ratio`` times the nearest one's distance.
+        """
         n, beam = len(self.centroids), min(max(BEAM, want), len(self.centroids))
         if not len(x):
             return np.empty((0, min(want, n)), np.int64), np.empty((0, min(want, n)))
@@ -122,7 +134,7 @@ class CentroidGraph:
         while True:
             order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
             ids, dist, done = (np.take_along_axis(a, order, 1) for a in (ids, dist, done))
-            open_ = ~done & np.isfinite(dist)
+            open_ = ~done & np.isfinite(dist) & ((dist <= ratio * ratio * dist[:, :1]) | (np.arange(dist.shape[1]) < AHEAD))
             if not open_.any():
                 break
             # expand the nearest few open centroids of every row
@@ -157,8 +169,16 @@ class CentroidGraph:
 
     def probes_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists each query reads."""
-        ids, dist = self.search(x, len(self.centroids))
-        return [i[np.isfinite(d) & ((d <= PRUNE * d[0]) | (np.arange(len(d)) < PROBES))] for i, d in zip(ids, dist)]
+        n, want, rows = len(self.centroids), 2 * PROBES, np.arange(len(x))
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(x)
+        while len(rows):
+            ids, dist = self.search(x[rows], want, PRUNE * SLACK)
+            # the walk has passed the last list to read, or there is no more to find
+            over = (dist[:, -1] > PRUNE * dist[:, 0]) | (want >= n)
+            for row, i, d in zip(rows[over], ids[over], dist[over]):
+                out[row] = i[np.isfinite(d) & ((d <= PRUNE * d[0]) | (np.arange(len(d)) < PROBES))]
+            rows, want = rows[~over], 2 * want
+        return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -131,6 +131,28 @@ def test_fingerprints_against_shingle_sets(docs, rows):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_suffix_anchors_of_one_string_stay_few_as_batches_grow():
+    """Four surroundings of one passage in every batch: what a task sends of its anchors does not grow with the batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefgh"), 150))
+    noise = lambda: "".join(rng.choice(list("ijklmnop"), 120))
+
+    def batches(n):
+        for b in range(n):
+            yield pa.RecordBatch.from_arrays([pa.array([4 * b + i for i in range(4)], pa.int64()),
+                                              pa.array([noise() + passage + noise() for _ in range(4)])], names=["doc_id", "text"])
+    most = []
+    for n in (10, 40, 160):
+        sent = Counter()
+        for out in suffix_dedup._scan(batches(n)):
+            rows = out.to_pydict()
+            sent.update(h for k, h in zip(rows["kind"], rows["h"]) if k == suffix_dedup.ANCHOR)
+        most.append(max(sent.values()))
+    assert max(most) <= suffix_dedup.HEAVY + 4
+
+
 def test_fingerprints_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(400))
     df = spark.createDataFrame([(a, b)], "a string, b string").select(
@@ -194,7 +216,7 @@ def test_repeats_against_every_window(docs, rows):
     assert [got[r.doc_id] for r in rows] == want and sum(w[1] for w in want) > 0
 
 
-@pytest.mark.parametrize("heavy", [suffix_dedup.HEAVY, 0])
+@pytest.mark.parametrize("heavy", [suffix_dedup.HEAVY, 0, 2])
 def test_repeats_shared_passages_and_runs(spark, monkeypatch, heavy):
     monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     rng = np.random.default_rng(1)

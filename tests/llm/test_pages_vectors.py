@@ -170,6 +170,36 @@ def test_graph_walk_finds_the_nearest_centroids():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.95 and (np.diff(dist, axis=1) >= 0).all()
 
 
+def test_probes_visit_the_centroids_near_the_query_only():
+    """Clustered vectors: the lists to read are found without going through a tenth of the centroids."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 32)) * 4
+    c = (centres[:, None, :] + 0.5 * rng.normal(size=(60, 50, 32))).reshape(-1, 32)
+    x = centres[rng.integers(60, size=80)] + 0.5 * rng.normal(size=(80, 32))
+
+    class Counted:
+        def __init__(self, a):
+            self.a, self.n = a, 0
+
+        def __getitem__(self, i):
+            self.n += np.asarray(i).size
+            return self.a[i]
+
+        def __len__(self):
+            return len(self.a)
+
+    graph = ann.CentroidGraph.build(c)
+    graph.centroids = Counted(c)
+    probes = graph.probes_of(x)
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+    found = []
+    for i, lists in enumerate(probes):
+        order = np.argsort(d[i])
+        want = set(order[:ann.PROBES].tolist()) | set(np.flatnonzero(d[i] <= ann.PRUNE * d[i].min()).tolist())
+        found.append(len(want & set(lists.tolist())) / len(want))
+    assert np.mean(found) > 0.95 and graph.centroids.n / len(x) < 0.1 * len(c)
+
+
 def test_lists_are_balanced():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(900, 8)) * 0.01, rng.normal(size=(124, 8)) + 5])
