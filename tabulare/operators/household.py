@@ -40,6 +40,25 @@ def count_distinct_households(df: DataFrame, key, alias: str = "n_domicilios") -
     return df.agg(F.count_distinct(_c(key)).alias(alias))
 
 
+def household_bitmaps(df: DataFrame, by: str, number) -> DataFrame:
+    """A9 mergeable: ``by, bucket, households``, the household numbers of each state as bitmaps.
+
+    ``number`` is a non-negative long, best dense (its range of 32,768 is one
+    bitmap of 4 KB). Bitmaps of states, loads or days merge exactly with
+    ``count_bitmaps``, without the persons.
+    """
+    k = _c(number)
+    return df.where(k.isNotNull()).groupBy(by, F.bitmap_bucket_number(k).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("households"))
+
+
+def count_bitmaps(bitmaps: DataFrame, by: str | None = None, alias: str = "n_domicilios") -> DataFrame:
+    """Exact distinct count from ``household_bitmaps``, per ``by`` or over all: a household of two states counts once."""
+    keys = [by] if by else []
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("households")).alias("_n"))
+    return merged.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(alias))
+
+
 def weight_consistency(df: DataFrame, key, weight) -> DataFrame:
     """A10: households whose weight is not constant across their persons.
 

@@ -9,6 +9,7 @@ from tabulare.functions.codes import label, label_or_code, flag_in, flag_eq, fla
 from tabulare.functions.text import first_match
 from tabulare.operators import bands, household, quality, weighted
 from tabulare.plans.registry import dist_sql, register
+from tabulare.session import scratch_path
 from tabulare.plans.standins import (
     CUSTOMER_INCOME, CUSTOMER_WEIGHT, LINE_FLAGS, ORDERS_WITH_STATE_SQL, PART_CODE_12,
     PART_CODE_4, PRIORITY_WITH_NULLS, case_sql, orders_per_customer_with_state, orders_with_state, table,
@@ -114,6 +115,19 @@ register("count_distinct_households",
     lambda spark, d: table(spark, d, "lineitem").agg(
         F.count_distinct("l_orderkey").alias("n_domicilios"), F.count(F.lit(1)).alias("n_pessoas")))
 
+# a state's bitmaps are kept once and merged to the country: an order has lines of several statuses
+def _households_mergeable(spark, d):
+    kept = scratch_path(spark, "household-bitmaps")
+    household.household_bitmaps(table(spark, d, "lineitem"), "l_returnflag", "l_orderkey").write.parquet(kept)
+    bitmaps = spark.read.parquet(kept)
+    total = household.count_bitmaps(bitmaps).select(F.lit("total").alias("uf"), "n_domicilios")
+    return household.count_bitmaps(bitmaps, "l_returnflag").withColumnRenamed("l_returnflag", "uf").unionByName(total)
+
+
+register("households_mergeable",
+         "SELECT l_returnflag AS uf, COUNT(DISTINCT l_orderkey) AS n_domicilios FROM lineitem GROUP BY 1 "
+         "UNION ALL SELECT 'total', COUNT(DISTINCT l_orderkey) FROM lineitem")(_households_mergeable)
+
 register("weight_consistency",
          "SELECT COUNT(*) AS n_domicilios, COUNT(*) FILTER (WHERE nd > 1) AS n_peso_divergente "
          "FROM (SELECT user_id, COUNT(DISTINCT value) AS nd FROM events GROUP BY user_id) t")(

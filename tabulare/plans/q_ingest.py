@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tabulare.functions.text import parse_int_strict, slug, slug_heading
 from tabulare.plans.registry import register
 from tabulare.plans.standins import table, table_path
-from tabulare.session import derived_input, local_fs_path
+from tabulare.session import derived_input, local_fs_path, scratch_path
+from tabulare.sinks import store
 from tabulare.sources import archive, listings
 from tabulare.sources.fwf import LATIN1, encode_fwf, encode_line, parse_fwf, read_fwf
 from tabulare.sources.wide import parse_records
@@ -125,6 +126,23 @@ def _fwf_sparse(spark, d):
 
 register("fwf_scan_sparse", _ORDERS_ORACLE)(_fwf_sparse)
 
+# ---------------------------------------------------------------- A17, A18, A20, A21: the profile of an ingest, from its writing job
+_PROFILED = ("ano_de_referencia", "tipo_de_situacao_da_regiao", "prioridade_do_pedido", "peso_com_calibracao")
+_PRIORITIES = (1, 2, 3, 4, 5)
+
+
+def _ingest_profile(spark, d):
+    parsed = _fwf_sparse(spark, d).select(*_PROFILED)
+    return store.write_profiled(parsed, scratch_path(spark, "profiled"), "prioridade_do_pedido", _PRIORITIES)
+
+
+register("ingest_profile",
+         f"WITH o AS ({_ORDERS_ORACLE}) SELECT * FROM ("
+         + " UNION ALL ".join(f"SELECT 'coluna' AS medida, '{c}' AS nome, COUNT(*) AS n_linhas, COUNT(*) - COUNT({c}) AS n_nulos, "
+                              "CAST(0 AS BIGINT) AS n_nao_ascii FROM o" for c in _PROFILED)
+         + " UNION ALL SELECT 'prioridade_do_pedido', CAST(prioridade_do_pedido AS VARCHAR), COUNT(*), NULL, NULL FROM o "
+           "GROUP BY prioridade_do_pedido) t")(lambda spark, d: _ingest_profile(spark, d))
+
 # ---------------------------------------------------------------- S3 (Latin-1)
 WORDS = packaged_layout("document_words", "census")
 _SPLIT = r"[ \t\n\r\f]+"
@@ -417,6 +435,23 @@ _PARSE_COLS = ("provedor", "url", "id_externo", "titulo_anuncio", "uf", "cidade"
 _PIVOT_COLS = ("id_externo",) + tuple(listings.ATTRIBUTE_COLUMNS.values())
 _ROUTE_COLS = ("id_externo", "negocio", "valor_aluguel", "valor_venda")
 _FLAG_COLS = ("id_externo", "tem_piscina", "tem_elevador", "tem_sauna")
+def _attributes_long(spark, d):
+    path = derived_input(spark, "listings", [table_path(d, "part")],
+                         lambda p: _listing_pages(spark, d).write.mode("overwrite").text(p), version=DERIVED_VERSION)
+    return listings.listing_attributes(spark, path).groupBy("atributo", "valor", "conhecido").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DUCK_ITEM = {k: v.replace("AS STRING", "AS VARCHAR") for k, v in _ITEM_SQL.items()}
+_LONG_ATTRIBUTES = (("OPERATION_TYPE", _DUCK_ITEM["deal"], ""), ("BEDROOMS", _DUCK_ITEM["bedrooms"], ""),
+                    ("BEDROOMS", "'9'", " WHERE p_size % 6 = 0"), ("TOTAL_AREA", _DUCK_ITEM["total_area"], ""),
+                    ("COVERED_AREA", _DUCK_ITEM["covered_area"], ""), ("POOL", _DUCK_ITEM["pool"], ""),
+                    ("ELEVATOR", _DUCK_ITEM["elevator"], ""), ("PROPERTY_TYPE", "p_type", ""), ("COLOR", "'azul'", ""),
+                    ("FLOOR", "CAST(p_size AS VARCHAR)", ""), ("SPORTS_COURT", "'tenis, basquete'", ""))
+register("listing_attributes_long",
+         "SELECT atributo, valor, atributo <> 'COLOR' AS conhecido, COUNT(*) AS n FROM ("
+         + " UNION ALL ".join(f"SELECT '{a}' AS atributo, {v} AS valor FROM part{w}" for a, v, w in _LONG_ATTRIBUTES)
+         + ") t GROUP BY 1, 2, 3")(_attributes_long)
+
 # pages of which one in seven is cut off: its items are rejects, all others are read
 def _listing_rejects(spark, d):
     cut = lambda p: _listing_pages(spark, d, cut=7).write.mode("overwrite").text(p)

@@ -109,6 +109,35 @@ register("save_if_changed",
          _ORDERS_SQL.replace(" FROM orders", ", 'recarregada' AS acao_1, 'inalterada' AS acao_2 FROM orders"))(
     _save_if_changed)
 
+def _save_if_other_content(spark, d):
+    name = _table_name("pedidos_conteudo")
+    path = scratch_path(spark, name)
+    orders = table(spark, d, "orders")
+    # as many rows, one of them with another price
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).scalar(), F.lit(0.5))
+                                .otherwise(F.col("o_totalprice")))
+    store.save_if_changed(spark, changed, name, path, content=True)
+    by_count = store.save_if_changed(spark, orders, name, path)
+    first, second = (store.save_if_changed(spark, orders, name, path, content=True) for _ in range(2))
+    return _orders_out(spark.table(name)).withColumns({"por_contagem": F.lit(by_count), "acao_1": F.lit(first), "acao_2": F.lit(second)})
+
+
+register("save_if_other_content",
+         _ORDERS_SQL.replace(" FROM orders", ", 'inalterada' AS por_contagem, 'recarregada' AS acao_1, 'inalterada' AS acao_2 FROM orders"))(
+    _save_if_other_content)
+
+# ---------------------------------------------------------------- L5 from one file per state
+def _preview_first_files(spark, d):
+    root = scratch_path(spark, "preview")
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal")
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").write.partitionBy("c_nationkey").parquet(root)
+    return store.preview(spark, root, "c_nationkey", 3)
+
+
+register("preview_first_files",
+         "SELECT c_nationkey, c_custkey, c_name, c_acctbal FROM (SELECT *, ROW_NUMBER() OVER "
+         "(PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer) t WHERE rn <= 3")(_preview_first_files)
+
 # ---------------------------------------------------------------- K10
 def _replace_by_source(spark, d):
     root = scratch_path(spark, "morador")

@@ -10,10 +10,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tabulare.functions.text import has_non_ascii
+
+_DIGEST = "tabulare.digest"                      # table property
 _SWAP = "_swap-"                                 # records of source replacements under way
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"          # fixed value: the folder of rows without a partition value
 # Characters that partition folder names carry percent-encoded.
@@ -71,8 +75,21 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
+def content_digest(df: DataFrame) -> str:
+    """Digest of a table's rows as a multiset: their number, and the sum and exclusive or of two row hashes.
+
+    The order of rows and columns does not matter; a NULL counts as one, in its
+    column. One pass of partial sums, a row per task leaves it.
+    """
+    cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    row = [*cols, *[c.isNull() for c in cols]]
+    one = df.select(F.xxhash64(F.lit(1), *row).alias("a"), F.xxhash64(F.lit(2), *row).alias("b"))
+    got = one.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s"), F.bit_xor("b").alias("x")).first()
+    return f"{got['n']}:{got['s']}:{got['x']}"
+
+
 def save_if_changed(spark: SparkSession, source: DataFrame, name: str,
-                    path: str | None = None) -> str:
+                    path: str | None = None, content: bool = False) -> str:
     """K6: (re)load ``name`` from ``source`` unless it already holds as many rows.
 
     Returns ``"criada"``, ``"inalterada"`` or ``"recarregada"``. The table's
@@ -80,16 +97,52 @@ def save_if_changed(spark: SparkSession, source: DataFrame, name: str,
     Parquet scan; any other source is computed to be counted. A table with a different count (e.g. an
     interrupted earlier load) is overwritten as a whole; if that overwrite is
     itself interrupted, the next call sees the mismatch and repairs it again.
+
+    ``content=True`` also compares the ``content_digest`` of the source with
+    the one kept with the table, so that equal counts of other rows are
+    reloaded. The digest is kept after the load: an interrupted load has none.
     """
+    digest = content_digest(source) if content else None
     if not table_exists(spark, name):
-        save_table(source, name, path)
+        _load(spark, source, name, path, digest)
         return "criada"
-    if spark.table(name).count() == source.count():
+    same = spark.table(name).count() == (int(digest.split(":")[0]) if digest else source.count())
+    if digest and same:
+        kept = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        same = kept.get(_DIGEST) == digest
+    if same:
         return "inalterada"
-    save_table(source, name, path)
+    _load(spark, source, name, path, digest)
     return "recarregada"
 
 
+def _load(spark: SparkSession, source: DataFrame, name: str, path: str | None, digest: str | None) -> None:
+    save_table(source, name, path)
+    if digest:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{_DIGEST}' = '{digest}')")
+
+
+def write_profiled(df: DataFrame, path: str, by: str, values: Sequence) -> DataFrame:
+    """K2 with A17/A18/A20/A21 taken from the writing job itself: ``medida, nome, n_linhas, n_nulos, n_nao_ascii``.
+
+    One row per column (``medida`` is ``coluna``: rows, NULLs, texts that are
+    not ASCII) and one per value of ``by`` that occurs among ``values``. The
+    counts are observed while the rows pass to the writer: the input is scanned once.
+    """
+    spark, seen = df.sparkSession, Observation()
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    texts = [c for c in df.columns if kinds[c] == "string"]
+    measures = [F.count(F.lit(1)).alias("n")]
+    measures += [F.count_if(F.col(c).isNull()).alias(f"null-{c}") for c in df.columns]
+    measures += [F.count_if(has_non_ascii(F.col(c))).alias(f"text-{c}") for c in texts]
+    measures += [F.count_if(F.col(by) == F.lit(v)).alias(f"value{i}") for i, v in enumerate(values)]
+    write_partitioned(df.observe(seen, *measures), path, by=(by,))
+    got = seen.get
+    rows = [("coluna", c, got["n"], got[f"null-{c}"], got.get(f"text-{c}", 0)) for c in df.columns]
+    rows += [(by, str(v), got[f"value{i}"], None, None) for i, v in enumerate(values) if got[f"value{i}"]]
+    return spark.createDataFrame(rows, "medida string, nome string, n_linhas long, n_nulos long, n_nao_ascii long")
+
+
 def partition_folder(column: str, value: str) -> str:
     """``column=value`` as Spark names the folder of a partition."""
     return f"{column}=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
@@ -214,3 +267,23 @@ def write_states(df: DataFrame, path: str, states: Sequence[str] | None = None,
         p, fs = _fs(spark, f"{path}/{partition_folder(by, gone)}")
         fs.delete(p, True)
     return sorted(here - {None})
+
+
+def preview(spark: SparkSession, path: str, by: str, n: int) -> DataFrame:
+    """``n`` rows of every stored value of ``by``, each from the first file of its folder.
+
+    Files are chosen from folder listings, so a preview opens one file per
+    value, whatever the store holds, and shows the first rows of it; a task
+    stops at ``n`` rows (of a file in several splits only the first split has
+    any, the others are passed over).
+    """
+    p, fs = _fs(spark, path)
+    schema, parts = spark.read.parquet(path).schema, []
+    for folder in sorted(fs.listStatus(p), key=lambda st: st.getPath().getName()):
+        if folder.isDirectory() and folder.getPath().getName().startswith(f"{by}="):
+            files = sorted(f.getPath().toString() for f in fs.listStatus(folder.getPath())
+                           if f.isFile() and f.getPath().getName()[0] not in "_.")
+            if files:
+                one = spark.read.option("basePath", path).schema(schema).parquet(files[0])
+                parts.append(one.where(F.col("_metadata.row_index") < n).limit(n))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

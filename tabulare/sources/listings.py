@@ -96,6 +96,24 @@ def listing_rejects(spark: SparkSession, path: str) -> DataFrame:
     return pages.unionByName(prices)
 
 
+def listing_attributes(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
+    """P15/X16 without a fixed map: ``id_externo, atributo, valor, conhecido``, one row per attribute of every item.
+
+    Pages are read as VARIANT, so attributes the ``imovel`` columns do not
+    know are kept as written; of an id that repeats every value is a row. A
+    page that is no JSON fails the job, or, with ``malformed="reject"``, is
+    left to ``listing_rejects``.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    pages = lines.select((F.parse_json if malformed == "fail" else F.try_parse_json)("value").alias("page")).where("page IS NOT NULL")
+    items = pages.select(F.explode(F.variant_get("page", "$.results", "array<variant>")).alias("item"))
+    each = items.select(F.variant_get("item", "$.id", "string").alias("id_externo"),
+                        F.explode(F.try_variant_get("item", "$.attributes", "array<variant>")).alias("a"))
+    return each.select("id_externo", F.variant_get("a", "$.id", "string").alias("atributo"),
+                       F.variant_get("a", "$.value_name", "string").alias("valor")).withColumn(
+        "conhecido", F.coalesce(F.col("atributo").isin(list(ATTRIBUTE_COLUMNS)), F.lit(False)))
+
+
 def _attribute_value_sql(attr_id: str) -> str:
     """``value_name`` of the *last* attribute with this id (NULL if none)."""
     return f"try_element_at(filter(_attrs, a -> a.id = '{attr_id}'), -1).value_name"

@@ -327,3 +327,70 @@ def test_a_load_that_fails_before_it_is_complete_leaves_the_old_rows(spark, tmpd
     with pytest.raises(Exception):
         store.replace_source(spark.range(3).selectExpr("CAST(raise_error('x') AS int) AS v"), root, "a")
     assert store.recover(spark, root) == [] and _sources(spark, root) == {1}
+
+
+# ---------------------------------------------------------------- K6 by content
+def test_content_digest_is_of_the_multiset_of_rows(spark):
+    ddl = "a string, b string, n int"
+    rows = [("x", None, 1), (None, "x", 1), ("x", "y", 2), ("x", "y", 2)]
+    digest = lambda r: store.content_digest(spark.createDataFrame(r, ddl))
+    base = digest(rows)
+    assert digest(rows[::-1]) == base == store.content_digest(spark.createDataFrame(rows, ddl).select("n", "b", "a").repartition(3))
+    assert len({base, digest(rows[:3]), digest(rows[1:] + [rows[1]]), digest(rows[:2] + [("x", "z", 2)] * 2), digest([])}) == 5
+
+
+def test_equal_counts_of_other_rows_are_reloaded(spark, tmpdir_path):
+    name = "t_content_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    a, b = (spark.createDataFrame([(1, x), (2, "y")], "a long, b string") for x in ("x", None))
+    run = lambda df, **kw: store.save_if_changed(spark, df, name, tmpdir_path + "/t", **kw)
+    assert [run(a, content=True), run(a, content=True), run(b), run(b, content=True), run(b, content=True)] == [
+        "criada", "inalterada", "inalterada", "recarregada", "inalterada"]
+    assert {r.b for r in spark.table(name).collect()} == {None, "y"}
+    store.save_table(a, name, tmpdir_path + "/t")               # a load that keeps no digest
+    assert run(a, content=True) == "recarregada"
+
+
+# ---------------------------------------------------------------- profile of a write, preview
+def test_profile_comes_from_the_writing_job(spark, tmpdir_path):
+    df = spark.createDataFrame([("AC", "é", 1), ("AC", None, 2), ("RO", "x", None)], "uf string, t string, n int").repartition(2)
+    got = {(r.medida, r.nome): (r.n_linhas, r.n_nulos, r.n_nao_ascii) for r in
+           store.write_profiled(df, tmpdir_path + "/s", "uf", ["AC", "RO", "SP"]).collect()}
+    assert got == {("coluna", "uf"): (3, 0, 0), ("coluna", "t"): (3, 1, 1), ("coluna", "n"): (3, 1, 0),
+                   ("uf", "AC"): (2, None, None), ("uf", "RO"): (1, None, None)}
+    assert spark.read.parquet(tmpdir_path + "/s").count() == 3
+
+
+def test_preview_opens_one_file_per_value(spark, tmpdir_path):
+    root = tmpdir_path + "/s"
+    spark.range(1000).selectExpr("id", "IF(id % 2 = 0, 'a/b', 'c') AS uf").repartition(5).write.partitionBy("uf").parquet(root)
+    got = store.preview(spark, root, "uf", 4)
+    assert len(got.inputFiles()) == 2 and len(spark.read.parquet(root).inputFiles()) == 10
+    rows = got.collect()
+    assert len(rows) == 8 and {(r.uf, r.id % 2) for r in rows} == {("a/b", 0), ("c", 1)}
+    os.makedirs(tmpdir_path + "/none")
+    spark.range(0).selectExpr("id", "'x' AS uf").write.mode("overwrite").parquet(tmpdir_path + "/none")
+    assert store.preview(spark, tmpdir_path + "/none", "uf", 4).count() == 0
+
+
+def test_household_bitmaps_merge_exactly(spark):
+    from tabulare.operators import household
+
+    df = spark.createDataFrame([("A", 1), ("A", 1), ("A", 32768), ("A", 40000), ("B", 1), ("B", 99999), ("B", None)], "uf string, k long")
+    b = household.household_bitmaps(df, "uf", "k")
+    assert {r.uf: r.n_domicilios for r in household.count_bitmaps(b, "uf").collect()} == {"A": 3, "B": 2}
+    assert household.count_bitmaps(b).first().n_domicilios == 4              # household 1 is in both
+    assert household.count_bitmaps(household.household_bitmaps(df.where("false"), "uf", "k")).first().n_domicilios == 0
+
+
+def test_unknown_attributes_are_kept(spark, tmpdir_path):
+    item = {"id": "M1", "attributes": [{"id": "BEDROOMS", "value_name": "2"}, {"id": "BEDROOMS", "value_name": "3"},
+                                       {"id": "NEW_ONE", "value_name": "sim", "other": 1}, {"id": "NUMBER", "value_name": 7}, {"value_name": None}]}
+    path = tmpdir_path + "/p.json"
+    with open(path, "w") as fh:
+        fh.write(json.dumps({"results": [item, {"id": "M2"}, {"id": "M3", "attributes": None}]}) + "\n\n{\"results\": null}\n{\"results\": [{\"id\"")
+    with pytest.raises(Exception):
+        listings.listing_attributes(spark, path).collect()
+    got = [tuple(r) for r in listings.listing_attributes(spark, path, "reject").collect()]
+    assert sorted(got, key=str) == sorted([("M1", "BEDROOMS", "2", True), ("M1", "BEDROOMS", "3", True), ("M1", "NEW_ONE", "sim", False),
+                                           ("M1", "NUMBER", "7", False), ("M1", None, None, False)], key=str)
