@@ -28,6 +28,7 @@ give all; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,8 +43,9 @@ from tabulare.llm.common import materialize, md5_key
 K = 10
 QUERY_STEP = 100           # rows whose id it divides are queries
 LIST_SIZE = 256            # vectors a list holds on average, until there are MAX_LISTS lists
-MAX_LISTS = 4096
-SAMPLE = 20_000            # vectors the centroids are fitted on
+MAX_LISTS = 1 << 16        # centroids the driver and each task hold; beyond 16 million vectors lists grow instead
+SAMPLE = 20_000            # vectors the centroids are fitted on, or
+PER_LIST = 4               # ... as many per list, if that is more (so 262,144 at most)
 DEGREE = 24                # graph neighbours of a centroid
 AHEAD = 2                  # nearest centroids a walk goes on from, however far
 SLACK = 1.15               # a walk for lists goes this much beyond the ratio they are pruned by
@@ -54,6 +56,7 @@ PROBES = 32                # lists a query reads at least
 PRUNE = 1.12               # distance ratio to the nearest centroid within which it reads more, without a cap
 SHARD = 1024               # vectors of a list in one task
 BLOCK = 512                # queries of a list in one task
+WALKS = 512                # walks through the graph at a time
 
 
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,13 +67,13 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndar
     """Centroids by repeated splitting of the largest cluster, halves kept even by weight."""
     rng = np.random.default_rng(seed)
     points, weight = np.unique(sample, axis=0, return_counts=True)
-    clusters = [np.arange(len(points))]
-    while len(clusters) < lists:
-        sizes = [weight[c].sum() if len(c) > 1 else 0 for c in clusters]
-        big = int(np.argmax(sizes))
-        if sizes[big] == 0:
-            break
-        c = clusters.pop(big)
+    clusters = {0: np.arange(len(points))}
+    heap = [(-int(weight.sum()), 0)]               # the heaviest cluster that can be split
+    while len(clusters) < lists and heap:
+        at = heapq.heappop(heap)[1]
+        c = clusters[at]
+        if len(c) < 2:
+            continue
         x, w = points[c], weight[c].astype(float)
         a, b = x[rng.choice(len(c), 2, replace=False)]
         for _ in range(8):
@@ -84,8 +87,10 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndar
             left, right = order[:cut], order[cut:]
             a = np.average(x[left], axis=0, weights=w[left])
             b = np.average(x[right], axis=0, weights=w[right])
-        clusters += [c[left], c[right]]
-    return np.stack([np.average(points[c], axis=0, weights=weight[c]) for c in clusters])
+        for k, part in ((at, c[left]), (len(clusters), c[right])):
+            clusters[k] = part
+            heapq.heappush(heap, (-int(weight[part].sum()), k))
+    return np.stack([np.average(points[c], axis=0, weights=weight[c]) for c in clusters.values()])
 
 
 @dataclass
@@ -101,8 +106,12 @@ class CentroidGraph:
         n = len(centroids)
         near = np.empty((n, min(DEGREE, n)), np.int64)
         for i in range(0, n, 512):
-            near[i:i + 512] = np.argsort(_sq(centroids[i:i + 512], centroids), axis=1, kind="stable")[:, 1:DEGREE + 1] \
-                if n > DEGREE else np.arange(n)
+            if n <= DEGREE:
+                near[i:i + 512] = np.arange(n)
+                continue
+            d = _sq(centroids[i:i + 512], centroids)
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+            near[i:i + 512] = np.argpartition(d, DEGREE - 1, axis=1)[:, :DEGREE]
         # reverse edges; a walk starts at the nearest of some centroids that are far from each other, in every cluster of them
         back: list[list[int]] = [[] for _ in range(n)]
         for i, row in enumerate(near.tolist()):
@@ -198,8 +207,8 @@ def _spread(rows: DataFrame, graph, way: str) -> DataFrame:
     """``vec_id, v, list`` for every list that ``way`` of the graph gives a vector."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                df = whole.iloc[at:at + 1024]
+            for at in range(0, len(whole), WALKS):
+                df = whole.iloc[at:at + WALKS]
                 lists = getattr(graph.value, way)(_matrix(df["v"]))
                 yield df.assign(list=lists).explode("list").astype({"list": "int32"})
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -244,10 +253,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     good = materialize(usable(vectors), "ann-vectors")
     asked = materialize(usable(queries), "ann-queries") if queries is not vectors else good
     n = good.count()
-    sample = _matrix(good.orderBy(md5_key(F.col("vec_id"), "ann"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"])
+    lists = max(1, min(MAX_LISTS, n // LIST_SIZE))
+    sample = good.orderBy(md5_key(F.col("vec_id"), "ann"), "vec_id").limit(max(SAMPLE, PER_LIST * lists))
+    sample = _matrix(sample.select("v").toPandas()["v"])
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = max(1, min(MAX_LISTS, n // LIST_SIZE))
     graph = spark.sparkContext.broadcast(CentroidGraph.build(balanced_centroids(np.unique(sample, axis=0) if lists == 1 else sample, lists)))
     postings = materialize(_spread(good, graph, "lists_of"), "ann-postings")
     probes = materialize(_spread(asked, graph, "probes_of"), "ann-probes")

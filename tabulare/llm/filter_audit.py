@@ -50,8 +50,8 @@ def text_failures(text: Column) -> dict[str, Column]:
     """Failure conditions of the filters that read one text (not NULL)."""
     words = F.filter(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " ", -1), lambda w: w != "")
     capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    return {"A": F.size(words) < MIN_WORDS, "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
-            "C": 100 * capitals.cast("long") > 2 * F.length(text), "D": text.rlike("[#$%&*|]")}
+    count, distinct, size, capitals = (x.cast("long") for x in (F.size(words), F.size(F.array_distinct(words)), F.length(text), capitals))
+    return {"A": count < MIN_WORDS, "B": 100 * distinct < 50 * count, "C": 100 * capitals > 2 * size, "D": text.rlike("[#$%&*|]")}
 
 
 def failing(docs: DataFrame, part: str = "source") -> DataFrame:
