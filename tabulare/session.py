@@ -126,10 +126,20 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def _drop_at_exit(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is None:      # stopped: a later application cannot tell whose it is
+    if spark.sparkContext._jsc is not None:
+        p, fs = _fs(spark, root)
+        fs.delete(p, True)
         return
-    p, fs = _fs(spark, root)
-    fs.delete(p, True)
+    # the session was stopped before: its file systems are gone, and no later application could tell whose folder it is
+    from pyarrow import fs as files
+
+    local = local_fs_path(root)
+    try:
+        system, path = (files.LocalFileSystem(), local) if local is not None else files.FileSystem.from_uri(root)
+    except (OSError, ValueError):            # a store that only Spark reads: left to whoever owns spark.checkpoint.dir
+        return
+    if system.get_file_info(path).type == files.FileType.Directory:
+        system.delete_dir(path)
 
 
 def local_fs_path(path: str) -> str | None:

@@ -1,6 +1,10 @@
 """Shared scratch folder and derived inputs."""
 
 import os
+import subprocess
+import sys
+
+import pytest
 
 from tabulare.session import clear_scratch, derived_input, files_key, path_exists, scratch_path, shared_dir
 
@@ -40,6 +44,24 @@ def test_clear_scratch(spark):
     assert not path_exists(spark, path)
 
 
+@pytest.mark.parametrize("stop", [True, False])
+def test_scratch_goes_with_the_process(tmpdir_path, stop):
+    """Also after ``spark.stop()``; derived inputs stay for the next application."""
+    script = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from tabulare.session import build_session, derived_input, scratch_path
+spark = build_session("local[1]", 1)
+spark.range(3).write.parquet(scratch_path(spark, "x"))
+derived_input(spark, "d", [], lambda p: spark.range(3).write.parquet(p))
+{"spark.stop()" if stop else ""}
+"""
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir=file://{tmpdir_path} pyspark-shell"}
+    subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, timeout=300, env=env)
+    left = os.listdir(tmpdir_path + "/tabulare")
+    assert left == ["derived"], left
+
+
 def test_files_key_follows_files_in_a_folder(spark, tmpdir_path):
     spark.range(3).write.parquet(tmpdir_path + "/t")
     before = files_key(spark, tmpdir_path + "/t")
