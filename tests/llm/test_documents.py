@@ -388,6 +388,57 @@ def test_quality_fits_on_one_bag_per_label(spark, monkeypatch):
         assert bags[-1][0] == want
 
 
+def _plain_score(p, bag):
+    """Gated attention of one bag, passage by passage."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hidden = [np.tanh(x @ p["W"] + p["w0"]) for x in bag]
+    weights = np.exp([float(np.sum(p["a"] * np.tanh(h @ p["V"]) * sigmoid(h @ p["U"]))) for h in hidden])
+    z = sum(w * h for w, h in zip(weights / weights.sum(), hidden))
+    return float(sigmoid(z @ p["c"] + p["c0"][0]))
+
+
+def test_quality_attention_equals_the_plain_form():
+    rng = np.random.default_rng(14)
+    bags = [rng.normal(size=(int(n), quality.FEATURES)) for n in (1, 5, 2, 9, 1)]
+    model = quality.AttentionModel.fit(bags, np.array([0.0, 1, 0, 1, 1]), epochs=3)
+    scaled = [(b - model.mean) / model.scale for b in bags]
+    assert np.allclose(model._score(scaled), [_plain_score(model.params, b) for b in scaled], rtol=1e-12)
+    order = rng.permutation(9)                                          # a bag has no order
+    assert np.isclose(model._score([scaled[3][order]])[0], _plain_score(model.params, scaled[3]))
+
+
+def test_quality_steps_go_down_the_gradient():
+    """The first step of the fit moves every parameter against the numeric gradient of the plain loss."""
+    rng = np.random.default_rng(15)
+    bags = [rng.normal(size=(int(n), quality.FEATURES)) for n in rng.integers(1, 6, 12)]
+    labels = np.array([0.0, 1] * 6)
+    rate, decay = 0.01, 1e-4
+    after = quality.AttentionModel.fit(bags, labels, epochs=1, batch=len(bags), rate=rate, decay=decay, seed=3)
+    scaled = [(b - after.mean) / after.scale for b in bags]
+    start = np.random.default_rng(3)                                    # the fit's own first draws
+    shape = {k: v.shape for k, v in after.params.items()}
+    p = {"W": start.normal(0, quality.FEATURES ** -0.5, shape["W"]), "w0": np.zeros(shape["w0"])}
+    p |= {k: start.normal(0, 0.2, shape[k]) for k in ("V", "U", "a", "c")} | {"c0": np.zeros(1)}
+
+    def loss():
+        y = np.array([_plain_score(p, b) for b in scaled])
+        return float(-np.mean(labels * np.log(y) + (1 - labels) * np.log(1 - y)) + decay / 2 * sum((v ** 2).sum() for v in p.values()))
+
+    checked = 0
+    for k, v in p.items():
+        flat = v.reshape(-1)
+        for i in rng.choice(len(flat), min(25, len(flat)), replace=False):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            slope, flat[i] = (up - loss()) / 2e-5, old
+            if abs(slope) > 1e-5:
+                checked += 1
+                assert np.isclose(old - after.params[k].reshape(-1)[i], rate * np.sign(slope), rtol=0.01), (k, i)
+    assert checked > 80
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
