@@ -61,3 +61,27 @@ def test_pipeline_stage_by_stage(spark, docs, reference_encoding):  # noqa: F811
     assert max(Counter(r.doc_id for r in mixed).values()) <= 3
     want = Counter((r.doc_id, tuple(reference_encoding.encode_ordinary(r.text or ""))) for r in mixed)
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == want
+
+
+def test_pipeline_on_odd_documents(spark, odd, docs, tmp_path):
+    """NULLs, empty and very long texts, repeated rows, rows without id, clashing extra columns; and no documents at all."""
+    from tabulare.llm.common import materialize
+    both = odd.unionByName(docs.limit(60), allowMissingColumns=True)
+    for name, table, rows in (("odd", both, both.count()), ("none", both.where("false"), 0)):
+        sf = str(tmp_path / name)
+        table.write.parquet(f"{sf}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, run in P.STAGES:
+            before, kept = kept, materialize(run(spark, kept, sf), "stage")
+            if stage == "SimHash near-dedup":
+                texts = [r.text for r in kept.select("text").collect()]
+                assert len({_fingerprint(t) for t in texts}) == len(texts)
+                assert {_fingerprint(r.text) for r in before.select("text").collect()} >= {_fingerprint(t) for t in texts}
+            elif stage == "PII":
+                assert kept.count() == before.count() and not any(_base(r.text or "") for r in kept.collect())
+            elif stage == "quality classifier":
+                assert kept.count() <= rows
+            if stage != P.STAGES[-1][0]:
+                assert kept.columns == both.columns
+        assert kept.count() == before.count() and (rows == 0) == (kept.count() == 0)
