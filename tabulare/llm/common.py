@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulare.session import scratch_path
+from tabulare.session import delete_path, scratch_path
 
 # White space and words of every contract here: ASCII white space separates.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            delete_path(t.sparkSession, folder)
+
+
 def word_count(text: Column) -> Column:
     """Number of ASCII-white-space separated words; NULL text has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_RE)).cast("long")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulare.llm.common import materialize
+from tabulare.llm.common import discard, materialize
 
 WIDTH = 3
 MAX_BITS = 2
@@ -230,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds over a shrinking edge list;
     each round is two grouped minima (combined map-side) and two joins whose
-    skewed keys Spark may split. Every round is checkpointed.
+    skewed keys Spark may split. Every round is written, and deleted when the next is.
     """
     e = materialize(edges.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "cc-edges")
     last = None
@@ -242,10 +242,11 @@ def components(edges: DataFrame) -> DataFrame:
                  .where("u != v").distinct())
         large = materialize(large, "cc-large")
         # small star: hang the smaller neighbours on the smallest of them
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        hung = large.join(low, "u")
-        e = materialize(hung.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        hung = large.join(least, "u")
+        old, e = e, materialize(hung.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                        .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        discard(old, low, large, least)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

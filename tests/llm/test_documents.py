@@ -355,6 +355,20 @@ def test_keep_first_keeps_one_row_of_each_component(spark):
     assert next(r.n for r in got if r.text == b) == 1
 
 
+def test_components_leave_only_their_last_tables(spark):
+    import os
+
+    from tabulare.session import scratch_path
+
+    root = os.path.dirname(scratch_path(spark, "x")).replace("file:", "")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    chain = spark.range(1, 200).selectExpr("id + 1 AS a", "id AS b")
+    got = simhash.components(chain)
+    assert {r.root for r in got.collect()} == {1} and got.count() == 200
+    left = sorted(x.split("-")[1] for x in set(os.listdir(root)) - before if x.startswith("cc-"))
+    assert left == ["edges"], left
+
+
 def test_simhash_odd_input(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and simhash.near_duplicates(empty).count() == 0
