@@ -243,6 +243,43 @@ def test_one_archive_is_read_by_many_tasks_and_only_in_ranges(spark, tmpdir_path
     assert sum(b.num_rows for b in archive._member_lines(member)) == 200 and sum(read) < 20_000
 
 
+def test_small_members_share_a_task(spark, tmpdir_path):
+    members = {f"{i:04d}.txt": f"linha {i}\r\nfim {i}" for i in range(600)}
+    _archive_of(tmpdir_path + "/A.zip", dict(list(members.items())[:500]))
+    _archive_of(tmpdir_path + "/B.zip", {**dict(list(members.items())[500:]), "figura.bin": "x"})
+    tasks = spark.sparkContext.defaultParallelism * archive.TASKS_PER_CORE
+    df = archive.archive_lines(spark, tmpdir_path + "/*.zip")
+    assert tasks <= df.rdd.getNumPartitions() <= 2 * tasks       # 600 before
+    got = {(r.membro, r.linha): r.value for r in df.collect()}
+    assert got == {(n, k): v for n, t in members.items() for k, v in enumerate(t.split("\r\n"))}
+    assert sorted((r.valido, r.n_membros) for r in archive.archive_validity(spark, tmpdir_path + "/*.zip").collect()) == [
+        (True, 101), (True, 500)]
+
+
+def test_packed_members_stay_whole_and_in_order():
+    sizes = [10, 0, archive.TASK_BYTES * 2, 5, archive.TASK_BYTES // 2, archive.TASK_BYTES // 2 + 1, 7]
+    members = [archive.Member("A.zip", 1, str(i), unpacked=n) for i, n in enumerate(sizes)]
+    for tasks in (1, 3, 100):
+        packs = archive.packed(members, tasks)
+        assert [m for p in packs for m in p.members] == members and all(p.members for p in packs)
+        assert all(len(p.members) == 1 or sum(m.unpacked for m in p.members) <= archive.TASK_BYTES for p in packs)
+    assert len(archive.packed(members, 100)) >= 4
+    assert archive.packed([], 4) == []
+
+
+def test_a_broken_member_is_rejected_alone_within_a_task(spark, tmpdir_path):
+    path = tmpdir_path + "/A.zip"
+    _archive_of(path, {f"{i:03d}.txt": f"linha {i:03d}" for i in range(200)}, zipfile.ZIP_STORED)
+    data = bytearray(open(path, "rb").read())
+    data[bytes(data).index(b"linha 120")] ^= 1
+    with open(path, "wb") as fh:
+        fh.write(bytes(data))
+    df = archive.archive_lines(spark, path, broken="reject")
+    rows = df.collect()
+    assert df.rdd.getNumPartitions() < 200 and len(rows) == 200
+    assert [(r.membro, r.value) for r in rows if r.erro] == [("120.txt", None)]
+
+
 @pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
 def test_every_packing_method_of_the_standard_library(spark, tmpdir_path, method):
     _archive_of(tmpdir_path + "/A.zip", {"a.txt": "um\r\ndois", "b.TXT": "três\n".encode("latin-1")}, method)
