@@ -175,3 +175,22 @@ def test_encoder_refuses_values_wider_than_the_field(spark):
     L = _layout([("A", "a", "1", "2", "2", "", "N")])
     with _pytest.raises(Exception, match="too wide"):
         encode_fwf(spark.createDataFrame([(123,)], "a int"), L, {"A": F.col("a")}).collect()
+
+
+def test_latin1_lines_are_stored_compressed_in_files_of_bounded_length(spark, tmpdir_path, monkeypatch):
+    from tabulare.plans import q_ingest
+
+    monkeypatch.setattr(q_ingest, "_LINES_PER_FILE", 1000)
+    texts = {1: "ação " * 2000 + "x" * 85, 2: "日本 fim\tcom  \n espaço", 3: "", 4: None, 5: " ".join(f"palavra{i}" for i in range(1500))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    out = f"{tmpdir_path}/lines"
+    q_ingest._write_document_words(spark, tmpdir_path, out)
+    sizes = [os.path.getsize(f"{out}/{f}") for f in os.listdir(out) if f.startswith("part-")]
+    assert len(sizes) == 4                                       # 3,507 lines
+    lines = read_fwf(spark, out, q_ingest.WORDS, encoding="ISO-8859-1", mapped=False).orderBy("D001", "D002", "D003").collect()
+    assert sum(sizes) * 4 < len(lines) * (q_ingest.WORDS.record_width() + 1)
+    want = [(k, w) for k, t in texts.items() for w in (t or "").split()]
+    want = [(k, w[i:i + 40]) for k, w in want for i in range(0, len(w), 40)]
+    assert [(r.D001, r.D004) for r in lines] == [(k, w.encode("latin-1", "replace").decode("latin-1")) for k, w in want]
+    got = {r[0]: tuple(r)[1:] for r in q_ingest._document_words(spark, tmpdir_path).collect()}
+    assert got == {1: (2001, 2003, 8085, 2000), 2: (4, 4, 14, 1), 5: (1500, 1500, 7 * 1500 + 10 + 180 + 2700 + 2000, 0)}
