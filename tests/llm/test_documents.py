@@ -1,7 +1,9 @@
 """The operators on documents against brute force, and on odd input."""
 
 import hashlib
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tabulare.llm import bpe, fingerprints, mixing, pii, quality, simhash, suffix_dedup
+from tabulare.llm import bpe, common, fingerprints, mixing, pii, quality, simhash, suffix_dedup
+from tabulare.session import local_fs_path
 
 from .conftest import LONG
 
@@ -256,6 +259,76 @@ def test_repeats_tell_texts_of_one_id_apart(spark):
             assert got == [0, 150], (doc_id, parts, got)
 
 
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_rounds_leave_no_shuffle_files(docs, spark):
+    """What a round has shuffled is deleted when the round is written, also if the JVM collects no garbage; of the rounds only spans stay."""
+    before = _shuffle_files(spark)
+    spans = suffix_dedup.repeated_spans(docs.repartition(3))              # writes both rounds
+    scratch = os.path.dirname(os.path.dirname(local_fs_path(spans.inputFiles()[0])))
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(scratch) if x.startswith("suffix")} == {"suffix-spans"}
+    until = time.time() + 15
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spans.count() > 0
+
+
+def test_materialize_keeps_the_sessions_setting(spark, docs):
+    for value in ("false", "true", None):
+        if value is None:
+            spark.conf.unset(common._CLEANUP)
+        else:
+            spark.conf.set(common._CLEANUP, value)
+        as_set = spark.conf.get(common._CLEANUP, None)
+        assert common.materialize(docs.groupBy("lang").count(), "test").count() > 1
+        assert spark.conf.get(common._CLEANUP, None) == as_set
+
+
+def test_repeated_windows_of_a_task_are_one_row_a_passage():
+    """Nineteen copies of 61 windows are 19 marks, not 1,159; a gap of more than a window starts another."""
+    import pyarrow as pa
+    import zstandard
+
+    passage = bytes(np.random.default_rng(4).integers(97, 123, 300, np.uint8))
+    edges = [{"kind": suffix_dedup.HEAVY_EDGE, "h": 1, "at": 100, "span": 60}]
+    ids = list(range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([7] * 20), pa.array([zstandard.compress(passage)] * 20), pa.array([edges] * 20)],
+                                       names=["doc", "tie", "z", "edges"])
+    rows = [r for out in suffix_dedup._windows(iter([batch])) for r in out.to_pylist()]
+    marks = [r for r in rows if r["kind"] == suffix_dedup.MARK]
+    assert len(rows) - len(marks) == 61 and {r["doc"] for r in rows if r["kind"] != suffix_dedup.MARK} == {0}
+    assert [(r["doc"], r["at"], r["span"]) for r in marks] == [(i, 40, 60) for i in ids[1:]]
+    ends = [(r["at"], r["ctx"]) for out in suffix_dedup._settle_windows(iter([pa.RecordBatch.from_pylist(marks, suffix_dedup._WINDOW_SCHEMA)]))
+            for r in out.to_pylist()]
+    assert ends == [(40, 200)] * 19
+    runs = list(suffix_dedup._runs([(1, 5, 300), (1, 5, 10), (1, 5, 110), (1, 5, 211), (1, 6, 212), (1, 5, 110)]))
+    assert runs == [(1, 5, 10, 110), (1, 5, 211, 300), (1, 6, 212, 212)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_marks_are_merged_as_they_stream(size):
+    """Documents that go on over batches: one row each, spans merged and in order."""
+    import pyarrow as pa
+
+    rng, marks, want = np.random.default_rng(size), [], {}
+    for doc, tie in [(-5, 3), (1, -9), (1, 2), (4, 0), ((1 << 63) - 1, 1)]:
+        gone = np.zeros(5000, bool)
+        for a in sorted(rng.integers(0, 4000, 60 if doc == 4 else 6).tolist()):
+            marks.append((doc, tie, a << 32 | a + 100))
+            gone[a:a + 100] = True
+        at = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
+        want[doc, tie] = [{"start": int(a), "end": int(b)} for a, b in zip(at[::2], at[1::2])]
+    marks.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*marks[i:i + size])], names=["doc", "tie", "place"])
+               for i in range(0, len(marks), size)]
+    got = [(r["doc"], r["tie"], r["spans"]) for out in suffix_dedup._united(iter(batches)) for r in out.to_pylist()]
+    assert [g[:2] for g in got] == sorted(want) and all(want[d, t] == s for d, t, s in got)
+    assert list(suffix_dedup._united(iter([]))) == []
+
+
 def test_repeats_odd_input(odd, empty):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and suffix_dedup.remove_repeats(empty).count() == 0
